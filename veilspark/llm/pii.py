@@ -160,7 +160,7 @@ def disguised(text: str, data: bytes) -> list[tuple[int, int, int]]:
     tape = Tape(text)
     for fold in (_fold_letters, _fold_signs, _fold_digits):
         fold(tape)
-    return sorted({(int(tape.start[a]), kind, int(tape.end[b - 1])) for a, kind, b in plain(tape.text) if tape.changed[a:b].any()}) if tape.changed.any() or len(tape.text) < len(text) else []
+    return sorted({(int(tape.start[a]), kind, int(tape.end[b - 1])) for a, kind, b in plain(tape.text) if tape.changed[a:b].any() or tape.end[b - 1] - tape.start[a] > b - a}) if tape.changed.any() or len(tape.text) < len(text) else []
 
 
 _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
