@@ -58,6 +58,7 @@ def test_long_lists_by_blocks(spark, monkeypatch):
 
     monkeypatch.setattr(minhash, "SHORT", 2)
     monkeypatch.setattr(minhash, "BLOCK", 3)
+    monkeypatch.setattr(minhash, "DENSE", 2)
     rows = corpus()
     assert found(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
 

@@ -7,11 +7,12 @@ Words are the runs of ``[^\\x20\\x09-\\x0D]`` of the text with A-Z lower-cased;
 2. Retained values met in two sketches or more make inverted lists. Sketches of sets as similar as asked share at least
    ``needed`` values (but for one pair in ``1 / MISS``), so lists of each sketch's rarest ``size - needed + 1`` values meet
    every such pair; values that only one sketch has take up places first, and common passages seldom have a list.
-3. Lists of at most ``SHORT`` members are paired out. From longer ones each member is paired with the list's most typical
-   member; what that leaves unconnected is compared in blocks by overlap counts, first the best pair for each other
-   component, then all that remain. Nothing is capped or dropped.
+3. Lists of at most ``SHORT`` members are paired out. Longer ones are gathered by their most typical member, the hub (values of one
+   passage mostly have the same), with which each member is paired.
 4. Estimates on the union sketch filter the pairs; full sets, made again from the texts, confirm the rest.
-5. Components of the confirmed links, with the classes, give the result.
+5. Members of one hub that the confirmed links leave in different components meet in blocks, where the full sets are
+   compared and each member is tied to the first one that it reaches. Nothing is capped or dropped.
+6. Components of all links, with the classes, give the result.
 """
 
 from __future__ import annotations
@@ -27,12 +28,14 @@ from pyspark.sql import functions as F
 
 from ._common import Scratch, components, lists, mix, prefix_hashes, range_hashes, rows_of, texts
 
-SKETCH = 64
+SKETCH = 96
 #: Chance that a pair at the threshold has no value in common in the inverted lists.
 MISS = 1e-9
 SHORT = 8
-#: Members of a long list that meet in one task, on each side.
-BLOCK = 1024
+#: Members of one hub that meet in one task, on each side.
+BLOCK = 2048
+#: Block pairs with a value from which it is counted by matrix product.
+DENSE = 20_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -148,36 +151,57 @@ def _confirmed(percent: int):
     return passes
 
 
-def _blocks(percent: int, least: int, k: int, best: bool):
-    """Pairs of two blocks of one inverted list that share enough of their sketches and are of different components."""
+def _shared(asks: list[np.ndarray], told: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of one list with those of the other."""
+    values = np.concatenate([*asks, *told])
+    owner = np.repeat(np.arange(len(asks) + len(told)), [*map(len, asks), *map(len, told)])
+    order = np.argsort(values, kind="stable")
+    owner = owner[order]
+    cuts = np.flatnonzero(np.diff(values[order])) + 1
+    first, last = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(owner)]])
+    counts = np.zeros((len(asks), len(told)), np.float32)
+    dense = []
+    for a, b in zip(first[last - first > 1].tolist(), last[last - first > 1].tolist()):
+        part = owner[a:b]  # ascending, as the sort is stable
+        m = int(np.searchsorted(part, len(asks)))
+        if m * (len(part) - m) > DENSE:
+            dense.append((part[:m], part[m:] - len(asks)))
+        elif 0 < m < len(part):
+            counts[np.ix_(part[:m], part[m:] - len(asks))] += 1
+    for lo in range(0, len(dense), 256):
+        some = dense[lo : lo + 256]
+        x, y = np.zeros((len(asks), len(some)), np.float32), np.zeros((len(some), len(told)), np.float32)
+        for i, (p, q) in enumerate(some):
+            x[p, i] = 1
+            y[i, q] = 1
+        counts += x @ y
+    return counts
+
+
+def _blocks(percent: int):
+    """Ties the members of two blocks of a hub to the first member that they reach by links between the blocks."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        rep, comp, n, side = (table.column(c).to_numpy() for c in ("rep", "comp", "n", "side"))
-        sketch = table.column("sketch").chunk(0) if table.num_rows else pa.array([], pa.list_(pa.int64()))
-        offsets, values = sketch.offsets.to_numpy(), sketch.values.to_numpy()
-        values = values[offsets[0] : offsets[-1]]
-        owner = np.repeat(np.arange(len(rep)), np.diff(offsets))
-        place = np.zeros(len(rep), np.int64)
+        rep, comp, side = (table.column(c).to_numpy() for c in ("rep", "comp", "side"))
+        items = table.column("items").chunk(0)
+        offsets, values = items.offsets.to_numpy(), items.values.to_numpy()
+        sets = [values[offsets[i] : offsets[i + 1]] for i in range(len(rep))]
         q, t = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        place[q], place[t] = np.arange(len(q)), np.arange(len(t))
-        counts = np.zeros((len(q), len(t)), np.int16)
-        order = np.argsort(values, kind="stable")
-        cuts = np.flatnonzero(np.diff(values[order])) + 1
-        for part in np.split(owner[order], cuts):
-            a, b = part[side[part] == 0], part[side[part] == 1]
-            if len(a) and len(b):
-                counts[np.ix_(place[a], place[b])] += 1
-        big, small = np.maximum(n[q][:, None], n[t][None]), np.minimum(n[q][:, None], n[t][None])
-        need = np.where(big * 4 <= 3 * k, -(-percent * big // 100), least)
-        ok = (counts >= need) & (100 * small >= percent * big) & (comp[q][:, None] != comp[t][None])
-        i, j = np.nonzero(ok)
-        if best and len(i):
-            rank = np.lexsort((rep[t[j]], -counts[i, j], comp[t[j]], i))
-            i, j = i[rank], j[rank]
-            first = np.concatenate([[True], (i[1:] != i[:-1]) | (comp[t[j[1:]]] != comp[t[j[:-1]]])])
-            i, j = i[first], j[first]
-        return pa.table({"a": np.minimum(rep[q[i]], rep[t[j]]), "b": np.maximum(rep[q[i]], rep[t[j]])})
+        same = _shared([sets[i] for i in q], [sets[i] for i in t])
+        sizes = np.array([len(x) for x in sets], np.float32)
+        i, j = np.nonzero((100 * same >= percent * (sizes[q][:, None] + sizes[t][None] - same)) & (comp[q][:, None] != comp[t][None]))
+        label = np.array(rep)
+        i, j = q[i], t[j]
+        while len(i):
+            least = np.minimum(label[i], label[j])
+            before = label.copy()
+            np.minimum.at(label, i, least)
+            np.minimum.at(label, j, least)
+            if (label == before).all():
+                break
+        tied = label != rep
+        return pa.table({"a": label[tied], "b": rep[tied]})
 
     return run
 
@@ -213,66 +237,33 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75, shingle: int = 5,
     short = listed.join(length.where(F.col("members") <= SHORT).select("value"), "value").groupBy("value").agg(F.collect_list(F.struct("rep", "n")).alias("all"))
     paired = short.select(F.explode("all").alias("x"), "all").select("x.rep", "x.n", F.explode("all").alias("y")).select("rep", "n", F.col("y.rep").alias("other"), F.col("y.n").alias("m")).where("rep < other")
     hubs = listed.join(length.where(F.col("members") > SHORT).select("value", F.col("hub.rep").alias("other"), F.col("hub.n").alias("m")), "value")
-    pairs = paired.where(fits).select("rep", "other").union(hubs.where(fits).select("rep", "other"))
-    tried = scratch.save(_ordered(pairs), "tried-0")
-
-    state = _Links(scratch, source, reps, shingle, k, percent, least)
-    links = state.verify(tried, 0)
+    hubs = scratch.save(hubs.select("rep", "n", "other", "m").distinct(), "hubs")
+    pairs = scratch.save(paired.union(hubs).where(fits).select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct(), "pairs")
+    likely = scratch.save(_both(pairs, reps.select("rep", F.col("sketch").alias("items")), _estimated(k, percent, least)), "likely")
+    ids = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).union(hubs.select("rep")).distinct()
+    sets = scratch.save(source.join(ids, "doc_id", "left_semi").mapInArrow(_sets(shingle), "rep long, items array<long>"), "sets")
+    links = scratch.save(_both(likely, sets, _confirmed(percent)), "links")
     labels = components(links, scratch, "cc0")
-    long_lists = scratch.save(listed.join(length.where(F.col("members") > SHORT).select("value"), "value").select("value", "rep", "n"), "long")
-    for turn, best in ((1, True), (2, False)):
-        more = _unconnected(scratch, long_lists, labels, reps, percent, least, k, best, turn)
-        if more is None:
-            break
-        fresh = scratch.save(more.join(tried, ["a", "b"], "left_anti"), f"tried-{turn}")
-        if fresh.isEmpty():
-            continue
-        links = links.union(state.verify(fresh, turn))
-        tried = tried.union(fresh)
-        labels = components(links, scratch, f"cc{turn}")
-    scratch.drop("shared", "listed", "length", "long", "reps")
+    known = hubs.select("rep", "other").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(F.col("other").alias("hub"), "rep", F.coalesce("component", "rep").alias("comp"))
+    known = scratch.save(known, "known")
+    mixed = known.groupBy("hub").agg(F.count("*").alias("members"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+    mixed = mixed.select("hub", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    at = known.join(mixed, "hub").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).join(sets, "rep")
+    each = F.sequence(F.lit(0), F.col("blocks") - 1)
+    asks = at.select("hub", "rep", "comp", "items", F.lit(0).alias("side"), F.col("block").alias("i"), F.explode(each).alias("j")).where("i <= j")
+    told = at.select("hub", "rep", "comp", "items", F.lit(1).alias("side"), F.explode(each).alias("i"), F.col("block").alias("j")).where("i <= j")
+    tied = scratch.save(asks.union(told).groupBy("hub", "i", "j").applyInArrow(_blocks(percent), "a long, b long").distinct(), "tied")
+    if not tied.isEmpty():
+        labels = components(links.union(tied), scratch, "cc1")
+    scratch.drop("shared", "listed", "length", "hubs", "pairs", "likely", "sets", "known", "reps")
     group = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("sig", F.coalesce("component", "rep").alias("found"))
     out = made.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("sig")).alias("sig")).join(group, "sig", "left")
     component = F.coalesce("found", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
-
-
-class _Links:
-    """Filters pairs by their union sketches, then confirms them on the full sets."""
-
-    def __init__(self, scratch: Scratch, source: DataFrame, reps: DataFrame, shingle: int, k: int, percent: int, least: int) -> None:
-        self.scratch, self.source, self.reps = scratch, source, reps
-        self.shingle, self.k, self.percent, self.least = shingle, k, percent, least
-
-    def _both(self, pairs: DataFrame, items: DataFrame, passes) -> DataFrame:
-        sides = [items.select(F.col("rep").alias(x), F.col("items").alias(f"items_{x}")) for x in "ab"]
-        met = pairs.join(sides[1], "b").join(sides[0], "a").select("a", "b", "items_a", "items_b")
-        return met.mapInArrow(_pairs_that(passes), "a long, b long")
-
-    def verify(self, pairs: DataFrame, turn: int) -> DataFrame:
-        likely = self.scratch.save(self._both(pairs, self.reps.select("rep", F.col("sketch").alias("items")), _estimated(self.k, self.percent, self.least)), f"likely-{turn}")
-        ids = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
-        wanted = self.source.join(ids, "doc_id", "left_semi").mapInArrow(_sets(self.shingle), "rep long, items array<long>")
-        sets = self.scratch.save(wanted, f"sets-{turn}")
-        links = self.scratch.save(self._both(likely, sets, _confirmed(self.percent)), f"links-{turn}")
-        self.scratch.drop(f"likely-{turn}", f"sets-{turn}")
-        return links
-
-
-def _unconnected(scratch: Scratch, long_lists: DataFrame, labels: DataFrame, reps: DataFrame, percent: int, least: int, k: int, best: bool, turn: int) -> DataFrame | None:
-    """Pairs within the long lists whose members are not yet all of one component."""
-    known = long_lists.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("value", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-    known = scratch.save(known, f"known-{turn}")
-    mixed = known.groupBy("value").agg(F.count("*").alias("members"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-    mixed = mixed.select("value", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    if mixed.isEmpty():
-        return None
-    at = known.join(mixed, "value").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).join(reps.select("rep", "sketch"), "rep")
-    each = F.sequence(F.lit(0), F.col("blocks") - 1)
-    asks = at.select("value", "rep", "n", "comp", "sketch", F.lit(0).alias("side"), F.col("block").alias("i"), F.explode(each).alias("j")).where("i <= j")
-    told = at.select("value", "rep", "n", "comp", "sketch", F.lit(1).alias("side"), F.explode(each).alias("i"), F.col("block").alias("j")).where("i <= j")
-    return asks.union(told).groupBy("value", "i", "j").applyInArrow(_blocks(percent, least, k, best), "a long, b long").where("a <> b").distinct()
+def _both(pairs: DataFrame, items: DataFrame, passes) -> DataFrame:
+    """The pairs whose two sets pass."""
+    sides = [items.select(F.col("rep").alias(x), F.col("items").alias(f"items_{x}")) for x in "ab"]
+    met = pairs.join(sides[1], "b").join(sides[0], "a").select("a", "b", "items_a", "items_b")
+    return met.mapInArrow(_pairs_that(passes), "a long, b long").distinct()
