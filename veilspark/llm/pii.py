@@ -19,14 +19,16 @@ from pyspark.sql import DataFrame
 from ._common import rows_of, texts
 
 KINDS = ("email", "ip", "card", "phone")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+#: A match that fails at the start of a run of digits fails within it too, so the search need not start there.
 _PATTERNS = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "ip": re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
 #: A text without this character has none of the kind.
-_NEEDS = {"email": "@", "ip": ".", "phone": "+"}
+_NEEDS = {"ip": ".", "phone": "+"}
 
 # Letters of other scripts that look like Latin ones.
 _LOOKS = dict(
@@ -56,9 +58,9 @@ _ONE = re.compile(rf"(?i)\b(?:({_WORD})|{_DOT})\b")
 _LONE = re.compile(rf"(?i)(?<=[0-9.])[\x20-]?\b(?:{_WORD})\b|\b(?:{_WORD})\b(?=\.[0-9])")
 _PLUS = re.compile(r"(?i)\bplus\s+(?=[0-9])")
 _AT = r"(?:at|arroba|arobase|ät|klammeraffe)"
-_BRACKETS = re.compile(rf"(?i)\s*[\[({{<]\s*(?:({_AT}|@)|({_DOT}|\.))\s*[\])}}>]\s*")
-_SPOKEN = re.compile(rf"(?i)[\w.%+-]+\s+{_AT}\s+[\w-]+(?:\s+{_DOT}\s+[\w-]+)+")
-_SPOKEN_MIXED = re.compile(rf"(?i)[\w.%+-]+@[\w.-]+(?:\s+{_DOT}\s+[\w-]+)+|[\w.%+-]+\s+{_AT}\s+[\w-]+(?:\.[\w-]+)+\b")
+_BRACKETS = re.compile(rf"(?i)(?<!\s)\s*[\[({{<]\s*(?:({_AT}|@)|({_DOT}|\.))\s*[\])}}>]\s*")
+_SPOKEN = re.compile(rf"(?i)(?<![\w.%+-])[\w.%+-]+\s+{_AT}\s+[\w-]+(?:\s+{_DOT}\s+[\w-]+)+")
+_SPOKEN_MIXED = re.compile(rf"(?i)(?<![\w.%+-])[\w.%+-]+@[\w.-]+(?:\s+{_DOT}\s+[\w-]+)+|(?<![\w.%+-])[\w.%+-]+\s+{_AT}\s+[\w-]+(?:\.[\w-]+)+\b")
 _NUMBERS_DOT = re.compile(rf"(?i)(?<=[0-9])\s+{_DOT}\s+(?=[0-9])")
 _INNER = re.compile(rf"(?i)\s+(?:({_AT})|({_DOT}))\s+")
 
@@ -75,16 +77,28 @@ def luhn(digits: str) -> bool:
 def _valid(kind: str, match: str) -> bool:
     if kind == "ip":
         return all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in match.split("."))
-    if kind == "email":
-        return True
     digits = re.sub("[^0-9]", "", match)
     return 12 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 9 <= len(digits) <= 15
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost matches, each found from its at sign, so that long runs of letters cost no more than their length."""
+    end, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > end and text[start - 1] in _LOCAL:
+            start -= 1
+        domain = _DOMAIN.match(text, at + 1) if start < at else None
+        if domain:
+            end = domain.end()
+            yield start, end
+        at = text.find("@", max(at + 1, end))
+
+
 def plain(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of the identifiers in the text as it is, in that order."""
-    out = []
-    for number, kind in enumerate(KINDS):
+    out = [(a, 0, b) for a, b in _emails(text)]
+    for number, kind in enumerate(KINDS[1:], 1):
         if _NEEDS.get(kind, "") in text:
             out += [(m.start(), number, m.end()) for m in _PATTERNS[kind].finditer(text) if _valid(kind, m[0])]
     return sorted(out)
