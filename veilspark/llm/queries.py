@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, flac, minhash, pii, suffix
+from . import bpe, flac, minhash, pii, subspace, suffix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,11 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_joined("base").cast("binary"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
 
 
+def op5_subspace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicates of ``embeddings``: cosine 0.9 or more."""
+    return subspace.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of ``documents`` by a public vocabulary, and the texts that they decode to."""
     import public_tokenizers
@@ -55,5 +60,5 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_minhash": op1_minhash, "op2_suffix_array": op2_suffix_array, "op3_flac": op3_flac, "op4_pii": op4_pii, "op8_byte_bpe": op8_byte_bpe}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_minhash": op1_minhash, "op2_suffix_array": op2_suffix_array, "op3_flac": op3_flac, "op4_pii": op4_pii, "op5_subspace": op5_subspace, "op8_byte_bpe": op8_byte_bpe}
 ORACLE_SQL: dict[str, str] = {}
