@@ -241,7 +241,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75, shingle: int = 5,
     pairs = scratch.save(paired.union(hubs).where(fits).select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct(), "pairs")
     likely = scratch.save(_both(pairs, reps.select("rep", F.col("sketch").alias("items")), _estimated(k, percent, least)), "likely")
     ids = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).union(hubs.select("rep")).distinct()
-    sets = scratch.save(source.join(ids, "doc_id", "left_semi").mapInArrow(_sets(shingle), "rep long, items array<long>"), "sets")
+    sets = scratch.save(source.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(shingle), "rep long, items array<long>"), "sets")
     links = scratch.save(_both(likely, sets, _confirmed(percent)), "links")
     labels = components(links, scratch, "cc0")
     known = hubs.select("rep", "other").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(F.col("other").alias("hub"), "rep", F.coalesce("component", "rep").alias("comp"))
