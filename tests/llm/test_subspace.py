@@ -4,7 +4,7 @@ from veilspark.llm import subspace
 
 
 def brute(rows, threshold=0.9):
-    good = [(i, np.array(v, float)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    good = [(i, np.array(v, float) / max(map(abs, v))) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     root = {i: i for i, _ in rows}
     count = [0] * len(good)
 
