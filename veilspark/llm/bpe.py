@@ -3,7 +3,7 @@
 A text is split by the tokenizer's pattern. Words that the task does not know yet go, as rows (word, position, token), into a recursive
 query: each step joins neighbouring tokens with the merge table, picks each word's lowest rank (leftmost of equals) and
 contracts that pair, until no word has a pair left. Ordered aggregation gives a word's ids, and from the vocabulary
-the bytes that they decode to. Known words are kept between batches, in bounded number.
+the bytes that they decode to. Known words are kept between batches and tasks, in bounded number.
 
 A word of more than ``SHORT`` bytes contracts all places of its lowest pair in a step, from left to right, up to the first one that
 makes a pair of lower rank than its own: the same merges in the same order, in far fewer steps.
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 from ._common import lists, rows_of, texts
 
-#: Words that a task remembers; beyond that it forgets all and starts again.
+#: Words of one generation that a worker remembers; when it is full, those not met since the one before are forgotten.
 CACHE = 300_000
 SHORT = 64
 #: Bytes of text whose new words are learnt together.
@@ -35,8 +35,8 @@ _NEIGHBOURS = """
     from merging where not done window w as (partition by word order by pos)
 """
 _RESULT = """
-    select word, list(token order by pos) as ids, unhex(string_agg(hex(bytes), '' order by pos)) as decoded
-    from merging join vocabulary on id = token where done group by word order by word
+    select word, list(token) as ids, unhex(string_agg(hex, '')) as decoded
+    from (select word, token, hex from merging join vocabulary on id = token where done order by word, pos) group by word order by word
 """
 #: Each step contracts the leftmost lowest pair of each word.
 MERGE = f"""
@@ -119,26 +119,36 @@ class Encoder:
         self.sql.register("merges_in", pa.table({k: pa.array(v, pa.int64()) for k, v in merge_rows(ranks).items()}))
         self.sql.register("vocabulary_in", pa.table({"id": pa.array(list(ranks.values()), pa.int64()), "bytes": pa.array(list(ranks), pa.binary())}))
         self.sql.execute("create table merges as select (l << 32) | r as pair, m from merges_in")
-        self.sql.execute("create table vocabulary as select * from vocabulary_in")
+        self.sql.execute("create table vocabulary as select id, hex(bytes) as hex from vocabulary_in")
         self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
-        self.known: dict[str, tuple[list[int], bytes]] = {}
+        self.ids: dict[str, bytes] = {}
+        self.decoded: dict[str, bytes] = {}
+        self.older: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
 
-    def _encode(self, words: list[bytes], query: str) -> list[tuple[list[int], bytes]]:
+    def _encode(self, words: list[bytes], query: str) -> Iterator[tuple[bytes, bytes]]:
+        """(ids as 32-bit integers, decoded bytes) of each word."""
         sizes = np.array([len(w) for w in words])
         first = np.repeat(np.cumsum(sizes) - sizes, sizes)
-        rows = pa.table({"word": np.repeat(np.arange(len(words)), sizes), "pos": np.arange(len(first)) - first, "token": self.single[np.frombuffer(b"".join(words), np.uint8)]})
+        rows = pa.table({"word": np.repeat(np.arange(len(words), dtype=np.int32), sizes), "pos": (np.arange(len(first)) - first).astype(np.int32), "token": self.single[np.frombuffer(b"".join(words), np.uint8)]})
         self.sql.register("start", rows)
         got = self.sql.sql(query).to_arrow_table()
         self.sql.unregister("start")
-        return list(zip(got.column("ids").to_pylist(), got.column("decoded").to_pylist()))
+        ids = got.column("ids").combine_chunks()
+        cuts, data = (ids.offsets.to_numpy() * 4).tolist(), ids.values.to_numpy().astype(np.int32).tobytes()
+        return zip((data[a:b] for a, b in zip(cuts, cuts[1:])), got.column("decoded").to_pylist())
 
     def learn(self, words: Iterable[str]) -> None:
         """Encodes the words that are not known yet."""
         words = set(words)
-        fresh = [w for w in words if w not in self.known]
-        if len(self.known) + len(fresh) > CACHE:
-            self.known.clear()
-            fresh = list(words)
+        if len(self.ids) > CACHE:
+            self.older = self.ids, self.decoded
+            self.ids, self.decoded = {}, {}
+        fresh = []
+        for w in words - self.ids.keys():
+            if w in self.older[0]:
+                self.ids[w], self.decoded[w] = self.older[0][w], self.older[1][w]
+            else:
+                fresh.append(w)
         coded = sorted(((w.encode(), w) for w in fresh), key=lambda x: len(x[0]))
         short = bisect_right(coded, SHORT, key=lambda x: len(x[0]))
         for query, some in ((MERGE, coded[:short]), (MERGE_LONG, coded[short:])):
@@ -146,7 +156,8 @@ class Encoder:
             size = 0
             for word in [*some, None]:
                 if group and (word is None or size + len(word[0]) > STEP):
-                    self.known.update(zip([w for _, w in group], self._encode([w for w, _ in group], query)))
+                    for (_, w), (ids, data) in zip(group, self._encode([w for w, _ in group], query)):
+                        self.ids[w], self.decoded[w] = ids, data
                     group, size = [], 0
                 if word is not None:
                     group.append(word)
@@ -157,8 +168,7 @@ class Encoder:
         split = [self.pattern.findall(t) for t in chunk]
         self.learn(chain.from_iterable(split))
         for words in split:
-            found = [self.known[w] for w in words]
-            yield np.fromiter(chain.from_iterable(x[0] for x in found), np.int32), b"".join([x[1] for x in found])
+            yield np.frombuffer(b"".join(map(self.ids.__getitem__, words)), np.int32), b"".join(map(self.decoded.__getitem__, words))
 
 
 _encoders: dict[tuple, Encoder] = {}
