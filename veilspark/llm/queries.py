@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, flac, minhash, pii, quality, subspace, suffix
+from . import bpe, flac, minhash, pii, quality, subspace, suffix, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,11 +60,17 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of ``documents``, learnt from ``labels``."""
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op10_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of ``documents``, learnt from ``labels``."""
     docs = _table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_minhash": op1_minhash, "op2_suffix_array": op2_suffix_array, "op3_flac": op3_flac, "op4_pii": op4_pii, "op5_subspace": op5_subspace, "op8_byte_bpe": op8_byte_bpe, "op10_gam": op10_gam}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_minhash": op1_minhash, "op2_suffix_array": op2_suffix_array, "op3_flac": op3_flac, "op4_pii": op4_pii, "op5_subspace": op5_subspace, "op8_byte_bpe": op8_byte_bpe, "op9_weak_toxicity": op9_weak_toxicity, "op10_gam": op10_gam}
 ORACLE_SQL: dict[str, str] = {}
