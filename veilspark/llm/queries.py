@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, flac, minhash, pii, quality, subspace, suffix, toxicity
+from . import bpe, flac, minhash, packing, pii, quality, subspace, suffix, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,11 @@ def op5_subspace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subspace.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length buckets and batches of ``documents``."""
+    return packing.bucket_batches(_table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of ``documents`` by a public vocabulary, and the texts that they decode to."""
     import public_tokenizers
@@ -72,5 +77,5 @@ def op10_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_minhash": op1_minhash, "op2_suffix_array": op2_suffix_array, "op3_flac": op3_flac, "op4_pii": op4_pii, "op5_subspace": op5_subspace, "op8_byte_bpe": op8_byte_bpe, "op9_weak_toxicity": op9_weak_toxicity, "op10_gam": op10_gam}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_minhash": op1_minhash, "op2_suffix_array": op2_suffix_array, "op3_flac": op3_flac, "op4_pii": op4_pii, "op5_subspace": op5_subspace, "op6_packing": op6_packing, "op8_byte_bpe": op8_byte_bpe, "op9_weak_toxicity": op9_weak_toxicity, "op10_gam": op10_gam}
 ORACLE_SQL: dict[str, str] = {}
