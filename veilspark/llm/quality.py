@@ -204,3 +204,17 @@ def score(docs: DataFrame, model: Additive, threshold: float = 0.5, text: str =
 
     scored = texts(docs, text, doc_id).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep(docs: DataFrame, model: Additive, threshold: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text scores ``threshold`` or more, with all their columns."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                data = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), batch.column(at).cast(pa.binary()).fill_null(b"")], names=["row", "text"])
+                good = [model.score(features(chunk)) >= threshold for _, chunk in rows_of([data])]
+                yield batch.filter(pa.array(np.concatenate([*good, np.zeros(0, bool)]), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, flac, minhash, packing, pii, quality, subspace, suffix, toxicity
+from . import bpe, flac, license, minhash, packing, pii, quality, subspace, suffix, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,13 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.bucket_batches(_table(spark, sf_dir, "documents"))
 
 
+def op7_patience_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in ``documents``."""
+    found = license.licenses(_table(spark, sf_dir, "documents"))
+    shown = F.transform("notices", lambda x: F.concat_ws(":", x["license"], x["start"], x["end"], F.format_number(x["coverage"], 4)))
+    return found.select("doc_id", F.size("notices").cast("long").alias("n_notices"), F.array_join(shown, ",").alias("notices"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of ``documents`` by a public vocabulary, and the texts that they decode to."""
     import public_tokenizers
@@ -77,5 +84,5 @@ def op10_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_minhash": op1_minhash, "op2_suffix_array": op2_suffix_array, "op3_flac": op3_flac, "op4_pii": op4_pii, "op5_subspace": op5_subspace, "op6_packing": op6_packing, "op8_byte_bpe": op8_byte_bpe, "op9_weak_toxicity": op9_weak_toxicity, "op10_gam": op10_gam}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_minhash": op1_minhash, "op2_suffix_array": op2_suffix_array, "op3_flac": op3_flac, "op4_pii": op4_pii, "op5_subspace": op5_subspace, "op6_packing": op6_packing, "op7_patience_license": op7_patience_license, "op8_byte_bpe": op8_byte_bpe, "op9_weak_toxicity": op9_weak_toxicity, "op10_gam": op10_gam}
 ORACLE_SQL: dict[str, str] = {}

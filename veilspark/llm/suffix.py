@@ -207,24 +207,34 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _cut(length: int, whole_characters: bool):
-    """Removes the spans; with ``whole_characters`` no UTF-8 character is split."""
-
-    def one(text: bytes, starts: list | None, everything: bool) -> tuple[list[tuple[int, int]], bytes]:
-        spans = [(0, len(text))] if everything else _merged([(x["s"], x["e"] + length) for x in starts or ()])
-        if whole_characters:
-            edge = lambda p, step: p if p in (0, len(text)) or text[p] & 0xC0 != 0x80 else edge(p + step, step)
-            spans = [(a, b) for a, b in ((edge(a, 1), edge(b, -1)) for a, b in spans) if a < b]
-        at, kept = 0, []
+def _removed(text: bytes, starts: list | None, everything: bool, length: int, whole_characters: bool) -> tuple[list[tuple[int, int]], bytes]:
+    """(spans, what stays); with ``whole_characters`` no UTF-8 character is split."""
+    spans = [(0, len(text))] if everything else _merged([(x["s"], x["e"] + length) for x in starts or ()])
+    if whole_characters:
+        inside = lambda p: 0 < p < len(text) and text[p] & 0xC0 == 0x80
+        fitted = []
         for a, b in spans:
-            kept.append(text[at:a])
-            at = b
-        return spans, b"".join([*kept, text[at:]])
+            while inside(a):
+                a += 1
+            while inside(b):
+                b -= 1
+            if a < b:
+                fitted.append((a, b))
+        spans = fitted
+    at, kept = 0, []
+    for a, b in spans:
+        kept.append(text[at:a])
+        at = b
+    return spans, b"".join([*kept, text[at:]])
+
+
+def _cut(length: int, whole_characters: bool):
+    """Texts with their spans removed."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, digests = batch.column("doc_id").to_pylist(), batch.column("digest").to_pylist()
-            done = [one(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("text", "starts", "everything")))]
+            done = [_removed(*x, length, whole_characters) for x in zip(*(batch.column(c).to_pylist() for c in ("text", "starts", "everything")))]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids, pa.int64()),
@@ -291,3 +301,23 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fal
     cut = touched.mapInArrow(_cut(length, keep_first), "doc_id long, digest binary, spans array<struct<start: long, end: long>>, kept binary")
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
     return cut.select("doc_id", (F.length("kept") + removed).alias("n_bytes"), "digest", "spans", "kept")
+
+
+def deduplicate(docs: DataFrame, length: int = LENGTH, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``docs`` without what stands earlier in it: as ``remove_repeats`` with ``keep_first``, but with all columns; null texts stay null."""
+    found, _ = repeated(docs, length, True, text, doc_id)
+    names = docs.columns
+    own = [f"c{i}" for i in range(len(names))]
+    source = docs.toDF(*own).withColumn("digest", _digest(F.coalesce(F.col(own[names.index(text)]).cast("binary"), F.lit(b""))))
+    joined = source.join(found, "digest", "left")
+    earlier = ~F.col(own[names.index(doc_id)]).cast("long").eqNullSafe(F.col("first_id"))
+    touched = joined.select(*own, (F.coalesce("everything", F.lit(False)) & earlier).alias("everything"), "starts")
+    at = names.index(text)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in (own[at], "starts", "everything")))
+            new = [t if t is None or not (e or s) else _removed(t.encode(), s, e, length, True)[1].decode() for t, s, e in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if i == at else batch.column(i) for i in range(len(own))], names=own)
+
+    return touched.mapInArrow(run, docs.toDF(*own).schema).toDF(*names)
