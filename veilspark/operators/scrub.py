@@ -1,0 +1,56 @@
+"""The whole operator: texts or leaves in, pseudonymised text with marks and counts out."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import draw
+from ..functions import spans as S
+from . import detect
+
+
+def found_values(spans: DataFrame, scope: Column) -> DataFrame:
+    """(scope, entity, original, score): one row for each distinct value, of its surest kind."""
+    each = spans.select(scope.alias("scope"), F.explode("spans").alias("s"))
+    kinds = each.groupBy("scope", F.col("s.value").alias("original"), F.col("s.entity").alias("entity")).agg(F.max("s.score").alias("score"), F.count("*").alias("n"))
+    best = kinds.groupBy("scope", "original").agg(F.max_by("entity", F.struct("score", "n", "entity")).alias("entity"), F.max("score").alias("score"))
+    return best.select("scope", "entity", "original", "score")
+
+
+def guarded(drawn: DataFrame, originals: DataFrame, seed: str) -> DataFrame:
+    """Stand-ins that are no original of their scope: a clash takes the shape of the value under another key."""
+    clash = originals.select("scope", F.lower("original").alias("low")).distinct()
+    met = drawn.withColumn("low", F.lower("stand_in")).join(clash.withColumn("hit", F.lit(True)), ["scope", "low"], "left")
+    other = draw.same_shape(F.col("original"), draw.stream(seed, F.col("scope"), "CLASH", F.col("original")))
+    return met.select("scope", "entity", "original", F.when(F.col("hit"), other).otherwise(F.col("stand_in")).alias("stand_in"))
+
+
+def scrub(docs: DataFrame, seed: str, text: str = "text", key: str = "doc_id", scope: str | None = None, bank: Sequence[detect.Pattern] = detect.BANK) -> DataFrame:
+    """One row per row of ``docs``: key, output, marks (places in the output), counts by entity, n_spans.
+
+    ``scope`` names a column within which one value takes one stand-in; without it that is the whole input. Detection runs once per distinct
+    text, drawing once per distinct value; the join back is on the text's digest, so no value is gathered anywhere.
+    """
+    where = F.lit("dataset") if scope is None else F.col(scope).cast("string")
+    rows = docs.select(F.col(key).alias("key"), where.alias("scope"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    spans = rows.withColumn("spans", detect.detect(F.col("text"), bank))
+    values = found_values(spans, F.col("scope"))
+    drawn = guarded(draw.stand_ins(values, seed), values, seed)
+    each = spans.where(F.size("spans") > 0).select("key", "scope", F.explode("spans").alias("s"))
+    edits = each.join(drawn.select("scope", F.col("original").alias("value"), "stand_in"), (each["scope"] == drawn["scope"]) & (F.col("s.value") == F.col("value")), "left").select(
+        "key", F.struct(F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("stand_in").alias("new"), F.col("s.entity").alias("entity"), F.col("s.value").alias("original"), F.col("s.score").alias("score")).alias("edit")
+    )
+    made = edits.groupBy("key").agg(F.array_sort(F.array_distinct(F.collect_list("edit"))).alias("edits"))
+    return rows.join(made, "key", "left").select(F.col("key").alias(key), *_rendered(F.col("text"), F.coalesce("edits", F.array())))
+
+
+def _rendered(text: Column, edits: Column) -> list[Column]:
+    edits = edits.cast("array<struct<start: int, end: int, new: string, entity: string, original: string, score: double>>")
+    places = S.shifted(edits)
+    marks = F.zip_with(places, edits, lambda p, e: F.struct(p["start"].alias("start"), p["end"].alias("end"), e["entity"].alias("entity"), e["original"].alias("original"), e["new"].alias("stand_in"), e["score"].alias("confidence")))
+    kinds = F.array_sort(F.array_distinct(F.transform(edits, lambda e: e["entity"])))
+    counts = F.map_from_arrays(kinds, F.transform(kinds, lambda k: F.size(F.filter(edits, lambda e: e["entity"] == k)).cast("long")))
+    return [S.apply_edits(text, edits).alias("output"), marks.alias("marks"), counts.alias("counts"), F.size(edits).alias("n_spans")]

@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from ..operators import scrub
+from . import detection, masking, portable, reports
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = detection.QUERIES | masking.QUERIES | reports.QUERIES
+ORACLE_SQL: dict[str, str] = detection.ORACLE_SQL | masking.ORACLE_SQL | reports.ORACLE_SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents by source."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").count()
+    """Documents pseudonymised: doc_id, output, marks, counts, n_spans."""
+    return scrub.scrub(portable.table(spark, sf_dir, "documents"), portable.SEED)
