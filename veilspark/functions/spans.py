@@ -70,7 +70,7 @@ def resolve(found: Column) -> Column:
         rest = F.filter(kept, lambda k: ~overlap(k, s))
         return F.when(F.size(met) == 0, F.concat(kept, F.array(s))).when(wider, F.concat(rest, F.array(s))).otherwise(kept)
 
-    return F.array_sort(F.aggregate(order, F.filter(found, lambda s: F.lit(False)), step))
+    return F.array_sort(F.aggregate(order, F.array().cast(f"array<{SPAN}>"), step))
 
 
 def apply_edits(text: Column, edits: Column) -> Column:

@@ -83,7 +83,7 @@ def top_docs_by_density(spark, sf):
     return P.table(spark, sf, "documents").select("doc_id", "n_chars").join(n, "doc_id").orderBy(density.desc(), "doc_id").limit(10).select("doc_id", "n", F.round(density, 4).alias("per_1000"))
 
 
-_MARKS = f"(select entity, value, doc_id, case entity {' '.join(f"when '{e}' then {s}" for e, s in P.SCORES.items())} end as confidence from {_ALL})"
+_MARKS = f"(select entity, value, doc_id, case entity {' '.join(f"when '{e}' then cast({s} as double)" for e, s in P.SCORES.items())} end as confidence from {_ALL})"
 
 
 def _marks(spark, sf):
@@ -120,7 +120,7 @@ def majority_kind(spark, sf):
 
 
 @_query("near_groups", f"""
-select doc_id, group_no, count(*) as n, min(start_at) as first_at from (
+select doc_id, cast(group_no as bigint) as group_no, count(*) as n, min(start_at) as first_at from (
     select *, sum(fresh) over (partition by doc_id order by start_at, end_at rows unbounded preceding) as group_no from (
         select *, case when coalesce(start_at - lag(end_at) over (partition by doc_id order by start_at, end_at) > 160, true) then 1 else 0 end as fresh from {_ALL}))
 group by doc_id, group_no""")
@@ -231,7 +231,7 @@ def events_tumbling(spark, sf):
     return e.select(F.col("w.start").alias("at"), "event_type", "n", "total")
 
 
-@_query("events_sliding", "select at, count(*) as n from (select time_bucket(interval '30 minutes', ts) - interval '30 minutes' * k as at from events, unnest([0, 1]) t(k)) group by at")
+@_query("events_sliding", """select "at", count(*) as n from (select time_bucket(interval '30 minutes', ts) - k * interval '30 minutes' as "at" from events, (select unnest([0, 1]) as k)) group by "at\"""")
 def events_sliding(spark, sf):
     e = P.table(spark, sf, "events").groupBy(F.window("ts", "1 hour", "30 minutes").alias("w")).agg(F.count("*").alias("n"))
     return e.select(F.col("w.start").alias("at"), "n")
