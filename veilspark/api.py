@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import checks
+from .functions import checks, draw
 from .operators import detect, fields, review, scrub
 from .operators.detect import Pattern
 from .sources import formats, leaves
@@ -32,11 +32,14 @@ def with_patterns(*more: Pattern) -> tuple[Pattern, ...]:
     return (*more, *detect.BANK)
 
 
-def mask_column(df: DataFrame, column: str, seed: str, entity: str = "RECORD_ID") -> DataFrame:
-    """A table with one column's values replaced consistently, so that joins on it still work: null stays null, equal stays equal."""
-    from .functions import draw
+def mask_column(df: DataFrame, column: str, seed: str, entity: str | None = None) -> DataFrame:
+    """A table with one column's values replaced consistently, so that joins on it still work: null stays null, equal stays equal.
 
-    made = draw.DRAWS[entity](F.col(column).cast("string"), seed, "dataset")
+    Without ``entity`` a value becomes 24 keyed hexadecimal digits, so different values stay different. The forms of an entity look real, but short ones
+    are few and may meet.
+    """
+    value = F.col(column).cast("string")
+    made = F.substring(draw.stream(seed, "dataset", "KEY", value), 1, 24) if entity is None else draw.DRAWS[entity](value, seed, "dataset")
     return df.withColumn(column, F.when(F.col(column).isNotNull(), made))
 
 

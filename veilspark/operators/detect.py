@@ -145,4 +145,5 @@ def detect_leaves(leaves: DataFrame, bank: Sequence[Pattern] = BANK) -> DataFram
     whole = F.array(F.struct(F.lit(0).alias("start"), F.length("text").alias("end"), hint.alias("entity"), F.lit(1.0).alias("score"), F.col("text").alias("value")))
     fits = hint.isNotNull() & (F.length("text") > 0) & keys.fits(hint, F.col("text"))
     read = distinct.withColumn("spans", F.when(F.coalesce(fits, F.lit(False)), whole).when(keys.structural(F.col("key")), F.filter(whole, lambda s: F.lit(False))).otherwise(detect(F.col("text"), bank)))
-    return leaves.join(read, leaves["key"].eqNullSafe(read["key"]) & (leaves["text"] == read["text"]), "left").select(*(leaves[c] for c in leaves.columns), read["spans"])
+    read = read.select(F.col("key").alias("read_key"), F.col("text").alias("read_text"), "spans")
+    return leaves.join(read, F.col("key").eqNullSafe(F.col("read_key")) & (F.col("text") == F.col("read_text")), "left").drop("read_key", "read_text")
