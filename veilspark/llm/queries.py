@@ -85,4 +85,22 @@ def op10_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_minhash": op1_minhash, "op2_suffix_array": op2_suffix_array, "op3_flac": op3_flac, "op4_pii": op4_pii, "op5_subspace": op5_subspace, "op6_packing": op6_packing, "op7_patience_license": op7_patience_license, "op8_byte_bpe": op8_byte_bpe, "op9_weak_toxicity": op9_weak_toxicity, "op10_gam": op10_gam}
-ORACLE_SQL: dict[str, str] = {}
+#: Components of links (a, b in both directions) over nodes (id), for small tables.
+_REACH = """
+reach as (select id, id as root from nodes union select l.b, r.root from reach r join links l on l.a = r.id),
+found as (select id, min(root) as component_id from reach group by id)
+"""
+ORACLE_SQL: dict[str, str] = {
+    "op1_minhash": rf"""
+with recursive w as (select doc_id as id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+nodes as (select id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as s from w),
+g as (select id, len(s) as n, unnest(s) as g from nodes),
+links as (select x.id as a, y.id as b from g x join g y on x.g = y.g and x.id <> y.id group by all having 100 * count(*) >= 75 * (max(x.n) + max(y.n) - count(*))),
+{_REACH}
+select id as doc_id, cast(len(s) as bigint) as n_shingles, component_id, component_id = id as kept from nodes join found using (id)""",
+    "op5_subspace": f"""
+with recursive nodes as (select vec_id as id, cast(embedding as double[]) as v from embeddings),
+links as (select x.id as a, y.id as b from nodes x join nodes y on x.id <> y.id and list_cosine_similarity(x.v, y.v) >= 0.9),
+{_REACH}
+select id as vec_id, (select count(*) from links where a = id) as n_links, component_id, component_id = id as kept from nodes join found using (id)""",
+}

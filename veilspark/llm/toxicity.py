@@ -133,9 +133,13 @@ class LabelModel:
 
 
 def fit_label_model(cast: np.ndarray, prior: float, rounds: int = 30) -> LabelModel:
-    """Expectation maximisation from the majority of the votes; the prior stays as it is known."""
+    """Expectation maximisation from the majority of the votes, where copies of a voter share one say; the prior stays as it is known."""
     n, m = cast.shape
-    q = np.where((cast > 0).sum(axis=1) > (cast < 0).sum(axis=1), 0.9, 0.1 * prior)
+    centred = cast - cast.mean(axis=0)
+    spread = np.sqrt((centred * centred).mean(axis=0)) + 1e-9
+    alike = np.abs((centred / spread).T @ (centred / spread)) / max(n, 1)
+    say = 1 / np.maximum((alike * (alike > 0.9)).sum(axis=1), 1)
+    q = np.where(cast @ say > 0, 0.9, 0.1 * prior)
     model = LabelModel(min(max(prior, 1e-3), 1 - 1e-3))
     for _ in range(rounds):
         both = np.stack([1 - q, q], axis=1)
