@@ -28,6 +28,8 @@ ENTRIES = 4096
 #: Voters that share the entries of one kind.
 SHARES = 2
 RIDGE = 1e-3
+#: Correlation of two voters' errors from which they share their say.
+COPIED = 0.5
 
 # Words of abuse.
 ABUSE = "idiot stupid moron loser trash scum worthless pathetic disgusting clown dumb fool imbecile jerk creep freak vermin filthy bastard bitch crap damn hell shit fuck asshole retard slut whore".split()
@@ -150,7 +152,8 @@ def fit_label_model(cast: np.ndarray, prior: float, rounds: int = 30) -> LabelMo
         rest = cast - (mean[:, 0][None] * both[:, :1] + mean[:, 1][None] * both[:, 1:])
         scale = np.sqrt((rest * rest).mean(axis=0)) + 1e-9
         correlation = np.abs((rest / scale).T @ (rest / scale)) / max(n, 1)
-        model.weight = 1 / np.maximum(correlation.sum(axis=1), 1)
+        # weaker ties are what doubt about the label leaves, not copying
+        model.weight = 1 / np.maximum((correlation * (correlation > COPIED)).sum(axis=1), 1)
         q = model.posterior(cast)
     return model
 
