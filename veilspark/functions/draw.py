@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -295,10 +296,14 @@ DRAWS: dict[str, Callable[[Column, str, Column | str], Column]] = {
 
 
 def stand_ins(values: DataFrame, seed: str) -> DataFrame:
-    """(scope, entity, original) rows with their ``stand_in``: each entity's draw runs over its own distinct values only."""
-    values = values.select("scope", "entity", "original").distinct()
-    parts = [values.where(F.col("entity") == name).withColumn("stand_in", draw(F.col("original"), seed, F.col("scope"))) for name, draw in DRAWS.items()]
-    rest = values.where(~F.col("entity").isin(*DRAWS)).withColumn("stand_in", record_id(F.col("original"), seed, F.col("scope"), "ID_NUMBER"))
-    for part in parts:
-        rest = rest.unionByName(part)
+    """(scope, entity, original) rows with their ``stand_in``: each entity's draw runs over its own distinct values only.
+
+    The kinds that are there (a closed list) are looked up first, so that the plan has no others.
+    """
+    values = values.select("scope", "entity", "original").distinct().persist(StorageLevel.MEMORY_AND_DISK)
+    here = {r.entity for r in values.select("entity").distinct().collect()} & set(DRAWS)
+    rest = values.where(~F.col("entity").isin(*here)) if here else values
+    rest = rest.withColumn("stand_in", record_id(F.col("original"), seed, F.col("scope"), "ID_NUMBER"))
+    for name in sorted(here):
+        rest = rest.unionByName(values.where(F.col("entity") == name).withColumn("stand_in", DRAWS[name](F.col("original"), seed, F.col("scope"))))
     return rest

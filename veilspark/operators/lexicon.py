@@ -1,4 +1,4 @@
-"""Known values found everywhere: a dictionary joined to the n-grams of texts."""
+"""Known values found everywhere: a dictionary joined to the words of texts."""
 
 from __future__ import annotations
 
@@ -18,25 +18,39 @@ def folded(value: Column) -> Column:
     return F.array_join(F.regexp_extract_all(keys.plain(value), F.lit(WORD), F.lit(0)), " ")
 
 
-def ngrams(leaves: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """(scope, leaf_id, start, end, folded) of all runs of 1 to ``longest`` words of each text."""
-    tokens = S.matches(F.col("text"), WORD)
-    rows = leaves.select("scope", "leaf_id", "text", tokens.alias("t"))
-    starts = F.sequence(F.lit(1), F.size("t"))
-    rows = rows.where(F.size("t") > 0).select("scope", "leaf_id", "text", "t", F.explode(starts).alias("i"))
-    rows = rows.select("scope", "leaf_id", "text", "t", "i", F.explode(F.sequence(F.lit(0), F.least(F.lit(longest - 1), F.size("t") - F.col("i")))).alias("k"))
-    first, last = F.element_at("t", F.col("i")), F.element_at("t", F.col("i") + F.col("k"))
-    value = F.substring("text", first["start"] + 1, last["end"] - first["start"])
-    return rows.select("scope", "leaf_id", first["start"].alias("start"), last["end"].alias("end"), value.alias("value"), folded(value).alias("folded"))
+def tokens(leaves: DataFrame, longest: int = LONGEST) -> DataFrame:
+    """(scope, leaf_id, start, ends, words, stretch): each word of each text with the ``longest`` words from it on, folded; ``stretch`` is their text.
 
+    A row carries those few words only, never its text.
+    """
+    rows = leaves.select("scope", "leaf_id", "text", S.matches(F.col("text"), WORD).alias("t"))
+    rows = rows.where(F.size("t") > 0).select("scope", "leaf_id", "text", "t", F.transform("t", lambda m: keys.plain(m["value"])).alias("w"))
+
+    def one(m: Column, i: Column) -> Column:
+        some = F.slice("t", i + 1, F.lit(longest))
+        last = F.element_at(some, -1)["end"]
+        return F.struct(m["start"].alias("start"), F.transform(some, lambda x: x["end"]).alias("ends"), F.slice("w", i + 1, F.lit(longest)).alias("words"), F.substring("text", m["start"] + 1, last - m["start"]).alias("stretch"))
+
+    return rows.select("scope", "leaf_id", F.explode(F.transform("t", one)).alias("x")).select("scope", "leaf_id", "x.*")
 
-def match(leaves: DataFrame, entries: DataFrame, longest: int = LONGEST, score: float = 0.95) -> DataFrame:
-    """(leaf_id, start, end, entity, score, value) where an entry (scope, entity, literal) stands in a text of its scope, whatever its case and accents.
 
-    An equi-join on scope and folded words; entries are distinct first, so it makes at most one row for each n-gram and kind.
+def hits(leaves: DataFrame, entries: DataFrame, longest: int = LONGEST) -> DataFrame:
+    """Where entries (scope, folded, ...) of at most ``longest`` words stand in texts of their scope: leaf_id, start, end, value and the entries' other columns.
+
+    An equi-join on scope and first word, then the other words are compared, so rows are made only where an entry may begin.
     """
+    known = entries.withColumn("entry", F.split("folded", " ")).where(F.size("entry") <= longest).withColumn("first", F.element_at("entry", 1))
+    met = tokens(leaves, longest).withColumn("first", F.element_at("words", 1)).join(known, ["scope", "first"])
+    met = met.where(F.slice("words", F.lit(1), F.size("entry")) == F.col("entry"))
+    end = F.element_at("ends", F.size("entry"))
+    others = [c for c in entries.columns if c not in ("scope", "folded")]
+    return met.select("leaf_id", "start", end.alias("end"), F.substring("stretch", F.lit(1), end - F.col("start")).alias("value"), "folded", *others)
+
+
+def match(leaves: DataFrame, entries: DataFrame, longest: int = LONGEST, score: float = 0.95) -> DataFrame:
+    """(leaf_id, start, end, entity, score, value) where an entry (scope, entity, literal) stands in a text of its scope, whatever its case and accents."""
     known = entries.select("scope", "entity", folded(F.col("literal")).alias("folded")).where("folded <> ''").distinct()
-    return ngrams(leaves, longest).join(known, ["scope", "folded"]).select("leaf_id", "start", "end", "entity", F.lit(score).alias("score"), "value")
+    return hits(leaves, known, longest).select("leaf_id", "start", "end", "entity", F.lit(score).alias("score"), "value")
 
 
 def free(found: DataFrame, taken: DataFrame) -> DataFrame:

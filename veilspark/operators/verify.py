@@ -46,8 +46,7 @@ def variants(originals: DataFrame) -> DataFrame:
 def leaks(outputs: DataFrame, originals: DataFrame, longest: int = lexicon.LONGEST) -> DataFrame:
     """(leaf_id, start, end, entity, original, form, value) where outputs (scope, leaf_id, text) still show an original of their scope in any spelling."""
     v = variants(originals)
-    grams = lexicon.ngrams(outputs, longest)
-    words = grams.join(v.where("form <> 'digits'"), ["scope", "folded"])
+    words = lexicon.hits(outputs, v.where("form <> 'digits'"), longest)
     runs = S.matches(F.col("text"), r"\+?[0-9][0-9 ().-]{5,}[0-9]")
     numbers = outputs.select("scope", "leaf_id", F.explode(runs).alias("m")).select("scope", "leaf_id", "m.start", "m.end", "m.value", checks.digits(F.col("m.value")).alias("folded"))
     numbers = numbers.join(v.where("form = 'digits'"), ["scope", "folded"])
@@ -78,7 +77,7 @@ def residue(outputs: DataFrame, names: DataFrame, ordinary: DataFrame | None = N
     part = names.select("scope", F.explode(people.parts(F.col("name"))).alias("folded")).where(F.length("folded") >= LEAST_PART).distinct()
     if ordinary is not None:
         part = part.join(ordinary.select(keys.plain(F.col("word")).alias("folded")).distinct(), "folded", "left_anti")
-    return lexicon.ngrams(outputs, 1).join(part, ["scope", "folded"]).select("leaf_id", "start", "end", F.col("folded").alias("part")).distinct()
+    return lexicon.hits(outputs, part, 1).select("leaf_id", "start", "end", F.col("folded").alias("part")).distinct()
 
 
 def rounds(start: DataFrame, step: Callable[[DataFrame, int], tuple[DataFrame, DataFrame]], cut: Callable[[DataFrame, str], DataFrame], limit: int = ROUNDS) -> tuple[DataFrame, int]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import associate, fields, review
+from ..operators import associate, fields, readers, review
 from ..sources import jsonsource
 from . import portable as P
 
@@ -256,3 +256,36 @@ def customer_fields_unpivoted(spark, sf):
 @_query("approx_values", None)
 def approx_values(spark, sf):
     return _found(spark, sf).groupBy("entity").agg(F.approx_count_distinct("value").alias("about"))
+
+
+_STOPS = ", ".join(f"{{'n': len(list_filter(w, lambda x: x in ({', '.join(repr(x) for x in words.split())}))), 'rank': {-i}, 'name': '{name}'}}" for i, (name, words) in enumerate(readers.STOP.items()))
+
+
+@_query("doc_language", f"""
+with w as (select doc_id, list_filter(string_split_regex(lower(text), '[^\\p{{L}}]+'), lambda x: x <> '') as w from documents),
+b as (select doc_id, list_max([{_STOPS}]) as b from w)
+select doc_id, case when b.n >= 3 then b.name end as language from b""")
+def doc_language(spark, sf):
+    return P.table(spark, sf, "documents").select("doc_id", readers.language(F.col("text")).alias("language"))
+
+
+@_query("pages_path_segments", """
+select page_id, cast(i as integer) as pos, case when i > 1 then lower(s[i - 1]) else '' end as name, s[i] as value from (
+    select page_id, list_filter(string_split(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/'), lambda x: x <> '') as s from pages), unnest(range(1, len(s) + 1)) t(i)""")
+def pages_path_segments(spark, sf):
+    parts = F.filter(readers.components(F.col("url")), lambda c: c["part"] == "path")
+    rows = P.table(spark, sf, "pages").select("page_id", F.posexplode(parts).alias("i", "c"))
+    return rows.select("page_id", (F.col("i") + 1).alias("pos"), "c.name", "c.value")
+
+
+@_query("document_windows", """
+select doc_id, cast(len(w) as integer) as n_tokens, cast(greatest(1, ceil((len(w) - 128) / 96.0) + 1) as integer) as n_windows from (select doc_id, list_filter(string_split(text, ' '), lambda x: x <> '') as w from documents)""")
+def document_windows(spark, sf):
+    tokens = F.filter(F.split("text", " "), lambda x: x != "")
+    return P.table(spark, sf, "documents").select("doc_id", F.size(tokens).alias("n_tokens"), F.size(readers.windows(tokens)).alias("n_windows"))
+
+
+@_query("pages_personal_links", None)
+def pages_personal_links(spark, sf):
+    parts = F.transform(readers.components(F.col("url")), lambda c: F.struct(c["part"].alias("part"), c["name"].alias("name"), readers.personal(c).alias("entity")))
+    return P.table(spark, sf, "pages").select(F.explode(F.filter(parts, lambda c: c["entity"].isNotNull())).alias("c")).groupBy("c.part", "c.name", "c.entity").count()
