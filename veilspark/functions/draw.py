@@ -307,3 +307,58 @@ def stand_ins(values: DataFrame, seed: str) -> DataFrame:
     for name in sorted(here):
         rest = rest.unionByName(values.where(F.col("entity") == name).withColumn("stand_in", DRAWS[name](F.col("original"), seed, F.col("scope"))))
     return rest
+
+
+def coordinates(latitude: Column, longitude: Column, original: Column, seed: str, scope: Column | str) -> Column:
+    """struct<latitude, longitude>: the stand-in place of a canonical original (a city, or the point itself), each at the precision it had."""
+    h = stream(seed, scope, "LOCATION", F.lower(F.trim(original)))
+
+    def like(value: Column, part: int) -> Column:
+        decimals = F.length(F.regexp_extract(value, r"\.([0-9]+)$", 1))
+        point = pick(h, 0, [f"{p[part]:.2f}" for p in PLACES])
+        jitter = drawn_digits(h, 12, 20)
+        whole, tail = F.substring_index(point, ".", 1), F.concat(F.substring_index(point, ".", -1), jitter)
+        return F.when(decimals > 0, F.concat(whole, F.lit("."), F.substring(tail, F.lit(1), decimals))).otherwise(whole)
+
+    return F.struct(like(latitude, 5).alias("latitude"), like(longitude, 6).alias("longitude"))
+
+
+def expiry(original: Column, seed: str, scope: Column | str) -> Column:
+    """``MM/YY`` or ``MM/YYYY`` a few years on, a real month, as wide as it was."""
+    h = stream(seed, scope, "EXPIRY_DATE", original)
+    month, year = F.lpad((number(h, 0) % 12 + 1).cast("string"), 2, "0"), F.regexp_extract(original, r"([0-9]{2}|[0-9]{4})$", 1)
+    moved = F.lpad(F.pmod(year.try_cast("int") + (number(h, 8) % 4 + 1).cast("int"), F.pow(F.lit(10), F.length(year)).cast("int")).cast("string"), F.length(year), F.lit("0"))
+    return F.concat(month, F.regexp_extract(original, r"^[0-9]{1,2}([^0-9]*)", 1), moved)
+
+
+def numeric(original: Column, seed: str, scope: Column | str, kind: str = "ID_NUMBER") -> Column:
+    """A number token of the same length that stays a number: no leading zero, sign and point where they were."""
+    h = stream(seed, scope, kind, original)
+    digits = checks.digits(original)
+    first = (number(h, 60, 4) % 9 + 1).cast("string")
+    return pour(original, F.concat(F.when(digits.startswith("0"), F.lit("0")).otherwise(first), drawn_digits(h, 31)))
+
+
+def initials(original: Column, stand_in: Column) -> Column:
+    """The initials of a stand-in name, dotted and spaced as the original ones."""
+    letters = F.transform(F.split(stand_in, r"\s+"), lambda w: F.upper(F.substring(w, 1, 1)))
+    start = F.struct(F.lit(0).alias("n"), F.lit("").alias("out"))
+
+    def step(s: Column, c: Column) -> Column:
+        letter = c.rlike(r"^\p{L}$")
+        return F.struct(F.when(letter, s["n"] + 1).otherwise(s["n"]).alias("n"), F.concat(s["out"], F.when(letter, F.coalesce(F.get(letters, s["n"]), F.element_at(letters, -1))).otherwise(c)).alias("out"))
+
+    return F.aggregate(F.split(original, ""), start, step, lambda s: s["out"])
+
+
+def key_digits(key: Column, seed: str, scope: Column | str) -> Column:
+    """A field's name with its runs of seven digits or more drawn anew, the same everywhere."""
+    runs = F.regexp_extract_all(key, F.lit("[0-9]{7,}"), F.lit(0))
+    pieces = F.split(key, "[0-9]{7,}", -1)
+    new = F.transform(runs, lambda r: pour(r, F.concat(*(drawn_digits(stream(seed, scope, f"KEY_{i}", r), 31) for i in range(2)))))
+    return F.when(F.size(runs) == 0, key).otherwise(F.array_join(F.flatten(F.zip_with(pieces, F.concat(new, F.array(F.lit(""))), lambda p, n: F.array(p, n))), ""))
+
+
+def same_number(token: Column) -> Column:
+    """The exact decimal that a JSON number token spells, as a key: ``2.12e9`` and ``2120000000`` are one; null where 38 digits do not hold it."""
+    return F.regexp_replace(F.regexp_replace(token.try_cast("decimal(38,9)").cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
