@@ -35,7 +35,7 @@ def corpus(rng, alphabet="abcdefghij é"):
             a = rng.randrange(len(p) // 2)
             parts += [p[a:] if rng.random() < 0.3 else p, word(rng.randrange(60))]
         rows.append((i, "".join(parts)))
-    rows += [(100, "x" * 300), (101, "ab" * 200), (102, rows[3][1]), (103, rows[3][1]), (104, None), (105, ""), (106, passages[0])]
+    rows += [(200, "xy " * 60 + "tail"), (201, "head" + "xy " * 40), (100, "x" * 300), (101, "ab" * 200), (102, rows[3][1]), (103, rows[3][1]), (104, None), (105, ""), (106, passages[0])]
     rng.shuffle(rows)
     return rows
 
@@ -74,7 +74,10 @@ def _flat(rows, length):
     import pyarrow as pa
 
     batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([(t or "").encode() for _, t in rows]), pa.array([b""] * len(rows))], names=["doc_id", "text", "digest"])
-    runs = [(i, r["h"], r["s"], r["e"]) for out in run([batch]) for i, blocks in zip(out.column("doc_id").to_pylist(), out.column("blocks").to_pylist()) for b in blocks for r in b["runs"]]
+    runs = []
+    for out in run([batch]):
+        for i, blocks, own in zip(*(out.column(c).to_pylist() for c in ("doc_id", "blocks", "own"))):
+            runs += [(i, r["h"], r["s"], r["e"]) for b in blocks for r in b["runs"]] + [(i, 0, r["s"], r["e"]) for r in own]
     return tuple(zip(*[(i * 10**6, h, i * 10**6 + s, i * 10**6 + e) for i, h, s, e in runs]))
 
 

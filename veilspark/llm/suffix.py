@@ -4,14 +4,15 @@ A string of ``length`` bytes is filed under the smallest hash of its ``length //
 filed under the same anchor, at the same distance from it. Consecutive starts under one anchor make a run, whose bytes
 (the starts and the last string) are its segment.
 
-1. Runs stand in blocks, which end where an anchor's hash says so. Equal blocks repeat each other entirely; one of each class goes on, so
+1. Of a text's own equal runs the first one goes on, so lines and signs that repeat within a text cost one row.
+2. Runs stand in blocks, which end where an anchor's hash says so. Equal blocks repeat each other entirely; one of each class goes on, so
    whole copied passages cost few rows.
-2. Anchors met once hold nothing repeated. This needs no text beyond the first reading.
-3. Runs of one anchor with equal segments repeat each other entirely. Again one of each class goes on.
-4. Anchors with classes that differ get their segments' bytes; an array of suffixes sorted to depth ``length`` gives, by the
+3. Anchors met once hold nothing repeated. This needs no text beyond the first reading.
+4. Runs of one anchor with equal segments repeat each other entirely. Again one of each class goes on.
+5. Anchors with classes that differ get their segments' bytes; an array of suffixes sorted to depth ``length`` gives, by the
    previous and next smaller positions in suffix order, each start's earlier match (the longest previous factor
    reaches ``length``), and likewise a later one.
-5. The covered bytes go: of every copy, or of all but the first in order of (doc_id, position).
+6. The covered bytes go: of every copy, or of all but the first in order of (doc_id, position).
 
 Texts are told apart by digest, so rows with equal texts cost one analysis. Matches never cross texts.
 """
@@ -68,6 +69,18 @@ def anchor_runs(data: np.ndarray, begin: np.ndarray, end: np.ndarray, length: in
     return np.searchsorted(begin, first, side="right") - 1, hashes[anchor[first]].view(np.int64), first, stop
 
 
+def _own(h: np.ndarray, seg: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """(runs that go on, which of these come again, starts of the runs that are no first ones, joined) of one text."""
+    order = np.lexsort((first, seg, h))
+    same = np.zeros(len(h) + 1, bool)
+    same[1:-1] = (h[order][1:] == h[order][:-1]) & (seg[order][1:] == seg[order][:-1])
+    again, more = np.zeros(len(h), bool), np.zeros(len(h), bool)
+    again[order], more[order] = same[:-1], same[1:]
+    keep = np.flatnonzero(~again)
+    a, b = first[again], last[again] + 1  # in text order already
+    return keep, more[keep], [(x, y - 1) for x, y in _merged(list(zip(a.tolist(), b.tolist())))]
+
+
 def _blocks(h: np.ndarray, seg: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[int]]:
     """(first run, digest of the segments' digests) of the blocks of the texts whose runs are offsets[i]:offsets[i + 1]."""
     cut = np.zeros(len(h) + 1, bool)
@@ -109,10 +122,14 @@ def _runs(length: int):
                         found[i].append(run_of)
                 hs, ss, es = ([np.concatenate([x[j] for x in f] or [np.zeros(0, np.int64)]) for f in found] for j in range(3))
                 seg = [int.from_bytes(hashlib.blake2b(memoryview(t)[s : e + length], digest_size=8).digest(), "little", signed=True) for t, a, b in zip(chunk, ss, es) for s, e in zip(a.tolist(), b.tolist())]
+                seg_of = np.split(np.array(seg, np.int64), np.cumsum([len(x) for x in hs])[:-1]) if hs else []
+                told = [_own(*x) for x in zip(hs, seg_of, ss, es)]
+                hs, seg_of, ss, es = ([x[keep] for x, (keep, _, _) in zip(y, told)] for y in (hs, seg_of, ss, es))
                 offsets = np.cumsum([0, *map(len, hs)])
-                h, first, last = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (hs, ss, es))
-                starts, keys = _blocks(h, np.array(seg, np.int64), offsets)
-                runs = pa.StructArray.from_arrays([pa.array(h), pa.array(seg, pa.int64()), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], names=["h", "seg", "s", "e"])
+                h, seg, first, last = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (hs, seg_of, ss, es))
+                twice = np.concatenate([x for _, x, _ in told]) if told else np.zeros(0, bool)
+                starts, keys = _blocks(h, seg, offsets)
+                runs = pa.StructArray.from_arrays([pa.array(h), pa.array(seg, pa.int64()), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(twice)], names=["h", "seg", "s", "e", "twice"])
                 inner = pa.ListArray.from_arrays(pa.array(np.append(starts, len(h)), pa.int32()), runs)
                 blocks = pa.StructArray.from_arrays([pa.array(keys, pa.int64()), inner], names=["b", "runs"])
                 yield pa.RecordBatch.from_arrays(
@@ -121,8 +138,9 @@ def _runs(length: int):
                         pa.array([next(digests) for _ in ids], pa.binary()),
                         pa.array([len(t) for t in chunk], pa.int64()),
                         pa.ListArray.from_arrays(pa.array(np.searchsorted(starts, offsets), pa.int32()), blocks),
+                        pa.array([[{"s": a, "e": b} for a, b in own] for _, _, own in told], pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))),
                     ],
-                    names=["doc_id", "digest", "n_bytes", "blocks"],
+                    names=["doc_id", "digest", "n_bytes", "blocks", "own"],
                 )
 
     return run
@@ -272,17 +290,21 @@ def repeated(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, te
     """(digest of a text, first_id, everything, starts) of the texts with something to remove, and the tables behind it."""
     scratch = Scratch(docs.sparkSession)
     source = texts(docs, text, doc_id).withColumn("digest", _digest("text"))
-    made = source.mapInArrow(_runs(length), "doc_id long, digest binary, n_bytes long, blocks array<struct<b: long, runs: array<struct<h: long, seg: long, s: int, e: int>>>>")
+    made = source.mapInArrow(_runs(length), "doc_id long, digest binary, n_bytes long, blocks array<struct<b: long, runs: array<struct<h: long, seg: long, s: int, e: int, twice: boolean>>>>, own array<struct<s: int, e: int>>")
     made = scratch.save(made.withColumn("rid", F.monotonically_increasing_id()), "made")
     whole = made.where(F.col("n_bytes") >= length).groupBy("digest").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "rid")).alias("first"))
     whole = scratch.save(whole.select("digest", "copies", F.col("first.doc_id").alias("first_id"), F.col("first.rid").alias("rid")), "whole")
+    own = made.where(F.size("own") > 0).join(whole.select("rid"), "rid", "left_semi").select("rid", F.explode("own").alias("x")).select("rid", "x.s", "x.e")
     blocks = made.join(whole.select("rid"), "rid", "left_semi").select("rid", "doc_id", F.posexplode("blocks").alias("i", "x")).select("rid", "doc_id", "i", "x.b", "x.runs")
     kinds = blocks.groupBy("b").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "rid", "i")).alias("first")).where("n > 1")
     known = blocks.join(kinds.select("b", F.col("first.rid").alias("rid1"), F.col("first.i").alias("i1")), "b", "left")
     copy = F.col("rid1").isNotNull() & ~((F.col("rid") == F.col("rid1")) & (F.col("i") == F.col("i1")))
     known = scratch.save(known.select("rid", "doc_id", "runs", copy.alias("copy"), F.col("rid1").isNotNull().alias("again")), "known")
     copied = known.where("copy" if keep_first else "again").select("rid", F.element_at("runs", 1)["s"].alias("s"), F.element_at("runs", -1)["e"].alias("e"))
-    runs = known.where("not copy").select("rid", "doc_id", F.explode("runs").alias("x")).select("rid", "doc_id", "x.h", "x.seg", "x.s", "x.e")
+    runs = known.where("not copy").select("rid", "doc_id", F.explode("runs").alias("x")).select("rid", "doc_id", "x.h", "x.seg", "x.s", "x.e", "x.twice")
+    if not keep_first:
+        own = own.union(runs.where("twice").select("rid", "s", "e"))
+    runs = runs.drop("twice")
     often = runs.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     dup = scratch.save(runs.join(often, "h"), "dup")
     classes = dup.groupBy("h", "seg").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "rid", "s", "e")).alias("first"))
@@ -299,7 +321,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, te
     cut = cut.mapInArrow(_segments(length), "h long, doc_id long, rid long, s int, whole boolean, bytes binary")
     order = cut.repartition("h").sortWithinPartitions("h", "doc_id", "rid", "s")
     matched = order.mapInArrow(_matched(length, keep_first), "rid long, s int, e int")
-    starts = equal.select("rid", "s", "e").union(copied).union(matched).groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("starts"))
+    starts = equal.select("rid", "s", "e").union(copied).union(own).union(matched).groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("starts"))
     found = whole.join(starts, "rid", "left").where("copies > 1 or starts is not null")
     found = scratch.save(found.select("digest", "first_id", (F.col("copies") > 1).alias("everything"), "starts"), "found")
     scratch.drop("dup", "classes", "wanted", "whole", "known")
