@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,10 @@ class Scratch:
     def __init__(self, spark: SparkSession) -> None:
         root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="scratch-")
         self.spark, self.root = spark, f"{root.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)  # what results may still read goes with the session
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Writes ``df`` and returns the written table."""
@@ -44,6 +49,27 @@ def texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
 
 
+def give_back() -> None:
+    """Returns freed memory of this Python worker to the system: idle workers stay beside an executor's other tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` over a partition's batches, with memory given back at its end."""
+
+    def tidied(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
 def rows_of(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[tuple[list, list[bytes]]]:
     """Chunks of (ids, texts) with about ``limit`` bytes of text each; texts stay whole."""
     for batch in batches:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Scratch, components, lists, mix, prefix_hashes, range_hashes, rows_of, texts
+from ._common import Scratch, components, lists, mix, prefix_hashes, range_hashes, rows_of, texts, tidy
 
 SKETCH = 96
 #: Chance that a pair at the threshold has no value in common in the inverted lists.
@@ -216,7 +216,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75, shingle: int = 5,
     percent, least = round(100 * similarity), needed(k, similarity)
     scratch = Scratch(docs.sparkSession)
     source = texts(docs, text, doc_id)
-    made = scratch.save(source.mapInArrow(_sketches(shingle, k), "doc_id long, n_shingles long, sig binary, sketch array<long>"), "made")
+    made = scratch.save(source.mapInArrow(tidy(_sketches(shingle, k)), "doc_id long, n_shingles long, sig binary, sketch array<long>"), "made")
     classes = scratch.save(made.where("n_shingles > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")), "classes")
     reps = scratch.save(made.join(classes.select("sig", "rep", "n"), "sig").where("doc_id = rep").dropDuplicates(["sig"]).select("rep", "n", "sketch"), "reps")
 
@@ -241,7 +241,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75, shingle: int = 5,
     pairs = scratch.save(paired.union(hubs).where(fits).select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct(), "pairs")
     likely = scratch.save(_both(pairs, reps.select("rep", F.col("sketch").alias("items")), _estimated(k, percent, least)), "likely")
     ids = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).union(hubs.select("rep")).distinct()
-    sets = scratch.save(source.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(shingle), "rep long, items array<long>"), "sets")
+    sets = scratch.save(source.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(tidy(_sets(shingle)), "rep long, items array<long>"), "sets")
     links = scratch.save(_both(likely, sets, _confirmed(percent)), "links")
     labels = components(links, scratch, "cc0")
     known = hubs.select("rep", "other").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(F.col("other").alias("hub"), "rep", F.coalesce("component", "rep").alias("comp"))
@@ -266,4 +266,4 @@ def _both(pairs: DataFrame, items: DataFrame, passes) -> DataFrame:
     """The pairs whose two sets pass."""
     sides = [items.select(F.col("rep").alias(x), F.col("items").alias(f"items_{x}")) for x in "ab"]
     met = pairs.join(sides[1], "b").join(sides[0], "a").select("a", "b", "items_a", "items_b")
-    return met.mapInArrow(_pairs_that(passes), "a long, b long").distinct()
+    return met.mapInArrow(tidy(_pairs_that(passes)), "a long, b long").distinct()

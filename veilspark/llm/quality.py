@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import rows_of, texts
+from ._common import rows_of, texts, tidy
 from ._features import held_out, split, training_rows, word_hashes
 
 BINS, ROUNDS, RATE, LEAVES = 32, 120, 0.2, 4
@@ -184,7 +184,7 @@ def _measured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Additive:
     """Fits the model on the bounded sample of labelled rows that are not held out."""
     rows = training_rows(texts(docs), labels, label).select("doc_id", "text", "label")
-    table = rows.mapInArrow(_measured, "label int, " + ", ".join(f"{f} double" for f in FEATURES)).toArrow()
+    table = rows.mapInArrow(tidy(_measured), "label int, " + ", ".join(f"{f} double" for f in FEATURES)).toArrow()
     x = np.stack([table.column(f).to_numpy() for f in FEATURES], axis=1)
     y = table.column("label").to_numpy().astype(float)
     order = np.lexsort((*x.T, y))  # the same model whatever order the rows come in
@@ -202,7 +202,7 @@ def score(docs: DataFrame, model: Additive, threshold: float = 0.5, text: str =
             for ids, chunk in rows_of(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(model.score(features(chunk)))], names=["doc_id", "score"])
 
-    scored = texts(docs, text, doc_id).mapInArrow(run, "doc_id long, score double")
+    scored = texts(docs, text, doc_id).mapInArrow(tidy(run), "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -217,4 +217,4 @@ def keep(docs: DataFrame, model: Additive, threshold: float = 0.5, text: str = "
                 good = [model.score(features(chunk)) >= threshold for _, chunk in rows_of([data])]
                 yield batch.filter(pa.array(np.concatenate([*good, np.zeros(0, bool)]), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

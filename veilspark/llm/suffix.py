@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Scratch, mix, prefix_hashes, range_hashes, rows_of, texts
+from ._common import Scratch, mix, prefix_hashes, range_hashes, rows_of, texts, tidy
 
 LENGTH = 400
 #: Bytes of one text that are hashed at once; longer texts go in overlapping pieces.
@@ -290,7 +290,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, te
     """(digest of a text, first_id, everything, starts) of the texts with something to remove, and the tables behind it."""
     scratch = Scratch(docs.sparkSession)
     source = texts(docs, text, doc_id).withColumn("digest", _digest("text"))
-    made = source.mapInArrow(_runs(length), "doc_id long, digest binary, n_bytes long, blocks array<struct<b: long, runs: array<struct<h: long, seg: long, s: int, e: int, twice: boolean>>>>, own array<struct<s: int, e: int>>")
+    made = source.mapInArrow(tidy(_runs(length)), "doc_id long, digest binary, n_bytes long, blocks array<struct<b: long, runs: array<struct<h: long, seg: long, s: int, e: int, twice: boolean>>>>, own array<struct<s: int, e: int>>")
     made = scratch.save(made.withColumn("rid", F.monotonically_increasing_id()), "made")
     whole = made.where(F.col("n_bytes") >= length).groupBy("digest").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "rid")).alias("first"))
     whole = scratch.save(whole.select("digest", "copies", F.col("first.doc_id").alias("first_id"), F.col("first.rid").alias("rid")), "whole")
@@ -318,9 +318,9 @@ def repeated(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, te
     wanted = edges.groupBy("rid").agg(F.collect_list(F.struct("h", "s", "e", "whole")).alias("runs"))
     wanted = scratch.save(wanted.join(whole.select("rid", "digest", "first_id"), "rid"), "wanted")
     cut = source.join(wanted, "digest").where(F.col("doc_id").eqNullSafe(F.col("first_id"))).select("doc_id", "rid", "text", "runs")
-    cut = cut.mapInArrow(_segments(length), "h long, doc_id long, rid long, s int, whole boolean, bytes binary")
+    cut = cut.mapInArrow(tidy(_segments(length)), "h long, doc_id long, rid long, s int, whole boolean, bytes binary")
     order = cut.repartition("h").sortWithinPartitions("h", "doc_id", "rid", "s")
-    matched = order.mapInArrow(_matched(length, keep_first), "rid long, s int, e int")
+    matched = order.mapInArrow(tidy(_matched(length, keep_first)), "rid long, s int, e int")
     starts = equal.select("rid", "s", "e").union(copied).union(own).union(matched).groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("starts"))
     found = whole.join(starts, "rid", "left").where("copies > 1 or starts is not null")
     found = scratch.save(found.select("digest", "first_id", (F.col("copies") > 1).alias("everything"), "starts"), "found")
@@ -342,7 +342,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fal
     if keep_first:
         everything = everything & ~F.col("doc_id").eqNullSafe(F.col("first_id"))
     touched = joined.select("doc_id", "digest", "text", everything.alias("everything"), "starts")
-    cut = touched.mapInArrow(_cut(length, keep_first), "doc_id long, digest binary, spans array<struct<start: long, end: long>>, kept binary")
+    cut = touched.mapInArrow(tidy(_cut(length, keep_first)), "doc_id long, digest binary, spans array<struct<start: long, end: long>>, kept binary")
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
     return cut.select("doc_id", (F.length("kept") + removed).alias("n_bytes"), "digest", "spans", "kept")
 
@@ -364,4 +364,4 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, text: str = "text", doc_i
             new = [t if t is None or not (e or s) else _removed(t.encode(), s, e, length, True)[1].decode() for t, s, e in rows]
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if i == at else batch.column(i) for i in range(len(own))], names=own)
 
-    return touched.mapInArrow(run, docs.toDF(*own).schema).toDF(*names)
+    return touched.mapInArrow(tidy(run), docs.toDF(*own).schema).toDF(*names)
