@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +39,6 @@ _LOOKS = dict(
     )
 )
 _INVISIBLE = frozenset("­​‌‍⁠﻿")
-#: First bytes of UTF-8 characters that may be look-alikes: Greek, Cyrillic, punctuation, full width, mathematical letters, soft hyphen.
-_ODD = bytes([*range(0xCD, 0xD6), 0xE2, 0xEF, 0xF0])
-_OTHER = bytes(i for i in range(256) if i not in _ODD)
-
 # Digits as words.
 _DIGITS = {
     "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
@@ -64,6 +61,11 @@ _SPOKEN_MIXED = re.compile(rf"(?i)(?<![\w.%+-])[\w.%+-]+@[\w.-]+(?:\s+{_DOT}\s+[
 _NUMBERS_DOT = re.compile(rf"(?i)(?<=[0-9])\s+{_DOT}\s+(?=[0-9])")
 _INNER = re.compile(rf"(?i)\s+(?:({_AT})|({_DOT}))\s+")
 
+# What the first edit of each transducer needs, in a text folded by ``_low``; every match of a pattern above holds one of these.
+_MARKED = re.compile(rf"[\[({{<]\s*(?:{_AT}|@|{_DOT}|\.)\s*[\])}}>]")
+_SAID = re.compile(rf"\s{_DOT}\s|\s{_AT}\s+[\w-]+\.[\w-]")
+_NUMBER = re.compile(rf"\b(?:{_WORD})(?:(?:[\s,-]+(?:{_DOT}\s+)?(?:{_WORD})){{{RUN - 1}}}|(?=\.[0-9]))|[0-9.][\x20-]?(?:{_WORD})\b|\bplus\s+[0-9]")
+
 
 def luhn(digits: str) -> bool:
     """The checksum of card numbers."""
@@ -129,6 +131,12 @@ class Tape:
         self.start, self.end, self.changed = (np.concatenate(x) for x in zip(*maps))
 
 
+def _low(text: str) -> str:
+    """In lower case, with the letters that patterns of any case take for an i; as many characters as before."""
+    return text.lower() if text.isascii() else text.replace("\u0130", "i").replace("\u0131", "i").lower()
+
+
+@lru_cache(maxsize=1 << 16)
 def _looks(ch: str) -> str | None:
     if ch in _INVISIBLE:
         return ""
@@ -151,32 +159,35 @@ def _fold_signs(tape: Tape) -> None:
 
 
 def _fold_digits(tape: Tape) -> None:
-    tape.rewrite([(m.start(), m.end(), "".join(_DIGITS[w[0].lower()] if w[1] else "." for w in _ONE.finditer(m[0]))) for m in _SPELLED.finditer(tape.text)])
+    tape.rewrite([(m.start(), m.end(), "".join(_DIGITS[_low(w[0])] if w[1] else "." for w in _ONE.finditer(m[0]))) for m in _SPELLED.finditer(tape.text)])
     tape.rewrite([(m.start(), m.end(), ".") for m in _NUMBERS_DOT.finditer(tape.text)])
-    tape.rewrite([(m.start() + x.start(), m.start() + x.end(), _DIGITS[x[0].lower()]) for m in _LONE.finditer(tape.text) for x in _ONE.finditer(m[0]) if x[1]])
+    tape.rewrite([(m.start() + x.start(), m.start() + x.end(), _DIGITS[_low(x[0])]) for m in _LONE.finditer(tape.text) for x in _ONE.finditer(m[0]) if x[1]])
     tape.rewrite([(m.start(), m.end(), "+") for m in _PLUS.finditer(tape.text)])
 
 
-def may_hide(text: str, data: bytes) -> bool:
-    """Whether the text can hold a disguise at all."""
-    if data.translate(None, _OTHER) or "­" in text:
+def may_hide(text: str) -> bool:
+    """Whether any transducer may edit the text; where none edits it as it stands, none ever does."""
+    if not text.isascii() and any(ch > "\x7f" and _looks(ch) is not None for ch in set(text)):
         return True
-    low = text.lower()
-    if any(w in low for w in ("(", "[", "{", "<", "dot", "punkt", "punto", "point", " at ", " arroba ", "arobase")) and re.search(rf"[\[({{<]\s*(?:{_AT}|@|{_DOT}|\.)\s*[\])}}>]|\s{_DOT}\s|\s{_AT}\s+[\w-]+\.\w", low):
+    low = _low(text)
+    if any(c in low for c in "([{<") and _MARKED.search(low):
         return True
-    return sum(map(low.count, _DIGITS)) >= RUN and _SPELLED.search(low) is not None
+    return _SAID.search(low) is not None or _NUMBER.search(low) is not None
 
 
-def disguised(text: str, data: bytes) -> list[tuple[int, int, int]]:
+def rewritten(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of the identifiers that only rewriting shows, in source characters."""
-    if not may_hide(text, data):
-        return []
     tape = Tape(text)
     for fold in (_fold_letters, _fold_signs, _fold_digits):
         fold(tape)
     return sorted({(int(tape.start[a]), kind, int(tape.end[b - 1])) for a, kind, b in plain(tape.text) if tape.changed[a:b].any() or tape.end[b - 1] - tape.start[a] > b - a}) if tape.changed.any() or len(tape.text) < len(text) else []
 
 
+def disguised(text: str, data: bytes) -> list[tuple[int, int, int]]:
+    """What ``rewritten`` gives, after the cheap tests; ``data`` is the text as UTF-8."""
+    return rewritten(text) if may_hide(text) else []
+
+
 _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 _SCHEMA = "array<struct<kind: string, start: int, end: int>>"
 
