@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from veilspark.llm import suffix
 
@@ -101,3 +102,29 @@ def test_previous_factors_by_brute_force():
         assert len(starts) == sum(max(0, len(s) - length + 1) for s in segments)
         for k, x in enumerate(starts):
             assert earlier[k] == (x in starts[:k]) and later[k] == (x in starts[k + 1 :])
+
+
+@pytest.mark.parametrize("keep_first", [False, True])
+def test_hot_anchors_by_brute_force(spark, monkeypatch, keep_first):
+    monkeypatch.setattr(suffix, "HOT", 1)
+    rows = corpus(random.Random(11), "abcdefghij ")
+    passage = "".join(random.Random(12).choice("klmnop") for _ in range(150))
+    rows += [(300 + i, f"{i * 7919:09d}{passage}{i * 104729:09d}") for i in range(40)] + [(300, f"{0:09d}{passage}{0:09d}")] * 2
+    got = suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 40, keep_first=keep_first).collect()
+    data, gone = brute(rows, 40, keep_first)
+    want = {}
+    for (i, _), d, g in zip(rows, data, gone):
+        want.setdefault(i, bytes(np.frombuffer(d, np.uint8)[~g]))  # of equal rows the first is judged
+    assert {r.doc_id: bytes(r.kept) for r in got} == want
+
+
+def test_no_task_takes_all_of_a_hot_anchor(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "HOT", 8)
+    passage = "".join(random.Random(13).choice("klmnop") for _ in range(150))
+    rows = [(i, f"{i * 7919:040d}{passage}{i * 104729:040d}") for i in range(60)]
+    wide = []
+    monkeypatch.setattr(suffix, "_hot", lambda cut, *rest, hot=suffix._hot: wide.append(cut.count()) or hot(cut, *rest))
+    got = suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 40, keep_first=True).collect()
+    data, gone = brute(rows, 40, True)
+    assert {r.doc_id: bytes(r.kept) for r in got} == {i: bytes(np.frombuffer(d, np.uint8)[~g]) for (i, _), d, g in zip(rows, data, gone)}
+    assert wide and wide[0] >= 60

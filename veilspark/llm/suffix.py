@@ -11,7 +11,9 @@ filed under the same anchor, at the same distance from it. Consecutive starts un
 4. Runs of one anchor with equal segments repeat each other entirely. Again one of each class goes on.
 5. Anchors with classes that differ get their segments' bytes; an array of suffixes sorted to depth ``length`` gives, by the
    previous and next smaller positions in suffix order, each start's earlier match (the longest previous factor
-   reaches ``length``), and likewise a later one.
+   reaches ``length``), and likewise a later one. Anchors with more than ``HOT`` classes, whose bytes no one task may hold, have their
+   runs cut again: into pieces of equal distances from the anchor, then the pieces that share what all their strings share into
+   single starts. Equal pieces and equal strings are found by grouping.
 6. The covered bytes go: of every copy, or of all but the first in order of (doc_id, position).
 
 Texts are told apart by digest, so rows with equal texts cost one analysis. Matches never cross texts.
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +35,19 @@ from ._common import Scratch, mix, prefix_hashes, range_hashes, rows_of, texts,
 LENGTH = 400
 #: Bytes of one text that are hashed at once; longer texts go in overlapping pieces.
 PIECE = 1 << 22
-#: Bytes of segments that one suffix array covers, but for an anchor that alone has more.
+#: Bytes of segments that one suffix array covers, but for the rest of the anchor that passes it.
 BATCH = 1 << 20
+#: Classes of one anchor that a suffix array takes; a segment has less than twice ``length`` bytes.
+HOT = 1024
 #: A block ends after an anchor whose hash has none of these bits.
 BLOCK_BITS = 7
 _INDEX = np.uint64((1 << 24) - 1)
 
 
+def _hash(data: bytes | memoryview) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+
+
 def _window_min(values: np.ndarray, width: int) -> np.ndarray:
     """The least of each ``width`` consecutive values."""
     n = len(values) - width + 1
@@ -51,7 +60,7 @@ def _window_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchor_runs(data: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(text number, anchor hash, first start, last start) of the runs of the texts data[begin:end], at least ``length`` long each."""
+    """(text number, anchor hash, first start, last start, anchor) of the runs of the texts data[begin:end], at least ``length`` long each."""
     gram = max(1, length // 4)
     prefix = prefix_hashes(data)
     at = np.arange(len(data) - gram + 1)
@@ -66,7 +75,7 @@ def anchor_runs(data: np.ndarray, begin: np.ndarray, end: np.ndarray, length: in
     fresh[begin] = True
     first = np.flatnonzero(fine & fresh)
     stop = np.flatnonzero(fine & np.concatenate([(fresh | ~fine)[1:], [True]]))
-    return np.searchsorted(begin, first, side="right") - 1, hashes[anchor[first]].view(np.int64), first, stop
+    return np.searchsorted(begin, first, side="right") - 1, hashes[anchor[first]].view(np.int64), first, stop, anchor[first]
 
 
 def _own(h: np.ndarray, seg: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
@@ -89,7 +98,7 @@ def _blocks(h: np.ndarray, seg: np.ndarray, offsets: np.ndarray) -> tuple[np.nda
     cut[len(h)] = False
     starts = np.flatnonzero(cut)
     data = seg.tobytes()
-    return starts, [int.from_bytes(hashlib.blake2b(data[8 * a : 8 * b], digest_size=8).digest(), "little", signed=True) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(h)])]
+    return starts, [_hash(data[8 * a : 8 * b]) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(h)])]
 
 
 def _runs(length: int):
@@ -102,7 +111,7 @@ def _runs(length: int):
             if group and (piece is None or sum(len(x[2]) for x in group) + len(piece[2]) > PIECE):
                 ends = np.cumsum([len(x[2]) for x in group])
                 text = np.frombuffer(b"".join(x[2] for x in group), np.uint8)
-                number, h, first, last = anchor_runs(text, ends - [len(x[2]) for x in group], ends, length)
+                number, h, first, last, _ = anchor_runs(text, ends - [len(x[2]) for x in group], ends, length)
                 cuts = np.searchsorted(number, np.arange(len(group) + 1))
                 for k, (i, o, t) in enumerate(group):
                     lo, hi = cuts[k], cuts[k + 1]
@@ -121,7 +130,7 @@ def _runs(length: int):
                     for i, *run_of in of(chunk):
                         found[i].append(run_of)
                 hs, ss, es = ([np.concatenate([x[j] for x in f] or [np.zeros(0, np.int64)]) for f in found] for j in range(3))
-                seg = [int.from_bytes(hashlib.blake2b(memoryview(t)[s : e + length], digest_size=8).digest(), "little", signed=True) for t, a, b in zip(chunk, ss, es) for s, e in zip(a.tolist(), b.tolist())]
+                seg = [_hash(memoryview(t)[s : e + length]) for t, a, b in zip(chunk, ss, es) for s, e in zip(a.tolist(), b.tolist())]
                 seg_of = np.split(np.array(seg, np.int64), np.cumsum([len(x) for x in hs])[:-1]) if hs else []
                 told = [_own(*x) for x in zip(hs, seg_of, ss, es)]
                 hs, seg_of, ss, es = ([x[keep] for x, (keep, _, _) in zip(y, told)] for y in (hs, seg_of, ss, es))
@@ -151,12 +160,61 @@ def _segments(length: int):
         for batch in batches:
             rows = []
             for doc_id, rid, text, runs in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "rid", "text", "runs"))):
-                rows += [(x["h"], doc_id, rid, x["s"], x["whole"], text[x["s"] : x["e"] + length]) for x in runs]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()))], names=["h", "doc_id", "rid", "s", "whole", "bytes"])
+                rows += [(x["h"], doc_id, rid, x["s"], x["hot"], text[x["s"] : x["e"] + length]) for x in runs]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()))], names=["h", "doc_id", "rid", "s", "hot", "bytes"])
+
+    return run
+
+
+def _pieces(length: int):
+    """Segments of hot anchors to pieces: the starts whose distances from the anchor share their quotient ``a``.
+
+    ``core`` is what all strings of such distances share, ``seg`` the piece's bytes, ``ones`` each of its strings. Pieces that differ in ``core`` have
+    no string in common.
+    """
+    step = isqrt(length - max(1, length // 4) + 1)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                rows, texts_of = [], part.column("bytes").to_pylist()
+                ends = np.cumsum([len(t) for t in texts_of])
+                begin = ends - [len(t) for t in texts_of]
+                with np.errstate(over="ignore"):
+                    number, _, _, _, anchor = anchor_runs(np.frombuffer(b"".join(texts_of), np.uint8), begin, ends, length)
+                anchors = (anchor - begin[number])[np.searchsorted(number, np.arange(len(part)))].tolist()
+                for h, doc_id, rid, s, t, p in zip(*(part.column(c).to_pylist() for c in ("h", "doc_id", "rid", "s")), texts_of, anchors):
+                    view, last = memoryview(t), len(t) - length
+                    for a in range((p - last) // step, p // step + 1):
+                        x, y = p - (a + 1) * step + 1, p - a * step  # of all strings of such distances the first and the last start
+                        lo, hi = max(x, 0), min(y, last)
+                        rows.append((h, doc_id, rid, s + lo, s + hi, a, _hash(view[y : x + length]), _hash(view[lo : hi + length]), [_hash(view[i : i + length]) for i in range(lo, hi + 1)]))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["h", "doc_id", "rid", "s", "e", "a", "core", "seg", "ones"])
 
     return run
 
 
+def _hot(segments: DataFrame, scratch: Scratch, length: int, keep_first: bool) -> DataFrame:
+    """(rid, s, e) of the repeated starts of hot anchors; rows may repeat a place."""
+    pieces = segments.select("h", "doc_id", "rid", "s", "bytes").mapInArrow(tidy(_pieces(length)), "h long, doc_id long, rid long, s int, e int, a int, core long, seg long, ones array<long>")
+    pieces = scratch.save(pieces, "pieces")
+
+    def equal(rows: DataFrame, classes: DataFrame, keys: list[str]) -> DataFrame:
+        met = rows.join(classes.where("first <> last").select(*keys, F.col("first.rid").alias("rid1"), F.col("first.s").alias("s1")), keys)
+        return (met.where("not (rid = rid1 and s = s1)") if keep_first else met).select("rid", "s", "e")
+
+    place = F.struct("doc_id", "rid", "s", "e")
+    ends = [F.min(place).alias("first"), F.max(place).alias("last")]
+    classes = scratch.save(pieces.groupBy("h", "a", "core", "seg").agg(*ends), "piece-classes")
+    several = classes.groupBy("h", "a", "core").agg(F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
+    firsts = classes.join(several, ["h", "a", "core"]).select("first.rid", "first.s")
+    ones = pieces.join(firsts, ["rid", "s"]).select("h", "doc_id", "rid", F.posexplode("ones").alias("i", "seg"), "s")
+    ones = scratch.save(ones.select("h", "doc_id", "rid", "seg", (F.col("s") + F.col("i")).alias("s")).withColumn("e", F.col("s")), "ones")
+    return equal(pieces, classes, ["h", "a", "core", "seg"]).union(equal(ones, ones.groupBy("h", "seg").agg(*ends), ["h", "seg"]))
+
+
 def previous_factors(segments: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(segment number, offset, has an earlier match, has a later match) of all starts of ``length`` bytes.
 
@@ -217,7 +275,7 @@ def _matched(length: int, keep_first: bool):
         rows: list[tuple] = []
         size, key = 0, None
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("h", "doc_id", "rid", "s", "whole", "bytes"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("h", "doc_id", "rid", "s", "hot", "bytes"))):
                 if row[:4] == key:
                     continue  # the same place of a text that stands in rows of the same id
                 if rows and size > BATCH and row[0] != key[0]:
@@ -313,18 +371,21 @@ def repeated(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, te
     equal = dup.join(again, ["h", "seg"])
     if keep_first:
         equal = equal.where("not (rid = rid1 and s = s1)")
-    several = classes.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1").select("h")
-    edges = classes.join(several, "h").select("h", (F.col("n") > 1).alias("whole"), "first.*")
-    wanted = edges.groupBy("rid").agg(F.collect_list(F.struct("h", "s", "e", "whole")).alias("runs"))
+    several = classes.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1").select("h", (F.col("kinds") > HOT).alias("hot"))
+    edges = classes.join(several, "h").select("h", "hot", "first.*")
+    wanted = edges.groupBy("rid").agg(F.collect_list(F.struct("h", "s", "e", "hot")).alias("runs"))
     wanted = scratch.save(wanted.join(whole.select("rid", "digest", "first_id"), "rid"), "wanted")
     cut = source.join(wanted, "digest").where(F.col("doc_id").eqNullSafe(F.col("first_id"))).select("doc_id", "rid", "text", "runs")
-    cut = cut.mapInArrow(tidy(_segments(length)), "h long, doc_id long, rid long, s int, whole boolean, bytes binary")
-    order = cut.repartition("h").sortWithinPartitions("h", "doc_id", "rid", "s")
+    cut = cut.mapInArrow(tidy(_segments(length)), "h long, doc_id long, rid long, s int, hot boolean, bytes binary")
+    cut = scratch.save(cut, "cut")
+    order = cut.where("not hot").repartition("h").sortWithinPartitions("h", "doc_id", "rid", "s")
     matched = order.mapInArrow(tidy(_matched(length, keep_first)), "rid long, s int, e int")
+    if not cut.where("hot").isEmpty():
+        matched = matched.union(_hot(cut.where("hot"), scratch, length, keep_first))
     starts = equal.select("rid", "s", "e").union(copied).union(own).union(matched).groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("starts"))
     found = whole.join(starts, "rid", "left").where("copies > 1 or starts is not null")
     found = scratch.save(found.select("digest", "first_id", (F.col("copies") > 1).alias("everything"), "starts"), "found")
-    scratch.drop("dup", "classes", "wanted", "whole", "known")
+    scratch.drop("dup", "classes", "wanted", "whole", "known", "cut", "pieces", "piece-classes", "ones")
     return found, scratch
 
 
