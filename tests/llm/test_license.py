@@ -1,5 +1,7 @@
 import itertools
 
+import pytest
+
 from veilspark.llm import license
 
 
@@ -43,3 +45,13 @@ def test_alignment_is_common_and_ascending():
 def test_columns(spark):
     docs = spark.createDataFrame([(1, "All rights reserved.", "x"), (1, None, "x"), (None, "", "y")], "doc_id long, text string, notices string")
     assert [(r.doc_id, [x.license for x in r.notices]) for r in license.licenses(docs).collect()] == [(1, ["all-rights-reserved"]), (1, []), (None, [])]
+
+
+@pytest.mark.parametrize("times", [1, 2, 3])
+@pytest.mark.parametrize("name", sorted(license.TEMPLATES))
+def test_repeated_notices_are_all_found(name, times):
+    notice = license.TEMPLATES[name]
+    text = "some words before. " + f"{notice} " * times + "and some other words after"
+    got = license.scan(text)
+    assert [g[2:] for g in got] == [(name, 1.0)] * times
+    assert all(license.words_of(text[a:b])[0][0] == license.templates()[name][0] for a, b, *_ in got)

@@ -98,20 +98,34 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(pairs)
 
 
-def _best(words: list[str], template: list[str], at: int) -> tuple[float, int, int]:
-    """(coverage, first word, last word) of a template in the words around the trigger ``at``."""
-    lo, hi = max(0, at - len(template) - 3), min(len(words), at + len(template) + 4)
-    pairs = align(words[lo:hi], template)
-    if not pairs:
-        return 0.0, at, at
-    # words far from the bulk are chance: keep the densest stretch no longer than the template allows
-    span = len(template) + max(2, len(template) // 4)
+def _dense(pairs: list[tuple[int, int]], size: int) -> tuple[float, int, int]:
+    """(coverage, first word, last word) of the densest stretch of the pairs that is no longer than a template of ``size`` words allows."""
+    span = size + max(2, size // 4)
     first, best = 0, (0, 0, 0)
     for k in range(len(pairs)):
         while pairs[k][0] - pairs[first][0] >= span:
             first += 1
         best = max(best, (k - first + 1, -first, k), key=lambda x: (x[0], x[1]))
-    return best[0] / len(template), lo + pairs[-best[1]][0], lo + pairs[best[2]][0]
+    return best[0] / size, pairs[-best[1]][0], pairs[best[2]][0]
+
+
+def _around(words: list[str], template: list[str], at: int) -> Iterator[tuple[float, int, int]]:
+    """(coverage, first word, last word) of a template in the words around the trigger ``at``.
+
+    Once in a window wide enough for any place of the trigger, then with the trigger held to each of its own places in the template, where
+    the words next to it extend the alignment, so that another copy near by does not matter.
+    """
+    size = len(template)
+    lo = max(0, at - size - 3)
+    pairs = align(words[lo : at + size + 4], template)
+    if pairs:  # words far from the bulk are chance
+        yield _dense([(lo + i, j) for i, j in pairs], size)
+    for j in (j for j, w in enumerate(template) if w == words[at]):
+        for slack in (0, max(3, size // 4)):
+            lo = max(0, at - j - slack)
+            left = [(lo + x, y) for x, y in align(words[lo:at], template[:j])]
+            right = [(at + 1 + x, j + 1 + y) for x, y in align(words[at + 1 : at + size - j + slack], template[j + 1 :])]
+            yield _dense([*left, (at, j), *right], size)
 
 
 def scan(text: str, coverage: float = COVERAGE) -> list[tuple[int, int, str, float]]:
@@ -124,11 +138,11 @@ def scan(text: str, coverage: float = COVERAGE) -> list[tuple[int, int, str, flo
     for at in (i for i, w in enumerate(folded) if w in TRIGGERS):
         for name, template in templates().items():
             if folded[at] in template:
-                share, first, last = _best(folded, template, at)
-                if share >= coverage:
-                    hits[name, first, last] = max(share, hits.get((name, first, last), 0))
+                for share, first, last in _around(folded, template, at):
+                    if share >= coverage:
+                        hits[name, first, last] = max(share, hits.get((name, first, last), 0))
     out: list[tuple[int, int, str, float]] = []
-    order = sorted(hits.items(), key=lambda x: (-x[1] * len(templates()[x[0][0]]), -x[1], x[0][1], x[0][0]))
+    order = sorted(hits.items(), key=lambda x: (-x[1] * len(templates()[x[0][0]]), -x[1], x[0][2] - x[0][1], x[0][1], x[0][0]))
     taken: list[tuple[int, int]] = []
     for (name, first, last), share in order:
         if all(last < a or first > b for a, b in taken):
