@@ -72,3 +72,8 @@ def test_gate_loses_nothing():
         assert pii.disguised(text, text.encode()) == want, text
         hidden += bool(want)
     assert hidden > 100
+
+
+def test_parts_of_many_zeros():
+    text = "0" * 5000 + ".1.0.00255 and 1.1.1.256"
+    assert pii.plain(text) == [(0, 1, 5010)]

@@ -78,7 +78,7 @@ def luhn(digits: str) -> bool:
 
 def _valid(kind: str, match: str) -> bool:
     if kind == "ip":
-        return all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in match.split("."))
+        return all(len(p) < 4 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in match.split(".")))
     digits = re.sub("[^0-9]", "", match)
     return 12 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 9 <= len(digits) <= 15
 
