@@ -100,8 +100,31 @@ def test_previous_factors_by_brute_force():
         number, offset, earlier, later = suffix.previous_factors(segments, length)
         starts = [segments[i][o : o + length] for i, o in zip(number, offset)]
         assert len(starts) == sum(max(0, len(s) - length + 1) for s in segments)
+        common = lambda x, y: next((i for i in range(length) if x[i] != y[i]), length)
         for k, x in enumerate(starts):
-            assert earlier[k] == (x in starts[:k]) and later[k] == (x in starts[k + 1 :])
+            assert earlier[k] == max((common(x, y) for y in starts[:k]), default=0)
+            assert later[k] == max((common(x, y) for y in starts[k + 1 :]), default=0)
+
+
+def test_no_start_is_long_enough():
+    assert [len(x) for x in suffix.previous_factors([b"abc", b""], 5)] == [0, 0, 0, 0]
+
+
+def test_passages_and_repeats_by_brute_force(spark):
+    rows = corpus(random.Random(21)) + [(107, "é" * 15 + "q" * 20), (108, "é" * 15 + "q" * 20), (109, "0123456789" * 3), (110, "0123456789" * 3)]
+    got = suffix.passages_and_repeats(spark.createDataFrame([(i, t, "z", 0) for i, t in rows], "doc_id long, text string, digest string, n int"), 60, 25).collect()
+    data, gone = brute(rows, 60, False)
+    _, shorter = brute(rows, 25, False)
+    want = {i: (len(d), spans_of(g), bytes(np.frombuffer(d, np.uint8)[~g]), spans_of(s)) for (i, _), d, g, s in zip(rows, data, gone, shorter)}
+    pairs = lambda spans: [(s.start, s.end) for s in spans or ()]
+    assert {r.doc_id: (r.n_bytes, pairs(r.spans), bytes(r.kept), pairs(r.passages)) for r in got} == want
+    assert suffix.passages_and_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_passages_of_rows_that_repeat_an_id(spark):
+    rows = [(1, "p" * 50 + "tail"), (1, "p" * 50 + "tail"), (None, "zz"), (2, None), (3, "x" + "abcdefgh" * 4 + "y"), (4, "w" + "abcdefgh" * 4 + "v")]
+    got = suffix.passages_and_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 40, 20).collect()
+    assert sorted((str(r.doc_id), len(r.kept), len(r.passages or ())) for r in got) == [("1", 0, 1), ("1", 0, 1), ("2", 0, 0), ("3", 34, 1), ("4", 34, 1), ("None", 2, 0)]
 
 
 @pytest.mark.parametrize("keep_first", [False, True])

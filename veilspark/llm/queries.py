@@ -20,10 +20,16 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes of ``documents`` that no repeated string of 400 bytes covers."""
-    found = suffix.remove_repeats(_table(spark, sf_dir, "documents"))
-    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
-    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    """Bytes of ``documents`` that no repeated string of 400 bytes covers; also the passages (250 bytes or more) that stand elsewhere too."""
+    found = suffix.passages_and_repeats(_table(spark, sf_dir, "documents"))
+
+    def total(spans: str) -> Column:
+        return F.aggregate(spans, F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+
+    passages = F.coalesce(F.size("passages"), F.lit(0)).cast("long"), F.coalesce(total("passages"), F.lit(0).cast("long"))
+    return found.select(
+        "doc_id", "n_bytes", total("spans").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), passages[0].alias("n_passages"), passages[1].alias("n_passage_bytes")
+    )
 
 
 def op3_flac(spark: SparkSession, sf_dir: str) -> DataFrame:

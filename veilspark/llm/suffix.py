@@ -9,14 +9,16 @@ filed under the same anchor, at the same distance from it. Consecutive starts un
    whole copied passages cost few rows.
 3. Anchors met once hold nothing repeated. This needs no text beyond the first reading.
 4. Runs of one anchor with equal segments repeat each other entirely. Again one of each class goes on.
-5. Anchors with classes that differ get their segments' bytes; an array of suffixes sorted to depth ``length`` gives, by the
-   previous and next smaller positions in suffix order, each start's earlier match (the longest previous factor
-   reaches ``length``), and likewise a later one. Anchors with more than ``HOT`` classes, whose bytes no one task may hold, have their
-   runs cut again: into pieces of equal distances from the anchor, then the pieces that share what all their strings share into
-   single starts. Equal pieces and equal strings are found by grouping.
+5. Anchors with classes that differ get their segments' bytes; there the previous and the next smaller position of each start in
+   suffix order give its longest previous factor, and the previous and next larger ones the longest later one. Anchors with more than
+   ``HOT`` classes, whose bytes no one task may hold, have their runs cut again: into pieces of equal distances from the anchor, then the
+   pieces that share what all their strings share into single starts. Equal pieces and equal strings are found by grouping.
 6. The covered bytes go: of every copy, or of all but the first in order of (doc_id, position).
 
 Texts are told apart by digest, so rows with equal texts cost one analysis. Matches never cross texts.
+
+``passages_and_repeats`` tells two lengths at once: what strings of the longer one cover lies within what those of the shorter one cover, so only
+that part of the texts is read for it.
 """
 
 from __future__ import annotations
@@ -33,8 +35,10 @@ from pyspark.sql import functions as F
 from ._common import Scratch, mix, prefix_hashes, range_hashes, rows_of, texts, tidy
 
 LENGTH = 400
+#: Bytes of a passage of about fifty words: more than by chance two texts have in common.
+PASSAGE = 250
 #: Bytes of one text that are hashed at once; longer texts go in overlapping pieces.
-PIECE = 1 << 22
+PIECE = 1 << 18
 #: Bytes of segments that one suffix array covers, but for the rest of the anchor that passes it.
 BATCH = 1 << 20
 #: Classes of one anchor that a suffix array takes; a segment has less than twice ``length`` bytes.
@@ -215,41 +219,67 @@ def _hot(segments: DataFrame, scratch: Scratch, length: int, keep_first: bool) -
     return equal(pieces, classes, ["h", "a", "core", "seg"]).union(equal(ones, ones.groupBy("h", "seg").agg(*ends), ["h", "seg"]))
 
 
+def _nearest_smaller(p: np.ndarray) -> np.ndarray:
+    """Where the nearest smaller value before each one stands, -1 if none does."""
+    at = np.arange(-1, len(p) - 1)
+    todo = np.arange(len(p))
+    while True:
+        todo = todo[at[todo] >= 0]
+        todo = todo[p[at[todo]] > p[todo]]
+        if not len(todo):
+            return at
+        at[todo] = at[at[todo]]  # what lies between a value and its candidate is larger than both
+
+
+def _levels(data: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
+    """(depth, rank of the substring of that depth at each place) for the powers of two up to ``length``; words of up to four bytes are their own ranks."""
+    out, depth = [(1, data)], 1
+    while 2 * depth <= length:
+        rank = out[-1][1]
+        both = (rank[:-depth].astype(np.uint64) << np.uint64(min(8 * depth, 32))) | rank[depth:]
+        depth *= 2
+        out.append((depth, (both if depth <= 4 else np.unique(both, return_inverse=True)[1]).astype(np.uint32)))
+    return out
+
+
+def _shared(levels: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Bytes that the suffixes at ``a`` and at ``b`` have in common, ``length`` at most; none where ``b`` is negative."""
+    same = np.zeros(len(a), np.int64)
+    for depth, rank in reversed(levels):
+        same += np.where(rank[a + same] == rank[np.maximum(b, 0) + same], depth, 0)
+    return np.where(b < 0, 0, np.minimum(same, length))
+
+
 def previous_factors(segments: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(segment number, offset, has an earlier match, has a later match) of all starts of ``length`` bytes.
+    """(segment number, offset, longest previous factor, longest later factor) of all starts with ``length`` bytes in their segment.
 
-    Suffixes are sorted to depth ``length`` by doubling from 8-byte words, with ties in text order. There the previous
-    smaller position of a start is its left neighbour and the next smaller one lies beyond its ties, so the
-    longest previous factor reaches ``length`` just where the left neighbour ties; a later match is a tie to the right.
+    A factor is a string that starts at another such place, earlier or later in text order; its length counts to ``length``, and overlaps are allowed.
+    Starts are sorted to that depth with ties in text order, so of all earlier starts the one that shares most with a start
+    is the previous or the next smaller position in suffix order.
     """
     sizes = np.array([len(x) for x in segments])
-    data = np.frombuffer(b"".join(segments) + bytes(length), np.uint8)
-    n = int(sizes.sum())
-    depth = 1
-    rank = data.astype(np.int64)
-    for _ in range(3):  # bytes to words of eight, while the depth allows it
-        if 2 * depth > min(8, length):
-            break
-        m = len(rank) - depth
-        rank = (rank[:m] << (8 * depth)) | rank[depth : depth + m] if depth < 4 else (rank[:m].astype(np.uint64) << np.uint64(32)) | rank[depth : depth + m].astype(np.uint64)
-        depth *= 2
-    _, rank = np.unique(rank, return_inverse=True)
-    while depth < length:
-        step = min(depth, length - depth)
-        m = min(len(rank) - step, n)
-        _, rank = np.unique(rank[:m] * np.int64(len(rank) + 1) + rank[step : step + m], return_inverse=True)
-        depth += step
+    levels = _levels(np.frombuffer(b"".join(segments) + bytes(2 * length), np.uint8), length)
     ends = np.cumsum(sizes)
     count = np.maximum(sizes - length + 1, 0)
     number = np.repeat(np.arange(len(sizes)), count)
     offset = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
     start = (ends - sizes)[number] + offset
-    order = np.argsort(rank[start], kind="stable")
-    tie = np.diff(rank[start][order]) == 0
-    earlier, later = np.zeros(len(start), bool), np.zeros(len(start), bool)
-    earlier[order[1:]] = tie
-    later[order[:-1]] = tie
-    return number, offset, earlier, later
+    depth, rank = levels[-1]
+    order = np.lexsort((rank[start + length - depth], rank[start]))  # stable; the two halves overlap
+    p = order.astype(np.int64)
+    last = len(p) - 1
+    found = []
+    for q in (p, last - p):  # smaller positions, then larger ones
+        before = _nearest_smaller(q)
+        after = last - _nearest_smaller(q[::-1])[::-1]
+        longest = np.zeros(len(p), np.int64)
+        for at in (before, np.where(after > last, -1, after)):
+            other = np.where(at < 0, -1, start[p[np.maximum(at, 0)]])
+            longest = np.maximum(longest, _shared(levels, start[p], other, length))
+        out = np.empty_like(longest)
+        out[p] = longest
+        found.append(out)
+    return number, offset, *found
 
 
 def _intervals(number, offset, hit) -> Iterator[tuple[int, int, int]]:
@@ -267,7 +297,7 @@ def _matched(length: int, keep_first: bool):
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         number, offset, earlier, later = previous_factors([r[5] for r in rows], length)
-        hit = earlier if keep_first else earlier | later
+        hit = (earlier if keep_first else np.maximum(earlier, later)) >= length
         out = [(rows[i][2], rows[i][3] + a, rows[i][3] + b) for i, a, b in _intervals(number, offset, hit)]
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], names=["rid", "s", "e"])
 
@@ -320,22 +350,19 @@ def _removed(text: bytes, starts: list | None, everything: bool, length: int, wh
     return spans, b"".join([*kept, text[at:]])
 
 
+_SPANS = "array<struct<start: long, end: long>>"
+_ARROW_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
 def _cut(length: int, whole_characters: bool):
     """Texts with their spans removed."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, digests = batch.column("doc_id").to_pylist(), batch.column("digest").to_pylist()
             done = [_removed(*x, length, whole_characters) for x in zip(*(batch.column(c).to_pylist() for c in ("text", "starts", "everything")))]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids, pa.int64()),
-                    pa.array(digests, pa.binary()),
-                    pa.array([[{"start": a, "end": b} for a, b in s] for s, _ in done], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                    pa.array([k for _, k in done], pa.binary()),
-                ],
-                names=["doc_id", "digest", "spans", "kept"],
-            )
+            spans = pa.array([[{"start": a, "end": b} for a, b in s] for s, _ in done], _ARROW_SPANS)
+            more = {"passages": batch.column("passages")} if "passages" in batch.schema.names else {}
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "digest": batch.column("digest"), "spans": spans, "kept": pa.array([k for _, k in done], pa.binary()), **more})
 
     return run
 
@@ -372,6 +399,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, te
     if keep_first:
         equal = equal.where("not (rid = rid1 and s = s1)")
     several = classes.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1").select("h", (F.col("kinds") > HOT).alias("hot"))
+    several = scratch.save(several, "several")  # read anew, so that the join below may split a hot anchor
     edges = classes.join(several, "h").select("h", "hot", "first.*")
     wanted = edges.groupBy("rid").agg(F.collect_list(F.struct("h", "s", "e", "hot")).alias("runs"))
     wanted = scratch.save(wanted.join(whole.select("rid", "digest", "first_id"), "rid"), "wanted")
@@ -385,7 +413,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, te
     starts = equal.select("rid", "s", "e").union(copied).union(own).union(matched).groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("starts"))
     found = whole.join(starts, "rid", "left").where("copies > 1 or starts is not null")
     found = scratch.save(found.select("digest", "first_id", (F.col("copies") > 1).alias("everything"), "starts"), "found")
-    scratch.drop("dup", "classes", "wanted", "whole", "known", "cut", "pieces", "piece-classes", "ones")
+    scratch.drop("dup", "classes", "several", "wanted", "whole", "known", "cut", "pieces", "piece-classes", "ones")
     return found, scratch
 
 
@@ -397,15 +425,64 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fal
     text are copies of each other, but with ``keep_first`` rows that repeat both id and text are judged as one. Other columns are ignored.
     """
     found, _ = repeated(docs, length, keep_first, text, doc_id)
+    return _without(docs, found, length, keep_first, text, doc_id)
+
+
+def _without(docs: DataFrame, found: DataFrame, length: int, keep_first: bool, text: str, doc_id: str) -> DataFrame:
+    """``docs`` without what was ``found`` by digest."""
     source = texts(docs, text, doc_id).withColumn("digest", _digest("text"))
     joined = source.join(found, "digest", "left")
     everything = F.coalesce("everything", F.lit(False))
     if keep_first:
         everything = everything & ~F.col("doc_id").eqNullSafe(F.col("first_id"))
-    touched = joined.select("doc_id", "digest", "text", everything.alias("everything"), "starts")
-    cut = touched.mapInArrow(tidy(_cut(length, keep_first)), "doc_id long, digest binary, spans array<struct<start: long, end: long>>, kept binary")
+    touched = joined.select("doc_id", "digest", "text", everything.alias("everything"), "starts", *(["passages"] if "passages" in found.columns else []))
+    cut = touched.mapInArrow(tidy(_cut(length, keep_first)), f"doc_id long, digest binary, spans {_SPANS}, kept binary{f', passages {_SPANS}' if 'passages' in found.columns else ''}")
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
-    return cut.select("doc_id", (F.length("kept") + removed).alias("n_bytes"), "digest", "spans", "kept")
+    return cut.select("doc_id", (F.length("kept") + removed).alias("n_bytes"), *cut.columns[1:])
+
+
+def _regions(length: int, shorter: int):
+    """Texts to (digest, passages, regions): the spans that strings of ``shorter`` bytes cover, and those of them that hold ``length`` bytes."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for digest, text, starts, everything in zip(*(batch.column(c).to_pylist() for c in ("digest", "text", "starts", "everything"))):
+                spans = [(0, len(text))] if everything else _merged([(x["s"], x["e"] + shorter) for x in starts or ()])
+                regions = [{"offset": a, "bytes": text[a:b]} for a, b in spans if b - a >= length]
+                rows.append((digest, [{"start": a, "end": b} for a, b in spans], regions))
+            kinds = (pa.binary(), _ARROW_SPANS, pa.list_(pa.struct([("offset", pa.int32()), ("bytes", pa.binary())])))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["digest", "passages", "regions"])
+
+    return run
+
+
+def passages_and_repeats(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``remove_repeats`` for ``length``, with ``passages``: the spans that strings of ``passage`` bytes cover which also start elsewhere.
+
+    ``passage`` is at most ``length``. Nulls are empty texts; ids and rows may repeat; other columns are ignored; texts shorter than ``passage`` have none.
+    """
+    shorter, scratch = repeated(docs, passage, False, text, doc_id)
+    source = texts(docs, text, doc_id).withColumn("digest", _digest("text"))
+    met = source.join(shorter, "digest").where(F.col("doc_id").eqNullSafe(F.col("first_id"))).select("digest", "text", "starts", "everything")
+    met = met.mapInArrow(tidy(_regions(length, passage)), f"digest binary, passages {_SPANS}, regions array<struct<offset: int, bytes: binary>>")
+    met = scratch.save(met.withColumn("n", F.monotonically_increasing_id()), "regions")
+    one = met.groupBy("digest").agg(F.min("n").alias("n"))  # rows of one id may repeat a text
+    met = met.join(one.select("n"), "n", "left_semi")
+    regions = scratch.save(met.select("digest", F.explode("regions").alias("x")).select("digest", "x.offset", F.col("x.bytes").alias("text"), F.monotonically_increasing_id().alias("doc_id")), "region-texts")
+    longer, own = repeated(regions, length)
+    places = regions.select("digest", "offset", F.length("text").alias("size"), _digest("text").alias("region"))
+    hits = places.join(longer.select(F.col("digest").alias("region"), "everything", "starts"), "region")
+    whole = F.array(F.struct(F.lit(0).alias("s"), (F.col("size") - length).alias("e")))
+    hits = hits.select("digest", "offset", F.explode(F.when(F.col("everything"), whole).otherwise(F.col("starts"))).alias("x"))
+    hits = hits.groupBy("digest").agg(F.collect_list(F.struct((F.col("x.s") + F.col("offset")).alias("s"), (F.col("x.e") + F.col("offset")).alias("e"))).alias("starts"))
+    # a text that stands in several rows is repeated as a whole, if it is long enough
+    found = met.select("digest", "passages").join(shorter.select("digest", "everything", "first_id"), "digest").join(hits, "digest", "left")
+    copies = F.col("everything") & (F.try_element_at("passages", F.lit(-1))["end"] >= length)
+    found = scratch.save(found.select("digest", "first_id", copies.alias("everything"), "starts", "passages"), "found-both")
+    scratch.drop("regions", "region-texts", "found")
+    own.drop()
+    return _without(docs, found, length, False, text, doc_id)
 
 
 def deduplicate(docs: DataFrame, length: int = LENGTH, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
