@@ -31,8 +31,8 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 400 bytes that stand earlier in the corpus go; the first copy stays."""
-    return _counted(suffix.deduplicate(docs))
+    """Passages of 250 bytes (about fifty words) or more that stand earlier in the corpus go; the first copy stays."""
+    return _counted(suffix.deduplicate(docs, suffix.PASSAGE))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
