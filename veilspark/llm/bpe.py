@@ -2,11 +2,12 @@
 
 A text is split by the tokenizer's pattern. Words that the task does not know yet go, as rows (word, position, token), into a recursive
 query: each step joins neighbouring tokens with the merge table, picks each word's lowest rank (leftmost of equals) and
-contracts that pair, until no word has a pair left. Ordered aggregation gives a word's ids, and from the vocabulary
-the bytes that they decode to. Known words are kept between batches and tasks, in bounded number.
+contracts that pair, until no word has a pair left; the tokens in order are the word's ids. Ids are decoded by another query, which puts the
+vocabulary's bytes in the ids' place and joins them in order. Known words are kept between batches and tasks, in bounded number.
 
-A word of more than ``SHORT`` bytes contracts all places of its lowest pair in a step, from left to right, up to the first one that
-makes a pair of lower rank than its own: the same merges in the same order, in far fewer steps.
+Words of more than ``SHORT`` bytes make the same merges in the same order in fewer steps: a step contracts a word's lowest pair at one place
+after the other, from left to right, and ends after the first contraction that makes a pair of lower rank, be it with a neighbour as it stood or with
+what the same step has made.
 """
 
 from __future__ import annotations
@@ -18,7 +19,9 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ._common import lists, rows_of, texts
 
@@ -34,9 +37,11 @@ _NEIGHBOURS = """
     select word, pos, token, lag(pos) over w as back, lag(token) over w as before, lead(token) over w as after, lead(token, 2) over w as beyond
     from merging where not done window w as (partition by word order by pos)
 """
-_RESULT = """
-    select word, list(token) as ids, unhex(string_agg(hex, '')) as decoded
-    from (select word, token, hex from merging join vocabulary on id = token where done order by word, pos) group by word order by word
+_RESULT = "select list(token) as ids from (select word, token from merging where done order by word, pos) group by word order by word"
+#: The vocabulary's bytes, in hexadecimal, joined in the order of the ids (counted from 1 here).
+DECODE = """
+    select case when ids is not null then unhex(coalesce(array_to_string(list_select((select hexes from vocabulary), ids), ''), '')) end as decoded
+    from given order by doc
 """
 #: Each step contracts the leftmost lowest pair of each word.
 MERGE = f"""
@@ -57,7 +62,7 @@ with recursive merging as (
 )
 {_RESULT}
 """
-#: Each step contracts the lowest pair of each word wherever it stands, while that makes no lower pair.
+#: Each step contracts the lowest pair of each word at place after place, while that makes no lower pair.
 MERGE_LONG = f"""
 with recursive merging as (
     select word, pos, token, false as done from start
@@ -73,13 +78,14 @@ with recursive merging as (
                     sum(case when here then 0 else 1 end) over (partition by word order by pos) as run
                 from (
                     select n.*, coalesce(n.m = n.best, false) as here,
-                        coalesce(l.m < n.best, false) or coalesce(r.m < n.best, false) as lower
+                        coalesce(l.m < n.best, false) or coalesce(r.m < n.best, false) or coalesce(b.m < n.best, false) as lower
                     from (
                         select *, min(m) over (partition by word) as best
                         from ({_NEIGHBOURS}) left join merges on pair = (token << 32) | after
                     ) n
                     left join merges l on l.pair = (n.before << 32) | n.best
                     left join merges r on r.pair = (n.best << 32) | n.beyond
+                    left join merges b on b.pair = (n.best << 32) | n.best
                 )
             )
         )
@@ -117,36 +123,36 @@ class Encoder:
         self.sql = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
         self.pattern = regex.compile(pattern)
         self.sql.register("merges_in", pa.table({k: pa.array(v, pa.int64()) for k, v in merge_rows(ranks).items()}))
-        self.sql.register("vocabulary_in", pa.table({"id": pa.array(list(ranks.values()), pa.int64()), "bytes": pa.array(list(ranks), pa.binary())}))
+        hexes = [""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            hexes[rank] = token.hex()
+        self.sql.register("vocabulary_in", pa.table({"hexes": pa.array([hexes], pa.list_(pa.string()))}))
         self.sql.execute("create table merges as select (l << 32) | r as pair, m from merges_in")
-        self.sql.execute("create table vocabulary as select id, hex(bytes) as hex from vocabulary_in")
+        self.sql.execute("create table vocabulary as select hexes from vocabulary_in")
         self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
         self.ids: dict[str, bytes] = {}
-        self.decoded: dict[str, bytes] = {}
-        self.older: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.older: dict[str, bytes] = {}
 
-    def _encode(self, words: list[bytes], query: str) -> Iterator[tuple[bytes, bytes]]:
-        """(ids as 32-bit integers, decoded bytes) of each word."""
+    def _encode(self, words: list[bytes], query: str) -> Iterator[bytes]:
+        """Ids of each word as 32-bit integers."""
         sizes = np.array([len(w) for w in words])
         first = np.repeat(np.cumsum(sizes) - sizes, sizes)
         rows = pa.table({"word": np.repeat(np.arange(len(words), dtype=np.int32), sizes), "pos": (np.arange(len(first)) - first).astype(np.int32), "token": self.single[np.frombuffer(b"".join(words), np.uint8)]})
         self.sql.register("start", rows)
-        got = self.sql.sql(query).to_arrow_table()
+        ids = self.sql.sql(query).to_arrow_table().column("ids").combine_chunks()
         self.sql.unregister("start")
-        ids = got.column("ids").combine_chunks()
         cuts, data = (ids.offsets.to_numpy() * 4).tolist(), ids.values.to_numpy().astype(np.int32).tobytes()
-        return zip((data[a:b] for a, b in zip(cuts, cuts[1:])), got.column("decoded").to_pylist())
+        return (data[a:b] for a, b in zip(cuts, cuts[1:]))
 
     def learn(self, words: Iterable[str]) -> None:
         """Encodes the words that are not known yet."""
         words = set(words)
         if len(self.ids) > CACHE:
-            self.older = self.ids, self.decoded
-            self.ids, self.decoded = {}, {}
+            self.older, self.ids = self.ids, {}
         fresh = []
         for w in words - self.ids.keys():
-            if w in self.older[0]:
-                self.ids[w], self.decoded[w] = self.older[0][w], self.older[1][w]
+            if w in self.older:
+                self.ids[w] = self.older[w]
             else:
                 fresh.append(w)
         coded = sorted(((w.encode(), w) for w in fresh), key=lambda x: len(x[0]))
@@ -156,45 +162,81 @@ class Encoder:
             size = 0
             for word in [*some, None]:
                 if group and (word is None or size + len(word[0]) > STEP):
-                    for (_, w), (ids, data) in zip(group, self._encode([w for w, _ in group], query)):
-                        self.ids[w], self.decoded[w] = ids, data
+                    for (_, w), ids in zip(group, self._encode([w for w, _ in group], query)):
+                        self.ids[w] = ids
                     group, size = [], 0
                 if word is not None:
                     group.append(word)
                     size += len(word[0])
 
-    def encode(self, chunk: list[str]) -> Iterator[tuple[np.ndarray, bytes]]:
-        """(ids, bytes that they decode to) of each text."""
+    def encode(self, chunk: list[str]) -> Iterator[np.ndarray]:
+        """Ids of each text."""
         split = [self.pattern.findall(t) for t in chunk]
         self.learn(chain.from_iterable(split))
         for words in split:
-            yield np.frombuffer(b"".join(map(self.ids.__getitem__, words)), np.int32), b"".join(map(self.decoded.__getitem__, words))
+            yield np.frombuffer(b"".join(map(self.ids.__getitem__, words)), np.int32)
+
+    def decode(self, ids: pa.ListArray) -> pa.Array:
+        """The bytes that each list of ids stands for."""
+        ends = np.cumsum(np.concatenate([[0], pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)]))
+        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pc.add(pc.fill_null(ids.flatten().cast(pa.int64()), -1), 1), mask=pc.is_null(ids))
+        self.sql.register("given", pa.table({"doc": pa.array(range(len(ids)), pa.int64()), "ids": ids}))
+        decoded = self.sql.sql(DECODE).to_arrow_table().column("decoded").combine_chunks()
+        self.sql.unregister("given")
+        return decoded.cast(pa.binary())
 
 
 _encoders: dict[tuple, Encoder] = {}
 
 
-def _run(shipped, pattern: str):
+def _encoder(data: bytes, pattern: str) -> Encoder:
+    key = (hash(data), pattern)
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(read_ranks(data), pattern)
+    return _encoders[key]
+
+
+def _run(shipped, pattern: str, decoded: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data = shipped.value
-        key = (hash(data), pattern)
-        if key not in _encoders:
-            _encoders.clear()
-            _encoders[key] = Encoder(read_ranks(data), pattern)
+        encoder = _encoder(shipped.value, pattern)
         for ids, chunk in rows_of(batches, TEXT):
-            made = list(_encoders[key].encode([t.decode("utf-8", "replace") for t in chunk]))
-            tokens = lists(np.cumsum([0, *(len(x) for x, _ in made)]), np.concatenate([*(x for x, _ in made), np.zeros(0, np.int32)]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), tokens, pa.array([d for _, d in made], pa.binary())], names=["doc_id", "ids", "decoded"])
+            made = list(encoder.encode([t.decode("utf-8", "replace") for t in chunk]))
+            tokens = lists(np.cumsum([0, *map(len, made)]), np.concatenate([*made, np.zeros(0, np.int32)]))
+            out = {"doc_id": pa.array(ids, pa.int64()), "ids": tokens}
+            yield pa.RecordBatch.from_pydict(out | {"decoded": encoder.decode(tokens)} if decoded else out)
 
     return run
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per row of ``docs``: doc_id, ids (array<int>), decoded (the bytes that the ids stand for).
+def _shipped(df: DataFrame, vocabulary: str):
+    with open(vocabulary, "rb") as file:
+        return df.sparkSession.sparkContext.broadcast(file.read())
+
+
+def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", doc_id: str = "doc_id", decoded: bool = False) -> DataFrame:
+    """One row per row of ``docs``: doc_id, ids (array<int>), and if asked ``decoded`` (the bytes that these ids decode to).
 
     ``vocabulary`` is a file of base64 tokens and ranks that the driver reads and broadcasts (its size is that of a vocabulary, whatever
-    the input's). Special tokens are ordinary text. Null and empty texts have no ids. Ids and rows may repeat, other columns are ignored.
+    the input's). Special tokens are ordinary text. Null and empty texts have no ids. Ids and rows may repeat, other columns are ignored. A very long
+    text costs memory in proportion to its length in one task; a single very long word as many steps as it has merges of different ranks, at least.
     """
-    with open(vocabulary, "rb") as file:
-        shipped = docs.sparkSession.sparkContext.broadcast(file.read())
-    return texts(docs, text, doc_id).mapInArrow(_run(shipped, pattern), "doc_id long, ids array<int>, decoded binary")
+    schema = "doc_id long, ids array<int>" + (", decoded binary" if decoded else "")
+    return texts(docs, text, doc_id).mapInArrow(_run(_shipped(docs, vocabulary), pattern, decoded), schema)
+
+
+def decode(tokens: DataFrame, vocabulary: str, pattern: str = ".", ids: str = "ids", doc_id: str = "doc_id") -> DataFrame:
+    """One row per row of ``tokens``: doc_id, decoded (the bytes that its array of ids stands for).
+
+    A null array stays null, an empty one gives no bytes, and so do a null id and one that the vocabulary lacks. Other columns are ignored.
+    """
+    shipped = _shipped(tokens, vocabulary)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(shipped.value, pattern)
+        for batch in batches:
+            for lo in range(0, len(batch), 4096):
+                part = batch.slice(lo, 4096)
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "decoded": encoder.decode(part.column("ids"))})
+
+    return tokens.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(ids).cast("array<long>").alias("ids")).mapInArrow(run, "doc_id long, decoded binary")

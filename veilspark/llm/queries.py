@@ -73,7 +73,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of ``documents`` by a public vocabulary, and the texts that they decode to."""
     import public_tokenizers
 
-    found = bpe.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    found = bpe.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decoded=True)
     ids = F.sha2(F.array_join("ids", " ").cast("binary"), 256)
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
