@@ -1,7 +1,6 @@
 import itertools
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from veilspark.llm import packing
 
@@ -50,7 +49,19 @@ def test_empty(spark):
     assert packing.bucket_batches(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_steps(spark):
-    values = [0, 1, 1023, 1024, 1025, 2047, 2048, 2049, 100_000, 2**31]
-    for r in spark.createDataFrame([(v,) for v in values], "v long").select("v", packing.step(F.col("v")).alias("s")).collect():
-        assert r.v <= r.s <= r.v * (1 + 1 / 256) and (r.v >= 1024 or r.s == r.v)
+def test_long_lengths_are_not_rounded(spark):
+    rows = [(i, "w " * n) for i, n in enumerate([1500, 1501, 1503, 1510, 3001, 3003])]
+    got = packing.bucket_batches(spark.createDataFrame(rows, "doc_id long, text string"), 3, 10_000).collect()
+    assert {r.doc_id: r.bucket_tokens for r in got} == {0: 1503, 1: 1503, 2: 1503, 3: 1510, 4: 3003, 5: 3003}
+
+
+def test_many_lengths():
+    rng = np.random.default_rng(8)
+    lengths, counts = np.arange(1, 401), rng.integers(1, 1000, 400)
+    cost = {0: 0.0}  # plain dynamic programming, all starts tried
+    total = np.concatenate([[0], np.cumsum(counts)])
+    for _ in range(6):
+        cost = {j: min([cost[i] + (total[j] - total[i]) * int(lengths[j - 1]) for i in cost if i < j] + [cost.get(j, np.inf)]) for j in range(401)}
+    edges = packing.boundaries(lengths, counts, 6)
+    assert len(edges) <= 6 and cost[400] == sum(c * min(e for e in edges if e >= n) for n, c in zip(lengths, counts))
+    assert len(packing.boundaries(np.arange(1, 20_001), rng.integers(1, 9, 20_000), 16)) == 16

@@ -1,9 +1,10 @@
 """Packing documents of like length: bucket boundaries that minimise padding, and token-budget batches inside each bucket.
 
-1. Lengths in tokens (words) are counted once, in steps that grow with the length so that the histogram has a bounded number of
-   rows whatever the corpus: exact up to ``EXACT``, then within 1 part in ``EXACT``.
+1. Lengths in tokens (words) are counted once: the histogram holds every length that occurs, exactly. Distinct lengths are few beside the
+   documents: ``n`` of them need texts of ``n * n / 2`` words in all, at least.
 2. Dynamic programming over that histogram places the boundaries: a document in a bucket is padded to the longest length in it, so a bucket costs its
-   documents times that length.
+   documents times that length. The best last boundary never moves back as lengths grow, so each layer is filled by divide and
+   conquer, in memory of a few numbers for each length.
 3. A batch of a bucket with boundary L holds ``budget // L`` documents (one at least). Batches are filled in order of (length, id) from ranks that are summed
    from partition counts, so no bucket has to fit in one task.
 """
@@ -20,8 +21,6 @@ from pyspark.sql import functions as F
 from ._common import Scratch
 
 BUCKETS, BUDGET = 16, 16384
-#: Lengths below this are steps of their own; longer ones are rounded up to 10 significant bits.
-EXACT = 1024
 
 
 def n_tokens(text: F.Column) -> F.Column:
@@ -29,42 +28,39 @@ def n_tokens(text: F.Column) -> F.Column:
     return F.coalesce(F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")), F.lit(0)).cast("long")
 
 
-def step(length: F.Column) -> F.Column:
-    """The histogram's step of a length: the longest length in it."""
-    shift = F.greatest(F.lit(0), F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double"))) - 9)
-    width = F.pow(F.lit(2.0), shift).cast("long")
-    return F.when(length < EXACT, length).otherwise((F.floor((length + width - 1) / width) * width).cast("long"))
-
-
 def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     """Ascending bucket boundaries with the least padded total, the last one the longest length; at most ``buckets`` of them.
 
-    ``lengths`` ascend. The cost of steps i to j in a bucket is the number of their documents times lengths[j].
+    ``lengths`` ascend. The cost of lengths i to j in a bucket is the number of their documents times lengths[j].
     """
     n = len(lengths)
     if not n:
         return []
-    total = np.concatenate([[0], np.cumsum(counts, dtype=np.float64)])
-    cost = total[1:] * lengths  # one bucket
-    back = [np.zeros(n, np.int64)]
+    lengths = np.asarray(lengths, np.float64)
+    total = np.concatenate([[0.0], np.cumsum(counts, dtype=np.float64)])
+    cost = np.concatenate([[0.0], total[1:] * lengths])  # of the first j lengths in one bucket
+    back = [np.zeros(n + 1, np.int32)]
     for _ in range(1, min(buckets, n)):
-        # the best cost of all ending at step i, plus a bucket of the steps after it up to j
-        with np.errstate(invalid="ignore"):
-            table = cost[:, None] + (total[1:][None] - total[1:][:, None]) * lengths[None]
-        table[np.tril_indices(n)] = np.inf
-        before = table.argmin(axis=0)
-        now = table[before, np.arange(n)]
-        better = now < cost
-        back.append(np.where(better, before + 1, 0))
-        cost = np.where(better, now, cost)
-    out, j, k = [], n - 1, len(back) - 1
-    while True:
-        out.append(int(lengths[j]))
-        while k > 0 and back[k][j] == 0:
-            k -= 1
-        if k == 0:
-            return out[::-1]
-        j, k = int(back[k][j]) - 1, k - 1
+        now, before = cost.copy(), np.zeros(n + 1, np.int32)
+        work = [(1, n, 0, n - 1)]
+        while work:  # ends lo to hi, whose best bucket starts after one of the first a to b lengths
+            lo, hi, a, b = work.pop()
+            if lo > hi:
+                continue
+            j = (lo + hi) // 2
+            starts = slice(a, min(b, j - 1) + 1)
+            tried = cost[starts] + (total[j] - total[starts]) * lengths[j - 1]
+            i = a + int(tried.argmin())
+            if tried[i - a] <= now[j]:
+                now[j], before[j] = tried[i - a], i
+            work += [(lo, j - 1, a, i), (j + 1, hi, i, b)]
+        back.append(before)
+        cost = now
+    out, j, k = [], n, len(back) - 1
+    while j > 0:
+        out.append(int(lengths[j - 1]))
+        j, k = int(back[k][j]), k - 1
+    return out[::-1]
 
 
 def bucket_batches(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -76,12 +72,13 @@ def bucket_batches(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET
     spark = docs.sparkSession
     scratch = Scratch(spark)
     sized = docs.select(F.col(doc_id).cast("long").alias("doc_id"), n_tokens(F.col(text)).alias("n_tokens"), F.xxhash64(F.col(text)).alias("tie"))
-    sized = scratch.save(sized.withColumn("step", step(F.col("n_tokens"))), "sized")
-    counted = sorted((r.step, r["count"]) for r in sized.groupBy("step").count().collect())  # bounded: EXACT + 512 rows for each doubling
-    edges = boundaries(np.array([r[0] for r in counted], np.int64), np.array([r[1] for r in counted], np.int64), buckets)
+    sized = scratch.save(sized, "sized")
+    # a row for each length that occurs; two arrays of numbers on the driver
+    counted = sized.groupBy("n_tokens").count().orderBy("n_tokens").toArrow()
+    edges = boundaries(counted.column("n_tokens").to_numpy(), counted.column("count").to_numpy(), buckets)
     at = F.lit(0)
     for edge in edges[:-1]:
-        at = at + (F.col("step") > edge).cast("int")
+        at = at + (F.col("n_tokens") > edge).cast("int")
     sized = sized.withColumn("bucket", at.cast("int"))
     limits = F.array(*(F.lit(e).cast("long") for e in edges or [0]))
 
