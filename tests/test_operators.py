@@ -1,12 +1,12 @@
 import pytest
 from pyspark.sql import functions as F
 
-from veilspark.operators import associate, detect, fields, lexicon, people, review, scrub, verify
+from veilspark.operators import associate, detect, fields, lexicon, people, pseudonymise, review, verify
 
 
 def found(spark, text, **more):
-    row = spark.createDataFrame([(text,)], "t string").select(detect.detect(F.col("t"), **more).alias("s")).first()
-    return [(s.entity, s.value) for s in row.s]
+    row = detect.detect(spark.createDataFrame([(text,)], "t string"), text="t", **more).first()
+    return [(s.entity, s.value) for s in row.spans]
 
 
 def test_detects_and_leaves_alone(spark):
@@ -29,9 +29,9 @@ def test_key_decides_whole_values(spark):
     assert got == {("first_name", "Ana"): [("FIRST_NAME", "Ana")], ("first_name", "match"): [], ("created_at", "2165551234"): [], ("note", "write to a@b.co"): [("EMAIL_ADDRESS", "a@b.co")], (None, "a@b.co"): [("EMAIL_ADDRESS", "a@b.co")]}
 
 
-def test_scrub_is_consistent_and_leaks_nothing(spark):
+def test_pseudonymise_is_consistent_and_leaks_nothing(spark):
     rows = [(1, "a@b.co wrote; again A@b.co and 24.5.6.7"), (2, "from a@b.co"), (3, "nothing"), (4, None), (5, "")]
-    out = {r.doc_id: r for r in scrub.scrub(spark.createDataFrame(rows, "doc_id long, text string"), "seed").collect()}
+    out = {r.doc_id: r for r in pseudonymise.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "seed").collect()}
     assert len(out) == 5 and out[3].output == "nothing" and out[4].output == "" and out[1].n_spans == 3 and dict(out[1].counts) == {"EMAIL_ADDRESS": 2, "IP_ADDRESS": 1}
     stand_in = out[2].marks[0].stand_in
     assert out[1].output.startswith(f"{stand_in} wrote") and out[2].output == f"from {stand_in}" and "a@b.co" not in out[1].output.lower()

@@ -20,17 +20,17 @@ def test_windows_of_a_stream(spark, tmp_path):
     assert {(r.entity, r.n) for r in spark.sql("select * from seen").collect()} == {("EMAIL_ADDRESS", 2), ("IP_ADDRESS", 1)}
 
 
-def test_scrubbed_stream_agrees_with_batch(spark, tmp_path):
-    query = live.scrubbed(files(spark, tmp_path), f"{tmp_path}/out", "seed", f"{tmp_path}/check").trigger(availableNow=True).start()
+def test_pseudonymised_stream_agrees_with_batch(spark, tmp_path):
+    query = live.pseudonymised(files(spark, tmp_path), f"{tmp_path}/out", "seed", f"{tmp_path}/check").trigger(availableNow=True).start()
     query.awaitTermination(120)
     live_rows = {r.doc_id: r.output for r in spark.read.parquet(f"{tmp_path}/out").collect()}
-    assert live_rows == {r.doc_id: r.output for r in api.scrub.scrub(spark.read.parquet(f"{tmp_path}/in"), "seed").collect()}
+    assert live_rows == {r.doc_id: r.output for r in api.pseudonymise.pseudonymise(spark.read.parquet(f"{tmp_path}/in"), "seed", apart=False).collect()}
 
 
 def test_user_patterns_and_views(spark):
     docs = spark.createDataFrame([(1, "badge QX-77 and a@b.co")], "doc_id long, text string")
     bank = api.with_patterns(api.Pattern("ID_NUMBER", r"\bQX-\d+\b", 1.0))
-    out = api.scrub.scrub(docs, "s", bank=bank).first()
+    out = api.pseudonymise.pseudonymise(docs, "s", bank=bank).first()
     assert dict(out.counts) == {"EMAIL_ADDRESS": 1, "ID_NUMBER": 1} and "QX-77" not in out.output
     api.register_views(spark, docs)
     assert [tuple(r) for r in spark.sql("select entity, n from pii_counts").collect()] == [("EMAIL_ADDRESS", 1)]

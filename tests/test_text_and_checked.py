@@ -32,7 +32,7 @@ def test_more_draws(spark):
 def test_rounds_replace_what_leaks(spark, tmp_path):
     cut = lambda df, name: (df.write.mode("overwrite").parquet(f"{tmp_path}/{name}"), spark.read.parquet(f"{tmp_path}/{name}"))[1]
     rows = [(1, "Mr. Odalys Ferriter called; ferriter again, user oferriter"), (2, "call +1 (458) 555-2333 or 458.555.2333"), (3, "nothing here")]
-    out, suspects, turns = checked.scrub_checked(spark.createDataFrame(rows, "doc_id long, text string"), "s", cut)
+    out, suspects, turns = checked.pseudonymise_checked(spark.createDataFrame(rows, "doc_id long, text string"), "s", cut)
     got = {r.doc_id: r.output for r in out.collect()}
     assert not any(x in " ".join(got.values()).lower() for x in ("ferriter", "odalys", "555-2333", "555.2333")) and got[3] == "nothing here"
     assert suspects.count() == 0 and 1 <= turns <= 3

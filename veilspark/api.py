@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import checks, draw
-from .operators import detect, fields, review, scrub
+from .operators import detect, fields, pseudonymise, review
 from .operators.detect import Pattern
 from .sources import formats, leaves
 
-__all__ = ["Pattern", "detect", "fields", "leaves", "mask_column", "read_files", "register_views", "review", "scrub", "scrub_files", "with_patterns"]
+__all__ = ["Pattern", "detect", "fields", "leaves", "mask_column", "read_files", "pseudonymise", "pseudonymise_files", "register_views", "review", "with_patterns"]
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -21,10 +21,10 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return good.unionByName(bad)
 
 
-def scrub_files(spark: SparkSession, path: str, seed: str) -> DataFrame:
+def pseudonymise_files(spark: SparkSession, path: str, seed: str) -> DataFrame:
     """Pseudonymised texts of a folder of text files."""
     files = formats.read(spark, path).where("refused is null")
-    return scrub.scrub(files, seed, "text", "path", "path")
+    return pseudonymise.pseudonymise(files, seed, "text", "path", "path")
 
 
 def with_patterns(*more: Pattern) -> tuple[Pattern, ...]:
@@ -45,7 +45,7 @@ def mask_column(df: DataFrame, column: str, seed: str, entity: str | None = None
 
 def register_views(spark: SparkSession, docs: DataFrame, text: str = "text", key: str = "doc_id") -> None:
     """SQL views over documents: ``pii_spans`` (key, start, end, entity, score, value) and ``pii_counts`` (entity, n)."""
-    found = docs.select(F.col(key), F.explode(detect.detect(F.coalesce(F.col(text), F.lit("")))).alias("s")).select(key, "s.*")
+    found = detect.detect(docs.select(key, F.col(text).alias("text"))).select(key, F.explode("spans").alias("s")).select(key, "s.*")
     found.createOrReplaceTempView("pii_spans")
     spark.sql("select entity, count(*) as n from pii_spans group by entity").createOrReplaceTempView("pii_counts")
 

@@ -8,8 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import checks
@@ -295,18 +294,95 @@ DRAWS: dict[str, Callable[[Column, str, Column | str], Column]] = {
 }
 
 
+def drawn(entity: Column, original: Column, seed: str, scope: Column | str) -> Column:
+    """The stand-in of a value of any kind; kinds without a draw of their own keep the value's shape."""
+    out = record_id(original, seed, scope, "ID_NUMBER")
+    for name, draw in DRAWS.items():
+        out = F.when(entity == name, draw(original, seed, scope)).otherwise(out)
+    return out
+
+
 def stand_ins(values: DataFrame, seed: str) -> DataFrame:
-    """(scope, entity, original) rows with their ``stand_in``: each entity's draw runs over its own distinct values only.
+    """(scope, entity, original) rows with their ``stand_in``, drawn once for each distinct value."""
+    values = values.select("scope", "entity", "original").distinct()
+    return values.withColumn("stand_in", drawn(F.col("entity"), F.col("original"), seed, F.col("scope")))
+
 
-    The kinds that are there (a closed list) are looked up first, so that the plan has no others.
+def _surnames(rank: Column) -> Column:
+    """The digits of a rank, from 1, in base 25 as surnames joined by hyphens."""
+    powers = F.array(*(F.lit(25**i) for i in range(8)))
+    digits = F.transform(F.filter(powers, lambda p: p <= rank), lambda p: F.element_at(F.array(*map(F.lit, LAST)), (F.floor(rank / p) % 25 + 1).cast("int")))
+    return F.array_join(digits, "-")
+
+
+def widened(entity: Column, stand_in: Column, rank: Column) -> Column:
+    """The stand-in of the value that is number ``rank`` (from 0) among those that drew the same one: no two of a kind are alike.
+
+    Names get further surnames, handles and local parts a number; phones count on from their line number in steps of a hundred (beyond the numbers kept for
+    fiction where so many are drawn), addresses go on in the other ranges that documents and benchmarks may use, then in that of private networks;
+    other kinds take the rank's digits at their end.
+    """
+    k = rank.cast("long")
+    digits = checks.digits(stand_in)
+    line = F.lpad(((F.substring(digits, -7, 7).try_cast("long") + k * 100) % 10_000_000).cast("string"), 7, "0")
+    last = F.substring_index(stand_in, ".", -1)
+    far = k - 1026
+    four = (
+        F.when(k == 1, F.concat(F.lit("198.51.100."), last))
+        .when(k == 2, F.concat(F.lit("192.0.2."), last))
+        .when(far < 0, F.concat_ws(".", F.lit("198"), (18 + F.floor((k - 3) / 512) % 2).cast("string"), ((k - 3) % 256).cast("string"), last))
+        .otherwise(F.concat_ws(".", F.lit("10"), (F.floor(far / 256) % 256).cast("string"), (far % 256).cast("string"), last))
+    )
+    name = F.concat(stand_in, F.lit("-"), F.when(stand_in == F.upper(stand_in), F.upper(_surnames(k))).otherwise(_surnames(k)))
+    wide = (
+        F.when(entity.isin("PERSON", "FIRST_NAME", "LAST_NAME", "EMPLOYER", "LOCATION", "REGION", "ADDRESS"), name)
+        .when(entity == "EMAIL_ADDRESS", F.concat(F.substring_index(stand_in, "@", 1), F.lit("."), k.cast("string"), F.lit("@"), F.substring_index(stand_in, "@", -1)))
+        .when(entity == "USERNAME", F.concat(stand_in, F.lit("_"), k.cast("string")))
+        .when((entity == "PHONE_NUMBER") & (F.length(digits) >= 10), pour(stand_in, F.concat(F.substring(digits, F.lit(1), F.length(digits) - 7), line)))
+        .when((entity == "IP_ADDRESS") & ~stand_in.contains(":"), four)
+        .when(entity == "IP_ADDRESS", F.concat(stand_in, F.lit(":"), F.lower(F.hex(k))))
+        .otherwise(F.concat(stand_in, F.lit("-"), k.cast("string")))
+    )
+    return F.when(k == 0, stand_in).otherwise(wide)
+
+
+#: Kinds of which different values may take one stand-in: coarse by nature, or masks of another value.
+COARSE = ("DATE_OF_BIRTH", "AGE", "LOCATION", "REGION", "POSTAL_CODE", "TIME_ZONE", "LAST_DIGITS", "EXPIRY_DATE", "SECRET")
+
+
+def kept_apart(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (scope, entity, original, stand_in) where no two values of a scope and kind share a stand-in, but for ``COARSE`` kinds.
+
+    Values of one spelling but for case are one value. Those that drew alike are ranked by original, so the result depends on the set of values, not on their
+    order; the ranks run over one stand-in's values, a small part of all.
     """
-    values = values.select("scope", "entity", "original").distinct().persist(StorageLevel.MEMORY_AND_DISK)
-    here = {r.entity for r in values.select("entity").distinct().collect()} & set(DRAWS)
-    rest = values.where(~F.col("entity").isin(*here)) if here else values
-    rest = rest.withColumn("stand_in", record_id(F.col("original"), seed, F.col("scope"), "ID_NUMBER"))
-    for name in sorted(here):
-        rest = rest.unionByName(values.where(F.col("entity") == name).withColumn("stand_in", DRAWS[name](F.col("original"), seed, F.col("scope"))))
-    return rest
+    value = F.when(F.col("entity").isin("SECRET", "RECORD_ID", "ID_NUMBER"), F.col("original")).otherwise(F.lower("original"))
+    alike = Window.partitionBy("scope", "entity", F.lower("stand_in")).orderBy(value)
+    rank = F.when(F.col("entity").isin(*COARSE), F.lit(0)).otherwise(F.dense_rank().over(alike) - 1)
+    return pairs.withColumn("rank", rank).select("scope", "entity", "original", widened(F.col("entity"), F.col("stand_in"), F.col("rank")).alias("stand_in"))
+
+
+def persona(person: Column, seed: str, scope: Column | str) -> Column:
+    """struct<first, last, number> of a person told by a key: what all of that person's names, handles and addresses are made of."""
+    h = stream(seed, scope, "PERSONA", F.lower(person))
+    return F.struct(pick(h, 0, FIRST).alias("first"), pick(h, 8, LAST).alias("last"), (number(h, 16) % 10000).alias("number"))
+
+
+def of_persona(entity: Column, original: Column, who: Column, seed: str, scope: Column | str) -> Column:
+    """A value of a person as their persona has it: names, email, username, initials; null for kinds that do not follow a person."""
+    first, last, n = who["first"], who["last"], who["number"].cast("string")
+    whole = F.when(original.contains(","), F.concat_ws(", ", last, first)).when(original.contains(" "), F.concat_ws(" ", first, last)).otherwise(last)
+    local = F.when(role_mailbox(original), F.substring_index(original, "@", 1)).otherwise(F.lower(F.concat_ws(".", first, last, n)))
+    made = (
+        F.when(entity == "PERSON", whole)
+        .when(entity == "FIRST_NAME", first)
+        .when(entity == "LAST_NAME", last)
+        .when(entity == "EMAIL_ADDRESS", F.concat(local, F.lit("@"), pick(stream(seed, scope, "DOMAIN", F.lower(F.substring_index(original, "@", -1))), 0, list(DOMAINS))))
+        .when(entity == "USERNAME", F.lower(F.concat(F.substring(first, 1, 1), last, n)))
+        .when(entity == "INITIALS", initials(original, F.concat_ws(" ", first, last)))
+    )
+    capital = entity.isin("PERSON", "FIRST_NAME", "LAST_NAME") & (original == F.upper(original)) & (F.length(original) > 1)
+    return F.when(capital, F.upper(made)).otherwise(made)
 
 
 def coordinates(latitude: Column, longitude: Column, original: Column, seed: str, scope: Column | str) -> Column:

@@ -1,4 +1,4 @@
-"""Scrubbing with its checks: what the output still shows of an original, in any spelling, is replaced too, round by round."""
+"""Pseudonymising with its checks: what the output still shows of an original, in any spelling, is replaced too, round by round."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import checks, draw
 from ..functions import spans as S
-from . import scrub, verify
+from . import pseudonymise, verify
 
 
 def _replacement(seed: str) -> Column:
@@ -25,13 +25,13 @@ def _replacement(seed: str) -> Column:
     )
 
 
-def scrub_checked(docs: DataFrame, seed: str, cut: Callable[[DataFrame, str], DataFrame], text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame, int]:
+def pseudonymise_checked(docs: DataFrame, seed: str, cut: Callable[[DataFrame, str], DataFrame], text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame, int]:
     """(outputs, suspects, rounds): (key, output) after up to three rounds, what is still shown then, and how many rounds there were.
 
     ``cut`` writes a table and reads it back. Each round joins variants of the originals to the output's words, replaces what it finds, and ends when
     nothing is found. Leaks beyond a text's budget are only suspects.
     """
-    out = cut(scrub.scrub(docs, seed, text, key), "scrubbed")
+    out = cut(pseudonymise.pseudonymise(docs, seed, text, key), "pseudonymised")
     found = out.select(F.explode("marks").alias("m")).select(F.lit("dataset").alias("scope"), "m.entity", "m.original", "m.stand_in").distinct()
     found = cut(found, "originals")
     originals = found.select("scope", "entity", "original")

@@ -1,4 +1,4 @@
-"""Detectors: from (text, key) to spans, all as native columns.
+"""Detectors: from (text, key) to spans: one pass finds the matches of all patterns, native columns check, score and resolve them.
 
 A pattern has an entity, a base score, words that speak for it (one of the five before adds 0.35, to at least 0.4) and a validator. What stays
 below 0.4 is dropped. Later readers only fill gaps that surer ones leave (``spans.resolve``).
@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import checks, identifiers, keys
+from ..functions import checks, identifiers, keys, scan
 from ..functions import spans as S
 
 NEAR, LIFT, FLOOR = 5, 0.35, 0.4
@@ -86,39 +86,75 @@ TIME_ZONES = r"\b(?:Africa|America|Antarctica|Asia|Atlantic|Australia|Europe|Ind
 NOT_IN_LINKS = ("PERSON", "ADDRESS", "LOCATION", "EMPLOYER", "PHONE_NUMBER")
 
 
-def find(text: Column, pattern: Pattern) -> Column:
-    """Scored and checked spans of one pattern."""
-    raw = S.spans(text, pattern.pattern, pattern.entity, pattern.score)
-    if pattern.words:
-        raw = F.transform(raw, lambda s: _lifted(text, s, pattern.words))
-    found = F.filter(raw, lambda s: (s["score"] >= FLOOR) & F.coalesce(pattern.valid(s["value"]), F.lit(False)))
-    return found if pattern.need is None else F.when(text.rlike(pattern.need), found).otherwise(F.array().cast(f"array<{S.SPAN}>"))
+def _choice(at: Column, values: Sequence[Column]) -> Column:
+    """The value of a match's pattern."""
+    return F.element_at(F.array(*values), at + 1)
 
 
-def _lifted(text: Column, s: Column, words: Sequence[str]) -> Column:
-    named = F.arrays_overlap(S.words_before(text, s["start"], NEAR), F.array(*map(F.lit, words)))
-    score = F.when(F.coalesce(named, F.lit(False)), F.greatest(F.lit(FLOOR), F.least(F.lit(1.0), s["score"] + LIFT))).otherwise(s["score"])
-    return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["entity"].alias("entity"), score.alias("score"), s["value"].alias("value"))
+def _scored(m: Column, bank: Sequence[Pattern], base: Column, words: Sequence[Sequence[str]], reach: int) -> Column:
+    named = F.arrays_overlap(F.slice(m["near"], 1, reach), _choice(m["pattern"], [F.array(*map(F.lit, w)).cast("array<string>") for w in words]))
+    return F.when(F.coalesce(named, F.lit(False)), F.greatest(F.lit(FLOOR), F.least(F.lit(1.0), base + LIFT))).otherwise(base)
 
 
-def find_identifiers(text: Column, registry: Sequence[identifiers.Identifier] = identifiers.REGISTRY) -> Column:
+def _span(m: Column, entity: Column, score: Column) -> Column:
+    return F.struct(m["start"].alias("start"), m["end"].alias("end"), entity.alias("entity"), score.alias("score"), m["value"].alias("value"))
+
+
+def _of_bank(found: Column, bank: Sequence[Pattern]) -> Column:
+    """Scored and checked spans of the bank's matches."""
+    base = lambda m: _choice(m["pattern"], [F.lit(float(p.score)) for p in bank])
+    spans = F.transform(found, lambda m: F.struct(m["pattern"].alias("pattern"), _span(m, _choice(m["pattern"], [F.lit(p.entity) for p in bank]), _scored(m, bank, base(m), [p.words for p in bank], NEAR)).alias("s")))
+
+    def valid(x: Column) -> Column:
+        out = F.lit(True)
+        for i, p in enumerate(bank):
+            if p.valid is not _any:
+                out = F.when(x["pattern"] == i, F.coalesce(p.valid(x["s"]["value"]), F.lit(False))).otherwise(out)
+        return out
+
+    return F.transform(F.filter(spans, lambda x: (x["s"]["score"] >= FLOOR) & valid(x)), lambda x: x["s"])
+
+
+def _of_registry(found: Column, registry: Sequence[identifiers.Identifier], first: int) -> Column:
     """Identifiers that pass their check: score 1 where a naming word stands before, 0.85 where the form tells by itself."""
-    return F.concat(*(_identified(text, kind) for kind in registry))
+    at = lambda m: m["pattern"] - first
+    base = lambda m: _choice(at(m), [F.lit(0.85 if k.alone else float(k.base)) for k in registry])
+
+    def valid(m: Column) -> Column:
+        out = F.lit(False)
+        for i, k in enumerate(registry):
+            out = F.when(at(m) == i, identifiers.valid(k, m["value"])).otherwise(out)
+        return out
+
+    def one(m: Column) -> Column:
+        named = F.arrays_overlap(m["near"], _choice(at(m), [F.array(*map(F.lit, k.keys)) for k in registry]))
+        return _span(m, _choice(at(m), [F.lit(k.entity) for k in registry]), F.when(named, F.lit(1.0)).otherwise(base(m)))
 
+    return F.filter(F.transform(F.filter(found, valid), one), lambda s: s["score"] >= FLOOR)
 
-def _identified(text: Column, kind: identifiers.Identifier) -> Column:
-    raw = F.when(text.rlike(kind.form), S.spans(text, kind.form, kind.entity, 0.85 if kind.alone else kind.base)).otherwise(F.array().cast(f"array<{S.SPAN}>"))
 
-    def scored(s: Column) -> Column:
-        named = F.exists(S.words_before(text, s["start"], 8), lambda w: w.isin(*kind.keys))
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["entity"].alias("entity"), F.when(named, 1.0).otherwise(s["score"]).alias("score"), s["value"].alias("value"))
+def _form(pattern: Pattern) -> tuple[str, str | None, bool]:
+    return pattern.pattern, pattern.need, bool(pattern.words)
 
-    return F.filter(F.transform(raw, scored), lambda s: (s["score"] >= FLOOR) & identifiers.valid(kind, s["value"]))
 
+def _searched(df: DataFrame, text: str, forms: Sequence[tuple[str, str | None, bool]], spans: Callable[[Column], Column]) -> DataFrame:
+    """``df`` with ``spans`` made from the matches of ``forms`` in its column ``text``."""
+    found = df.withColumn("found__", scan.matches(F.col(text), forms).alias("found__"))
+    return found.select(*(F.col(f"`{c}`") for c in df.columns), spans(F.col("found__")).alias("spans"))
 
-def outside(found: Column, text: Column, pattern: str, entities: Sequence[str] | None = None) -> Column:
-    """Spans that share no character with a match of ``pattern`` (only those of ``entities``, if given, are held to it)."""
-    taken = F.when(text.rlike(pattern), S.matches(text, pattern)).otherwise(F.array().cast("array<struct<start: int, end: int, value: string>>"))
+
+def find_all(df: DataFrame, bank: Sequence[Pattern], text: str = "text") -> DataFrame:
+    """``df`` with ``spans``: scored and checked ones of some patterns, not resolved."""
+    return _searched(df, text, [*map(_form, bank)], lambda found: _of_bank(found, bank))
+
+
+def find_identifiers(df: DataFrame, registry: Sequence[identifiers.Identifier] = identifiers.REGISTRY, text: str = "text") -> DataFrame:
+    """``df`` with ``spans`` of the registry's identifiers."""
+    return _searched(df, text, [(k.form, None, True) for k in registry], lambda found: _of_registry(found, registry, 0))
+
+
+def outside(found: Column, taken: Column, entities: Sequence[str] | None = None) -> Column:
+    """Spans that share no character with ``taken`` ones (only those of ``entities``, if given, are held to it)."""
 
     def free(s: Column) -> Column:
         clear = ~F.exists(taken, lambda t: S.overlap(t, s))
@@ -127,12 +163,20 @@ def outside(found: Column, text: Column, pattern: str, entities: Sequence[str] |
     return F.filter(found, free)
 
 
-def detect(text: Column, bank: Sequence[Pattern] = BANK, with_identifiers: bool = False) -> Column:
-    """Resolved spans of a text."""
-    found = F.concat(*(find(text, p) for p in bank), *([find_identifiers(text)] if with_identifiers else []))
-    found = outside(found, text, STANDARDS)
-    found = outside(found, text, TIME_ZONES)
-    return S.resolve(outside(found, text, LINKS, NOT_IN_LINKS))
+def detect(df: DataFrame, bank: Sequence[Pattern] = BANK, with_identifiers: bool = False, text: str = "text") -> DataFrame:
+    """``df`` with ``spans``: the resolved spans of its texts, each of which is read once for all patterns. A null text has none."""
+    registry = identifiers.REGISTRY if with_identifiers else ()
+    guards = [(STANDARDS, r"RFC|ISO|IEEE|CVE", False), (TIME_ZONES, "/[A-Z]", False), (LINKS, r"://|www\.", False)]
+    n, r = len(bank), len(bank) + len(guards)
+
+    def resolved(found: Column) -> Column:
+        spans = _of_bank(F.filter(found, lambda m: m["pattern"] < n), bank)
+        if registry:
+            spans = F.concat(spans, _of_registry(F.filter(found, lambda m: m["pattern"] >= r), registry, r))
+        spans = outside(spans, F.filter(found, lambda m: m["pattern"].isin(n, n + 1)))
+        return S.resolve(outside(spans, F.filter(found, lambda m: m["pattern"] == n + 2), NOT_IN_LINKS))
+
+    return _searched(df, text, [*map(_form, bank), *guards, *((k.form, None, True) for k in registry)], resolved)
 
 
 def detect_leaves(leaves: DataFrame, bank: Sequence[Pattern] = BANK) -> DataFrame:
@@ -140,10 +184,10 @@ def detect_leaves(leaves: DataFrame, bank: Sequence[Pattern] = BANK) -> DataFram
 
     Each distinct (key, text) is read once, so repeated values cost one detection.
     """
-    distinct = leaves.select("key", "text").distinct()
     hint = keys.hint(F.col("key"))
     whole = F.array(F.struct(F.lit(0).alias("start"), F.length("text").alias("end"), hint.alias("entity"), F.lit(1.0).alias("score"), F.col("text").alias("value")))
-    fits = hint.isNotNull() & (F.length("text") > 0) & keys.fits(hint, F.col("text"))
-    read = distinct.withColumn("spans", F.when(F.coalesce(fits, F.lit(False)), whole).when(keys.structural(F.col("key")), F.filter(whole, lambda s: F.lit(False))).otherwise(detect(F.col("text"), bank)))
-    read = read.select(F.col("key").alias("read_key"), F.col("text").alias("read_text"), "spans")
+    fits = F.coalesce(hint.isNotNull() & (F.length("text") > 0) & keys.fits(hint, F.col("text")), F.lit(False))
+    distinct = leaves.select("key", "text").distinct().select("key", "text", F.when(fits, whole).when(keys.structural(F.col("key")), F.filter(whole, lambda s: F.lit(False))).alias("told"))
+    read = detect(distinct.withColumn("prose", F.when(F.col("told").isNull(), F.col("text"))), bank, text="prose")
+    read = read.select(F.col("key").alias("read_key"), F.col("text").alias("read_text"), F.coalesce("told", "spans").alias("spans"))
     return leaves.join(read, F.col("key").eqNullSafe(F.col("read_key")) & (F.col("text") == F.col("read_text")), "left").drop("read_key", "read_text")

@@ -53,7 +53,7 @@ def majority(read: DataFrame) -> DataFrame:
 
 def carried(read: DataFrame) -> DataFrame:
     """``read`` with unread values of a decided field given its kind, at score 0.8, where they fit."""
-    kinds = F.broadcast(majority(read).withColumnRenamed("entity", "carried"))
+    kinds = majority(read).withColumnRenamed("entity", "carried")
     give = F.col("entity").isNull() & F.col("carried").isNotNull() & F.coalesce(keys.fits(F.col("carried"), F.col("text")), F.lit(False))
     return read.join(kinds, "field", "left").select(
         *(c for c in read.columns if c not in ("entity", "score")), F.when(give, F.col("carried")).otherwise(F.col("entity")).alias("entity"), F.when(give, F.lit(0.8)).otherwise(F.col("score")).alias("score")

@@ -5,52 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import keys
-from ..functions import spans as S
-
-WORD = r"[\p{L}\p{N}]+(?:['’_.@+-]+[\p{L}\p{N}]+)*"
-#: Words of the longest entry that is looked for.
-LONGEST = 6
+from ..functions import keys, scan
 
 
 def folded(value: Column) -> Column:
     """A value's words, folded, with one space between."""
-    return F.array_join(F.regexp_extract_all(keys.plain(value), F.lit(WORD), F.lit(0)), " ")
-
-
-def tokens(leaves: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """(scope, leaf_id, start, ends, words, stretch): each word of each text with the ``longest`` words from it on, folded; ``stretch`` is their text.
-
-    A row carries those few words only, never its text.
-    """
-    rows = leaves.select("scope", "leaf_id", "text", S.matches(F.col("text"), WORD).alias("t"))
-    rows = rows.where(F.size("t") > 0).select("scope", "leaf_id", "text", "t", F.transform("t", lambda m: keys.plain(m["value"])).alias("w"))
-
-    def one(m: Column, i: Column) -> Column:
-        some = F.slice("t", i + 1, F.lit(longest))
-        last = F.element_at(some, -1)["end"]
-        return F.struct(m["start"].alias("start"), F.transform(some, lambda x: x["end"]).alias("ends"), F.slice("w", i + 1, F.lit(longest)).alias("words"), F.substring("text", m["start"] + 1, last - m["start"]).alias("stretch"))
-
-    return rows.select("scope", "leaf_id", F.explode(F.transform("t", one)).alias("x")).select("scope", "leaf_id", "x.*")
+    return F.array_join(F.regexp_extract_all(keys.plain(value), F.lit(scan.WORD), F.lit(0)), " ")
 
 
-def hits(leaves: DataFrame, entries: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """Where entries (scope, folded, ...) of at most ``longest`` words stand in texts of their scope: leaf_id, start, end, value and the entries' other columns.
+def hits(leaves: DataFrame, entries: DataFrame) -> DataFrame:
+    """Where entries (scope, folded, ...) stand in texts of their scope: leaf_id, start, end, value and the entries' other columns.
 
-    An equi-join on scope and first word, then the other words are compared, so rows are made only where an entry may begin.
+    An equi-join on scope and folded n-gram, for each number of words that an entry has, so a row meets only entries that stand there. The numbers are looked
+    up first: a few rows, however many entries there are.
     """
-    known = entries.withColumn("entry", F.split("folded", " ")).where(F.size("entry") <= longest).withColumn("first", F.element_at("entry", 1))
-    met = tokens(leaves, longest).withColumn("first", F.element_at("words", 1)).join(known, ["scope", "first"])
-    met = met.where(F.slice("words", F.lit(1), F.size("entry")) == F.col("entry"))
-    end = F.element_at("ends", F.size("entry"))
+    known = entries.where("folded <> ''")
+    sizes = [r[0] for r in known.select(F.size(F.split("folded", " "))).distinct().collect()]
+    grams = leaves.select("scope", "leaf_id", "text", F.explode(scan.ngrams(F.col("text"), sizes)).alias("g"))
+    grams = grams.select("scope", "leaf_id", "g.*", F.substring("text", F.col("g.start") + 1, F.col("g.end") - F.col("g.start")).alias("value"))
     others = [c for c in entries.columns if c not in ("scope", "folded")]
-    return met.select("leaf_id", "start", end.alias("end"), F.substring("stretch", F.lit(1), end - F.col("start")).alias("value"), "folded", *others)
+    return grams.join(known, ["scope", "folded"]).select("leaf_id", "start", "end", "value", "folded", *others)
 
 
-def match(leaves: DataFrame, entries: DataFrame, longest: int = LONGEST, score: float = 0.95) -> DataFrame:
+def match(leaves: DataFrame, entries: DataFrame, score: float = 0.95) -> DataFrame:
     """(leaf_id, start, end, entity, score, value) where an entry (scope, entity, literal) stands in a text of its scope, whatever its case and accents."""
     known = entries.select("scope", "entity", folded(F.col("literal")).alias("folded")).where("folded <> ''").distinct()
-    return hits(leaves, known, longest).select("leaf_id", "start", "end", "entity", F.lit(score).alias("score"), "value")
+    return hits(leaves, known).select("leaf_id", "start", "end", "entity", F.lit(score).alias("score"), "value")
 
 
 def free(found: DataFrame, taken: DataFrame) -> DataFrame:

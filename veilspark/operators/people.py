@@ -47,12 +47,17 @@ def resolve(mentions: DataFrame) -> DataFrame:
     m = mentions.withColumn("p", parts(F.col("name"))).withColumn("sex", sex(F.col("name")))
     m = m.withColumn("first", F.when(F.size("p") > 1, given(F.element_at("p", 1)))).withColumn("last", F.element_at("p", -1))
     own = F.concat_ws(" ", F.col("first"), F.col("last"))
-    full = m.where(F.length("first") > 1).select("scope", "last", "first", "sex").distinct()
-    block = full.groupBy("scope", "last").agg(F.collect_set("first").alias("firsts"), F.min("sex").alias("known_sex"))
-    fits = F.filter(F.coalesce("firsts", F.array().cast("array<string>")), lambda f: F.col("first").isNull() | f.startswith(F.regexp_replace(F.col("first"), "[.]", "")))
+    full = m.where(F.length("first") > 1).select("scope", "last", "first", "sex")
+    counted = lambda *by: full.groupBy(*by).agg(F.count_distinct("first").alias("n"), F.min("first").alias("only"), F.min("sex").alias("known_sex"))
+    # one row for each surname, and for each surname and initial: how many given names it has, and the one if there is one
+    alone = counted("scope", "last").withColumn("initial", F.lit(""))
+    lettered = counted("scope", "last", F.substring("first", 1, 1).alias("initial"))
+    block = alone.unionByName(lettered)
+    initial = F.when(F.col("first").isNull(), F.lit("")).when(F.length(F.regexp_replace("first", "[.]", "")) == 1, F.substring("first", 1, 1))
+    met = m.withColumn("initial", initial).join(block, ["scope", "last", "initial"], "left")
     clash = F.col("sex").isNotNull() & F.col("known_sex").isNotNull() & (F.col("sex") != F.col("known_sex"))
-    person = F.when(F.length("first") > 1, own).when((F.size(fits) == 1) & ~clash, F.concat_ws(" ", F.element_at(fits, 1), F.col("last"))).otherwise(own)
-    return m.join(block, ["scope", "last"], "left").select("scope", "name", person.alias("person"), (F.size(fits) > 1).alias("ambiguous"))
+    person = F.when(F.col("initial").isNotNull() & (F.col("n") == 1) & ~clash, F.concat_ws(" ", F.col("only"), F.col("last"))).otherwise(own)
+    return met.select("scope", "name", person.alias("person"), F.coalesce(F.col("n") > 1, F.lit(False)).alias("ambiguous"))
 
 
 def shared_given_names(full_names: DataFrame) -> DataFrame:

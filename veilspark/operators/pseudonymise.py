@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,18 +28,20 @@ def guarded(drawn: DataFrame, originals: DataFrame, seed: str) -> DataFrame:
     return met.select("scope", "entity", "original", F.when(F.col("hit"), other).otherwise(F.col("stand_in")).alias("stand_in"))
 
 
-def scrub(docs: DataFrame, seed: str, text: str = "text", key: str = "doc_id", scope: str | None = None, bank: Sequence[detect.Pattern] = detect.BANK) -> DataFrame:
+def pseudonymise(docs: DataFrame, seed: str, text: str = "text", key: str = "doc_id", scope: str | None = None, bank: Sequence[detect.Pattern] = detect.BANK, apart: bool = True) -> DataFrame:
     """One row per row of ``docs``: key, output, marks (places in the output), counts by entity, n_spans.
 
     ``scope`` names a column within which one value takes one stand-in; without it that is the whole input. Detection reads each text once,
-    drawing runs once per distinct value, and edits are gathered per text. ``key`` must tell the rows apart.
+    drawing runs once per distinct value, and edits are gathered per text. ``key`` must tell the rows apart. With ``apart`` different values get
+    different stand-ins, which then depend on what other values the input has; without it a value's stand-in depends on nothing else.
     """
     where = F.lit("dataset") if scope is None else F.col(scope).cast("string")
     rows = docs.select(F.col(key).alias("key"), where.alias("scope"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    # read once: what is found is small beside the texts, spills to disk, and is made again where an executor is lost
-    spans = rows.select("key", "scope", detect.detect(F.col("text"), bank).alias("spans")).where(F.size("spans") > 0).persist(StorageLevel.MEMORY_AND_DISK)
+    # searched twice, once for the values and once for the places: cheaper than keeping what is found, and nothing has to be released
+    spans = detect.detect(rows, bank).select("key", "scope", "spans").where(F.size("spans") > 0)
     values = found_values(spans, F.col("scope"))
-    drawn = guarded(draw.stand_ins(values, seed), values, seed)
+    drawn = draw.stand_ins(values, seed)
+    drawn = guarded(draw.kept_apart(drawn) if apart else drawn, values, seed)
     each = spans.select("key", "scope", F.explode("spans").alias("s"))
     edits = each.join(drawn.select("scope", F.col("original").alias("value"), "stand_in"), (each["scope"] == drawn["scope"]) & (F.col("s.value") == F.col("value")), "left").select(
         "key", F.struct(F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("stand_in").alias("new"), F.col("s.entity").alias("entity"), F.col("s.value").alias("original"), F.col("s.score").alias("score")).alias("edit")

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import checks, keys
-from ..functions import spans as S
-from . import lexicon, people
+from ..functions import checks, keys, scan
+from . import detect, lexicon, people
 
 ROUNDS = 3
 #: Words that are too common to be hunted as a part of a name.
@@ -43,11 +43,11 @@ def variants(originals: DataFrame) -> DataFrame:
     return rows.select("scope", "entity", "original", F.col("v.form").alias("form"), F.when(F.col("v.form") == "digits", F.col("v.text")).otherwise(lexicon.folded(F.col("v.text"))).alias("folded")).where("folded <> ''").distinct()
 
 
-def leaks(outputs: DataFrame, originals: DataFrame, longest: int = lexicon.LONGEST) -> DataFrame:
+def leaks(outputs: DataFrame, originals: DataFrame) -> DataFrame:
     """(leaf_id, start, end, entity, original, form, value) where outputs (scope, leaf_id, text) still show an original of their scope in any spelling."""
     v = variants(originals)
-    words = lexicon.hits(outputs, v.where("form <> 'digits'"), longest)
-    runs = S.matches(F.col("text"), r"\+?[0-9][0-9 ().-]{5,}[0-9]")
+    words = lexicon.hits(outputs, v.where("form <> 'digits'"))
+    runs = scan.matches(F.col("text"), [(r"\+?[0-9][0-9 ().-]{5,}[0-9]", None, False)])
     numbers = outputs.select("scope", "leaf_id", F.explode(runs).alias("m")).select("scope", "leaf_id", "m.start", "m.end", "m.value", checks.digits(F.col("m.value")).alias("folded"))
     numbers = numbers.join(v.where("form = 'digits'"), ["scope", "folded"])
     columns = ["leaf_id", "start", "end", "entity", "original", "form", "value"]
@@ -62,12 +62,10 @@ def within_budget(found: DataFrame, text_length: str = "text_length") -> DataFra
 
 def self_checking(outputs: DataFrame, marks: DataFrame) -> DataFrame:
     """Cards, IBANs and SSNs that still pass their check outside the marks (leaf_id, start, end), as suspects at 0.5."""
-    found = F.concat(
-        F.filter(S.spans(F.col("text"), r"(?<![\w-])(?:\d[ -]?){12,18}\d(?![\w-])", "CREDIT_CARD", 0.5), lambda s: checks.card(s["value"])),
-        F.filter(S.spans(F.col("text"), r"(?<![A-Z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Z0-9])", "IBAN_CODE", 0.5), lambda s: checks.iban(s["value"])),
-        F.filter(S.spans(F.col("text"), r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", "US_SSN", 0.5), lambda s: checks.ssn(s["value"])),
-    )
-    rows = outputs.select("leaf_id", "text", F.explode(found).alias("s")).select("leaf_id", "s.start", "s.end", "s.entity", "s.value", F.lower(F.substring("text", F.greatest(F.col("s.start") - 24, F.lit(0)) + 1, F.lit(24))).alias("before"))
+    kinds = ("CREDIT_CARD", "IBAN_CODE", "US_SSN")
+    bank = [replace(p, words=(), score=0.5) for p in detect.BANK if p.entity in kinds and p.score >= 0.5]
+    found = detect.find_all(outputs, bank)
+    rows = found.select("leaf_id", "text", F.explode(F.array_distinct("spans")).alias("s")).select("leaf_id", "s.start", "s.end", "s.entity", "s.value", F.lower(F.substring("text", F.greatest(F.col("s.start") - 24, F.lit(0)) + 1, F.lit(24))).alias("before"))
     rows = rows.where(~F.col("before").rlike(r"\b(order|invoice|ticket|case|ref)\b[^a-z]*$")).drop("before")
     return lexicon.free(rows, marks)
 
@@ -77,7 +75,7 @@ def residue(outputs: DataFrame, names: DataFrame, ordinary: DataFrame | None = N
     part = names.select("scope", F.explode(people.parts(F.col("name"))).alias("folded")).where(F.length("folded") >= LEAST_PART).distinct()
     if ordinary is not None:
         part = part.join(ordinary.select(keys.plain(F.col("word")).alias("folded")).distinct(), "folded", "left_anti")
-    return lexicon.hits(outputs, part, 1).select("leaf_id", "start", "end", F.col("folded").alias("part")).distinct()
+    return lexicon.hits(outputs, part).select("leaf_id", "start", "end", F.col("folded").alias("part")).distinct()
 
 
 def rounds(start: DataFrame, step: Callable[[DataFrame, int], tuple[DataFrame, DataFrame]], cut: Callable[[DataFrame, str], DataFrame], limit: int = ROUNDS) -> tuple[DataFrame, int]:

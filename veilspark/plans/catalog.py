@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import scrub
+from ..operators import pseudonymise
 from . import detection, masking, portable, reports
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = detection.QUERIES | masking.QUERIES | reports.QUERIES
@@ -15,4 +15,4 @@ ORACLE_SQL: dict[str, str] = detection.ORACLE_SQL | masking.ORACLE_SQL | reports
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents pseudonymised: doc_id, output, marks, counts, n_spans."""
-    return scrub.scrub(portable.table(spark, sf_dir, "documents"), portable.SEED)
+    return pseudonymise.pseudonymise(portable.table(spark, sf_dir, "documents"), portable.SEED)

@@ -81,7 +81,7 @@ _weighted("check_regon", "orders", "o_orderkey", 9, "REGON", f"cast(substr(v, 9,
 
 def bank_spans(spark, sf):
     """The whole pattern bank, resolved; no SQL has its look-arounds."""
-    docs = P.table(spark, sf, "documents").select("doc_id", F.explode(detect.detect(F.coalesce(F.col("text"), F.lit("")))).alias("s"))
+    docs = detect.detect(P.table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.explode("spans").alias("s"))
     return docs.select("doc_id", "s.start", "s.end", "s.entity", "s.score", "s.value")
 
 
@@ -104,7 +104,7 @@ def dictionary_join(spark, sf):
     """Known literals found in all documents by an equi-join of n-grams."""
     entries = spark.createDataFrame([("all", "NOTICE", n) for n in _NOTICES], "scope string, entity string, literal string")
     docs = P.table(spark, sf, "documents").select(F.lit("all").alias("scope"), F.col("doc_id").alias("leaf_id"), "text")
-    found = lexicon.match(docs.where(F.col("text").rlike("License|CC BY")), entries, 4)
+    found = lexicon.match(docs, entries).where(F.col("value").isin(*_NOTICES))
     return found.groupBy(F.col("value").alias("literal")).agg(F.count("*").alias("n"), F.countDistinct("leaf_id").alias("docs"))
 
 

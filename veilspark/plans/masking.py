@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import api
 from ..functions import draw
-from ..operators import scrub
+from ..operators import pseudonymise
 from . import portable as P
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -82,7 +82,7 @@ ORACLE_SQL["standin_card"] = f"select count(*) as n, cast(count(*) as bigint) as
 def standin_consistency(spark, sf):
     """Every value has one stand-in, and no stand-in is an original."""
     found = P.all_matched(P.table(spark, sf, "documents"), "doc_id").select(F.lit("dataset").alias("scope"), "entity", F.col("value").alias("original"))
-    drawn = scrub.guarded(draw.stand_ins(found, P.SEED), found, P.SEED)
+    drawn = pseudonymise.guarded(draw.stand_ins(found, P.SEED), found, P.SEED)
     many = drawn.groupBy("entity", "original").agg(F.countDistinct("stand_in").alias("k"))
     clash = drawn.join(found.select(F.lower("original").alias("low")).distinct(), F.lower("stand_in") == F.col("low"), "left_semi").groupBy("entity").agg(F.count("*").alias("clashes"))
     return many.groupBy("entity").agg(F.count("*").alias("originals"), F.max("k").alias("most")).join(clash, "entity", "left").select("entity", "originals", "most", F.coalesce("clashes", F.lit(0)).cast("long").alias("clashes"))
@@ -170,10 +170,10 @@ QUERIES["masked_keys"] = masked_keys
 ORACLE_SQL["masked_keys"] = "select count(distinct s_suppkey) as keys, count(s_name) as names from supplier"
 
 
-def scrub_documents(spark, sf):
+def pseudonymise_documents(spark, sf):
     """The whole operator over documents; its look-arounds and edits are beyond portable SQL."""
-    out = scrub.scrub(P.table(spark, sf, "documents"), P.SEED)
+    out = pseudonymise.pseudonymise(P.table(spark, sf, "documents"), P.SEED)
     return out.select("doc_id", F.sha2("output", 256).alias("output_sha256"), "n_spans")
 
 
-QUERIES["scrub_documents"] = scrub_documents
+QUERIES["pseudonymise_documents"] = pseudonymise_documents

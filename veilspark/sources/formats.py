@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,9 +68,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     why = refusal(F.col("content"))
     rows = files.select("path", why.alias("refused"), F.when(why.isNull(), decoded(F.col("content"))).alias("text"))
 
-    @F.udf("string")
-    def sniffed(text):
-        return None if text is None else sniff_text(text)
+    known = rows.withColumn("format", classify(F.col("path")))
 
-    kind = F.coalesce(classify(F.col("path")), sniffed("text"))
-    return rows.select("path", kind.alias("format"), F.when(kind == "unknown", "unknown_format").otherwise(F.col("refused")).alias("refused"), "text")
+    @F.arrow_udf("string")
+    def sniffed(text: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else sniff_text(t) for t in text.to_pylist()], pa.string())
+
+    # a Python column runs for all of its rows, so only those go there whose ending says nothing
+    unknown = known.where("format is null").withColumn("format", sniffed("text"))
+    both = known.where("format is not null").unionByName(unknown)
+    return both.select("path", "format", F.when(F.col("format") == "unknown", "unknown_format").otherwise(F.col("refused")).alias("refused"), "text")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import json
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,6 +16,8 @@ from . import csvsource, formats, jsonsource, xmlsource
 
 SCHEMA = "doc_id string, leaf_id long, kind string, path string, key string, start int, end int, text string, record_ids array<long>, problem string"
 NESTED = 16
+#: Leaves that are handed on together.
+ROWS = 20_000
 
 
 def _nested(text: str) -> str | None:
@@ -31,17 +34,31 @@ def _nested(text: str) -> str | None:
     return None
 
 
-def _json(text: str, lines: bool, depth: int = 0) -> Iterator[tuple]:
+def _json(text: str, lines: bool, depth: int = 0, made: Counter | None = None) -> Iterator[tuple]:
+    """Leaves with records numbered over the whole document, also those of documents within its strings."""
+    made = Counter() if made is None else made
+    own: dict[int, int] = {}
+
+    def numbered(records: tuple[int, ...]) -> tuple[int, ...]:
+        for r in records:
+            if r not in own:
+                made["records"] += 1
+                own[r] = made["records"]
+        return tuple(own[r] for r in records)
+
     for f in jsonsource.line_leaves(text) if lines else jsonsource.leaves(text):
+        records = numbered(f.records)
         inner = _nested(f.text) if f.kind == "value" and depth < NESTED else None
         if inner is not None:
             try:
-                for kind, path, key, _, _, value, records in list(_json(inner, False, depth + 1)):
-                    yield kind, f"{f.path}~{path[1:]}", key, f.start, f.end, value, (*f.records, *(r + 1_000_000 * (depth + 1) for r in records))
-                continue
+                jsonsource.leaves(inner)
             except jsonsource.BadJSON:
-                pass
-        yield f.kind, f.path, f.key, f.start, f.end, f.text, f.records
+                inner = None
+        if inner is None:
+            yield f.kind, f.path, f.key, f.start, f.end, f.text, records
+        else:
+            for kind, path, key, _, _, value, under in _json(inner, False, depth + 1, made):
+                yield kind, f"{f.path}~{path[1:]}", key, f.start, f.end, value, (*records, *under)
 
 
 def _hinted(name: str) -> bool:
@@ -67,10 +84,10 @@ def of(text: str, kind: str) -> list[tuple]:
         return list(_csv(text))
     if kind == "xml":
         return [(f.kind, f.path, f.key, 0, len(f.text), f.text, f.records) for f in xmlsource.leaves(text)]
-    out, at = [], 0
+    out, at, made = [], 0, Counter()
     for a, b in jsonsource.regions(text):  # documents written inside prose
         out.append(("prose", "$", "", at, a, text[at:a], ()))
-        out += [(k, f"$@{a}{p[1:]}", key, a + s, a + e, v, r) for k, p, key, s, e, v, r in _json(text[a:b], False)]
+        out += [(k, f"$@{a}{p[1:]}", key, a + s, a + e, v, r) for k, p, key, s, e, v, r in _json(text[a:b], False, 0, made)]
         at = b
     return [x for x in [*out, ("prose", "$", "", at, len(text), text[at:], ())] if x[5]]
 
@@ -93,6 +110,9 @@ def leaves(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kind: st
                     out += [(doc, i, f[0], f[1], f[2], f[3], f[4], f[5], list(f[6]), None) for i, f in enumerate(found)]
                 except (jsonsource.BadJSON, csvsource.BadCSV, xmlsource.BadXML, json.JSONDecodeError) as e:
                     out.append((doc, 0, "problem", "$", "", 0, 0, "", [], str(e)))
+                if len(out) >= ROWS:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
             yield pd.DataFrame(out, columns=names)
 
     return rows.mapInPandas(run, SCHEMA)

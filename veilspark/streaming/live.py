@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from ..operators import detect, scrub
+from ..operators import detect, pseudonymise
 
 
 def detected(stream: DataFrame, text: str = "text", bank: Sequence[detect.Pattern] = detect.BANK) -> DataFrame:
     """A stream with its ``spans``; stateless."""
-    return stream.withColumn("spans", detect.detect(F.coalesce(F.col(text), F.lit("")), bank))
+    return detect.detect(stream, bank, text=text)
 
 
 def windowed(stream: DataFrame, time: str, late: str = "10 minutes", width: str = "5 minutes", slide: str | None = None) -> DataFrame:
@@ -30,10 +30,10 @@ def sessions(stream: DataFrame, time: str, key: str, gap: str = "30 minutes", la
     return stream.withWatermark(time, late).groupBy(F.session_window(time, gap), F.col(key)).agg(F.count("*").alias("n"))
 
 
-def scrubbed(stream: DataFrame, path: str, seed: str, checkpoint: str, text: str = "text", key: str = "doc_id") -> DataStreamWriter:
-    """A writer that scrubs each micro-batch into a folder of its own; a batch that is run again overwrites itself."""
+def pseudonymised(stream: DataFrame, path: str, seed: str, checkpoint: str, text: str = "text", key: str = "doc_id") -> DataStreamWriter:
+    """A writer that pseudonymises each micro-batch into a folder of its own; a batch that is run again overwrites itself."""
 
     def write(batch: DataFrame, number: int) -> None:
-        scrub.scrub(batch, seed, text, key).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        pseudonymise.pseudonymise(batch, seed, text, key, apart=False).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
