@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import checks, draw
-from .operators import detect, fields, pseudonymise, review
+from .operators import detect, fields, pseudonymise, review, structured
 from .operators.detect import Pattern
 from .sources import formats, leaves
 
-__all__ = ["Pattern", "detect", "fields", "leaves", "mask_column", "read_files", "pseudonymise", "pseudonymise_files", "register_views", "review", "with_patterns"]
+__all__ = ["Pattern", "detect", "fields", "leaves", "mask_column", "read_files", "pseudonymise", "pseudonymise_files", "register_views", "review", "structured", "with_patterns"]
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -22,9 +22,11 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def pseudonymise_files(spark: SparkSession, path: str, seed: str) -> DataFrame:
-    """Pseudonymised texts of a folder of text files."""
-    files = formats.read(spark, path).where("refused is null")
-    return pseudonymise.pseudonymise(files, seed, "text", "path", "path")
+    """Files of a folder pseudonymised in their own formats: path, output, n_values, problem; refused files have only a problem."""
+    files = formats.read(spark, path)
+    good = structured.pseudonymise_documents(files.where("refused is null"), seed, "path", "text", "format").withColumnRenamed("doc_id", "path")
+    none = F.lit(None).cast("string")
+    return good.unionByName(files.where("refused is not null").select("path", none.alias("output"), F.lit(0).cast("long").alias("n_values"), F.col("refused").alias("problem")))
 
 
 def with_patterns(*more: Pattern) -> tuple[Pattern, ...]:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import checks
+from . import checks, keys
 
 ATTEMPTS = 3
 
@@ -42,7 +42,8 @@ def number(hexes: Column, at: int, width: int = 8) -> Column:
 
 def pick(hexes: Column, at: int, items: list) -> Column:
     """An entry of a list."""
-    return F.element_at(F.array(*(F.lit(x) for x in items)), (number(hexes, at) % len(items) + 1).cast("int"))
+    chosen = F.element_at(keys.literals(items), (number(hexes, at) % len(items) + 1).cast("int"))
+    return chosen if isinstance(items[0], str) else chosen.cast("double")
 
 
 def drawn_digits(hexes: Column, count: int, at: int = 0) -> Column:
@@ -84,12 +85,12 @@ def hex_shape(original: Column, hexes: Column) -> Column:
 
 
 def first_new(original: Column, draw: Callable[[Column | int], Column]) -> Column:
-    """The first attempt's draw that differs from the original."""
-    out = draw(ATTEMPTS - 1)
-    for attempt in range(ATTEMPTS - 2, -1, -1):
-        one = draw(attempt)
-        out = F.when(F.lower(one) != F.lower(original), one).otherwise(out)
-    return out
+    """The first attempt's draw that differs from the original, the last one if none does."""
+    differs = lambda x: F.lower(x) != F.lower(original)
+    more = F.transform(keys.literals(range(1, ATTEMPTS)), draw)
+    rest = F.coalesce(F.get(F.filter(more, differs), F.lit(0)), F.element_at(more, -1))
+    # the first draw is bound by a lambda, so that it is made once; the others are made only where it will not do
+    return F.get(F.transform(F.array(draw(0)), lambda x: F.when(differs(x), x).otherwise(rest)), F.lit(0))
 
 
 def email(original: Column, seed: str, scope: Column | str) -> Column:
@@ -304,14 +305,16 @@ def drawn(entity: Column, original: Column, seed: str, scope: Column | str) -> C
 
 def stand_ins(values: DataFrame, seed: str) -> DataFrame:
     """(scope, entity, original) rows with their ``stand_in``, drawn once for each distinct value."""
-    values = values.select("scope", "entity", "original").distinct()
+    # dealt out by a fixed number: drawing costs more than its few bytes tell
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    values = values.select("scope", "entity", "original").repartition(parts, "scope", "entity", "original").distinct()
     return values.withColumn("stand_in", drawn(F.col("entity"), F.col("original"), seed, F.col("scope")))
 
 
 def _surnames(rank: Column) -> Column:
     """The digits of a rank, from 1, in base 25 as surnames joined by hyphens."""
     powers = F.array(*(F.lit(25**i) for i in range(8)))
-    digits = F.transform(F.filter(powers, lambda p: p <= rank), lambda p: F.element_at(F.array(*map(F.lit, LAST)), (F.floor(rank / p) % 25 + 1).cast("int")))
+    digits = F.transform(F.filter(powers, lambda p: p <= rank), lambda p: F.element_at(keys.literals(LAST), (F.floor(rank / p) % 25 + 1).cast("int")))
     return F.array_join(digits, "-")
 
 

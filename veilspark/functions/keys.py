@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -65,9 +66,13 @@ def compact(key: Column) -> Column:
     return F.array_join(words(key), "")
 
 
+def literals(items: Iterable[str], kind: str = "array") -> Column:
+    """A constant array (or a map of keys and values in turn) of plain strings, made in one call."""
+    return F.expr(f"{kind}({', '.join(repr(str(x)) for x in items)})")
+
+
 def _table() -> Column:
-    pairs = [(name, entity) for entity, names in NAMES.items() for name in names.split()]
-    return F.create_map(*(F.lit(x) for pair in pairs for x in pair))
+    return literals((x for entity, names in NAMES.items() for name in names.split() for x in (name, entity)), "map")
 
 
 def hint(key: Column) -> Column:

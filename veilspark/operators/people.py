@@ -27,14 +27,14 @@ def parts(name: Column) -> Column:
 def sex(name: Column) -> Column:
     """m or f where a title tells it."""
     first = F.element_at(F.split(keys.plain(F.trim(name)), r"[^\p{L}]+"), 1)
-    table = F.create_map(*(F.lit(x) for pair in TITLES.items() for x in pair))
+    table = keys.literals((x for pair in TITLES.items() for x in pair), "map")
     found = F.element_at(table, first)
     return F.when(found != "", found)
 
 
 def given(first: Column) -> Column:
     """A given name with its short form spelled out."""
-    table = F.create_map(*(F.lit(x) for pair in NICKNAMES.items() for x in pair))
+    table = keys.literals((x for pair in NICKNAMES.items() for x in pair), "map")
     return F.coalesce(F.element_at(table, first), first)
 
 

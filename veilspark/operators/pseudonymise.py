@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import draw
 from ..functions import spans as S
+from ..sources.scratch import Scratch
 from . import detect
 
 
@@ -37,10 +38,10 @@ def pseudonymise(docs: DataFrame, seed: str, text: str = "text", key: str = "doc
     """
     where = F.lit("dataset") if scope is None else F.col(scope).cast("string")
     rows = docs.select(F.col(key).alias("key"), where.alias("scope"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    # searched twice, once for the values and once for the places: cheaper than keeping what is found, and nothing has to be released
-    spans = detect.detect(rows, bank).select("key", "scope", "spans").where(F.size("spans") > 0)
+    scratch = Scratch(docs.sparkSession)  # what is found and drawn is small beside the texts
+    spans = scratch.save(detect.detect(rows, bank).select("key", "scope", "spans").where(F.size("spans") > 0), "spans")
     values = found_values(spans, F.col("scope"))
-    drawn = draw.stand_ins(values, seed)
+    drawn = scratch.save(draw.stand_ins(values, seed), "drawn")
     drawn = guarded(draw.kept_apart(drawn) if apart else drawn, values, seed)
     each = spans.select("key", "scope", F.explode("spans").alias("s"))
     edits = each.join(drawn.select("scope", F.col("original").alias("value"), "stand_in"), (each["scope"] == drawn["scope"]) & (F.col("s.value") == F.col("value")), "left").select(

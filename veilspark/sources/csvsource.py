@@ -101,5 +101,10 @@ def neutralised(cell: Column) -> Column:
     return F.when(opens & ~number, F.concat(F.lit("'"), cell)).otherwise(cell)
 
 
+def neutral(cell: str) -> str:
+    """As ``neutralised``, for one cell."""
+    return "'" + cell if re.match(r"[=@+\-\t\r\n＝＠＋－]", cell) and not re.fullmatch(r"[+-]?[0-9]+([.,][0-9]+)*%?", cell) else cell
+
+
 def written(rows: list[list[str]], delimiter: str, quote: str = '"', end: str = "\n") -> str:
     return "".join(delimiter.join(quoted(c, delimiter, quote) for c in r) + end for r in rows)

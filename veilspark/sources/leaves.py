@@ -61,7 +61,7 @@ def _json(text: str, lines: bool, depth: int = 0, made: Counter | None = None) -
                 yield kind, f"{f.path}~{path[1:]}", key, f.start, f.end, value, (*records, *under)
 
 
-def _hinted(name: str) -> bool:
+def hinted(name: str) -> bool:
     compact = "".join(c for c in name.lower() if c.isalnum())
     return any(compact in names.split() for names in keys.NAMES.values())
 
@@ -69,30 +69,32 @@ def _hinted(name: str) -> bool:
 def _csv(text: str) -> Iterator[tuple]:
     delimiter, quote = csvsource.sniff(text)
     rows = csvsource.parse(text, delimiter, quote)
-    named = csvsource.header(rows, _hinted)
+    named = csvsource.header(rows, hinted)
     heads = rows[0] if named else []
     for n, row in enumerate(rows[named:]):
         for i, cell in enumerate(row):
             yield "value", f"[{n}][{i}]", heads[i] if i < len(heads) else "", 0, len(cell), cell, (n,)
 
 
-def of(text: str, kind: str) -> list[tuple]:
-    """(kind, path, key, start, end, text, record ids) of one document."""
+def of(text: str, kind: str, nested: bool = True) -> list[tuple]:
+    """(kind, path, key, start, end, text, record ids) of one document; with ``nested`` also of documents within its strings."""
+    depth = 0 if nested else NESTED
     if kind in ("json", "jsonl"):
-        return list(_json(text, kind == "jsonl"))
+        return list(_json(text, kind == "jsonl", depth))
     if kind == "csv":
         return list(_csv(text))
     if kind == "xml":
-        return [(f.kind, f.path, f.key, 0, len(f.text), f.text, f.records) for f in xmlsource.leaves(text)]
+        # an element's text is a field of the element around it
+        return [(f.kind, f.path, f.key, 0, len(f.text), f.text, f.records[:-1] if f.kind == "text" else f.records) for f in xmlsource.leaves(text)]
     out, at, made = [], 0, Counter()
     for a, b in jsonsource.regions(text):  # documents written inside prose
         out.append(("prose", "$", "", at, a, text[at:a], ()))
-        out += [(k, f"$@{a}{p[1:]}", key, a + s, a + e, v, r) for k, p, key, s, e, v, r in _json(text[a:b], False, 0, made)]
+        out += [(k, f"$@{a}{p[1:]}", key, a + s, a + e, v, r) for k, p, key, s, e, v, r in _json(text[a:b], False, depth, made)]
         at = b
     return [x for x in [*out, ("prose", "$", "", at, len(text), text[at:], ())] if x[5]]
 
 
-def leaves(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kind: str | None = None) -> DataFrame:
+def leaves(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kind: str | None = None, nested: bool = True) -> DataFrame:
     """Leaves of documents; ``kind`` names the column of formats (sniffed without it). A document that cannot be read gives one row with ``problem``.
 
     Each document is one task's work; the number of leaves in a task is that of its batch of documents.
@@ -106,7 +108,7 @@ def leaves(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kind: st
             out = []
             for doc, k, body in zip(batch.doc_id, batch.kind, batch.text):
                 try:
-                    found = of(body, k or formats.sniff_text(body))
+                    found = of(body, k or formats.sniff_text(body), nested)
                     out += [(doc, i, f[0], f[1], f[2], f[3], f[4], f[5], list(f[6]), None) for i, f in enumerate(found)]
                 except (jsonsource.BadJSON, csvsource.BadCSV, xmlsource.BadXML, json.JSONDecodeError) as e:
                     out.append((doc, 0, "problem", "$", "", 0, 0, "", [], str(e)))
