@@ -6,7 +6,7 @@ list entries. A draw that equals its original moves to the next attempt.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -295,20 +295,20 @@ DRAWS: dict[str, Callable[[Column, str, Column | str], Column]] = {
 }
 
 
-def drawn(entity: Column, original: Column, seed: str, scope: Column | str) -> Column:
-    """The stand-in of a value of any kind; kinds without a draw of their own keep the value's shape."""
+def drawn(entity: Column, original: Column, seed: str, scope: Column | str, kinds: Iterable[str] | None = None) -> Column:
+    """The stand-in of a value of any kind; kinds without a draw of their own keep the value's shape. With ``kinds`` no others are planned for."""
     out = record_id(original, seed, scope, "ID_NUMBER")
-    for name, draw in DRAWS.items():
-        out = F.when(entity == name, draw(original, seed, scope)).otherwise(out)
+    for name in DRAWS if kinds is None else sorted(DRAWS.keys() & set(kinds)):
+        out = F.when(entity == name, DRAWS[name](original, seed, scope)).otherwise(out)
     return out
 
 
-def stand_ins(values: DataFrame, seed: str) -> DataFrame:
-    """(scope, entity, original) rows with their ``stand_in``, drawn once for each distinct value."""
+def stand_ins(values: DataFrame, seed: str, kinds: Iterable[str] | None = None) -> DataFrame:
+    """(scope, entity, original) rows with their ``stand_in``, drawn once for each distinct value; ``kinds``, if given, must hold all kinds of theirs."""
     # dealt out by a fixed number: drawing costs more than its few bytes tell
     parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     values = values.select("scope", "entity", "original").repartition(parts, "scope", "entity", "original").distinct()
-    return values.withColumn("stand_in", drawn(F.col("entity"), F.col("original"), seed, F.col("scope")))
+    return values.withColumn("stand_in", drawn(F.col("entity"), F.col("original"), seed, F.col("scope"), kinds))
 
 
 def _surnames(rank: Column) -> Column:
@@ -374,7 +374,8 @@ def persona(person: Column, seed: str, scope: Column | str) -> Column:
 def of_persona(entity: Column, original: Column, who: Column, seed: str, scope: Column | str) -> Column:
     """A value of a person as their persona has it: names, email, username, initials; null for kinds that do not follow a person."""
     first, last, n = who["first"], who["last"], who["number"].cast("string")
-    whole = F.when(original.contains(","), F.concat_ws(", ", last, first)).when(original.contains(" "), F.concat_ws(" ", first, last)).otherwise(last)
+    # a lone word is a surname, if it is a word
+    whole = F.when(original.contains(","), F.concat_ws(", ", last, first)).when(original.rlike(r"^[\p{L}'’-]+$"), last).otherwise(F.concat_ws(" ", first, last))
     local = F.when(role_mailbox(original), F.substring_index(original, "@", 1)).otherwise(F.lower(F.concat_ws(".", first, last, n)))
     made = (
         F.when(entity == "PERSON", whole)

@@ -41,7 +41,7 @@ def pseudonymise(docs: DataFrame, seed: str, text: str = "text", key: str = "doc
     scratch = Scratch(docs.sparkSession)  # what is found and drawn is small beside the texts
     spans = scratch.save(detect.detect(rows, bank).select("key", "scope", "spans").where(F.size("spans") > 0), "spans")
     values = found_values(spans, F.col("scope"))
-    drawn = scratch.save(draw.stand_ins(values, seed), "drawn")
+    drawn = scratch.save(draw.stand_ins(values, seed, {p.entity for p in bank}), "drawn")
     drawn = guarded(draw.kept_apart(drawn) if apart else drawn, values, seed)
     each = spans.select("key", "scope", F.explode("spans").alias("s"))
     edits = each.join(drawn.select("scope", F.col("original").alias("value"), "stand_in"), (each["scope"] == drawn["scope"]) & (F.col("s.value") == F.col("value")), "left").select(

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import pseudonymise
-from . import detection, masking, portable, reports
+from . import cases, detection, masking, portable, reports
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = detection.QUERIES | masking.QUERIES | reports.QUERIES
-ORACLE_SQL: dict[str, str] = detection.ORACLE_SQL | masking.ORACLE_SQL | reports.ORACLE_SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = detection.QUERIES | masking.QUERIES | reports.QUERIES | cases.QUERIES
+ORACLE_SQL: dict[str, str] = detection.ORACLE_SQL | masking.ORACLE_SQL | reports.ORACLE_SQL | cases.ORACLE_SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

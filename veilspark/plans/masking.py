@@ -18,7 +18,7 @@ def _distinct(spark, sf, entity):
 
 def standin_email(spark, sf):
     """Emails and their stand-ins."""
-    return draw.stand_ins(_distinct(spark, sf, "EMAIL_ADDRESS"), P.SEED).select("original", "stand_in")
+    return draw.stand_ins(_distinct(spark, sf, "EMAIL_ADDRESS"), P.SEED, ["EMAIL_ADDRESS"]).select("original", "stand_in")
 
 
 def _email_sql(attempt: int) -> str:
@@ -35,7 +35,7 @@ ORACLE_SQL["standin_email"] = f"select original, {P.sql_first_new('original', _e
 
 def standin_ip(spark, sf):
     """Addresses and their stand-ins from the documentation range."""
-    return draw.stand_ins(_distinct(spark, sf, "IP_ADDRESS"), P.SEED).select("original", "stand_in")
+    return draw.stand_ins(_distinct(spark, sf, "IP_ADDRESS"), P.SEED, ["IP_ADDRESS"]).select("original", "stand_in")
 
 
 QUERIES["standin_ip"] = standin_ip
@@ -44,7 +44,7 @@ ORACLE_SQL["standin_ip"] = f"select original, {P.sql_first_new('original', lambd
 
 def standin_phone(spark, sf):
     """Phones in their own layout, at numbers kept for fiction."""
-    return draw.stand_ins(_distinct(spark, sf, "PHONE_NUMBER"), P.SEED).select("original", "stand_in")
+    return draw.stand_ins(_distinct(spark, sf, "PHONE_NUMBER"), P.SEED, ["PHONE_NUMBER"]).select("original", "stand_in")
 
 
 def _phone_sql(attempt: int) -> str:
@@ -59,7 +59,7 @@ ORACLE_SQL["standin_phone"] = f"select original, {P.sql_first_new('original', _p
 
 def standin_secret(spark, sf):
     """Hexadecimal tokens stay hexadecimal."""
-    return draw.stand_ins(_distinct(spark, sf, "SECRET"), P.SEED).select("original", "stand_in")
+    return draw.stand_ins(_distinct(spark, sf, "SECRET"), P.SEED, ["SECRET"]).select("original", "stand_in")
 
 
 QUERIES["standin_secret"] = standin_secret
@@ -68,7 +68,7 @@ ORACLE_SQL["standin_secret"] = f"select original, {P.sql_first_new('original', l
 
 def standin_card(spark, sf):
     """Cards keep network, length and check: how many do."""
-    drawn = draw.stand_ins(_distinct(spark, sf, "CREDIT_CARD"), P.SEED)
+    drawn = draw.stand_ins(_distinct(spark, sf, "CREDIT_CARD"), P.SEED, ["CREDIT_CARD"])
     from ..functions import checks
 
     good = checks.luhn(F.col("stand_in")) & (F.length("stand_in") == F.length("original")) & (F.substring("stand_in", 1, 4) == F.substring("original", 1, 4)) & (F.col("stand_in") != F.col("original"))
@@ -82,7 +82,7 @@ ORACLE_SQL["standin_card"] = f"select count(*) as n, cast(count(*) as bigint) as
 def standin_consistency(spark, sf):
     """Every value has one stand-in, and no stand-in is an original."""
     found = P.all_matched(P.table(spark, sf, "documents"), "doc_id").select(F.lit("dataset").alias("scope"), "entity", F.col("value").alias("original"))
-    drawn = pseudonymise.guarded(draw.stand_ins(found, P.SEED), found, P.SEED)
+    drawn = pseudonymise.guarded(draw.stand_ins(found, P.SEED, P.PATTERNS), found, P.SEED)
     many = drawn.groupBy("entity", "original").agg(F.countDistinct("stand_in").alias("k"))
     clash = drawn.join(found.select(F.lower("original").alias("low")).distinct(), F.lower("stand_in") == F.col("low"), "left_semi").groupBy("entity").agg(F.count("*").alias("clashes"))
     return many.groupBy("entity").agg(F.count("*").alias("originals"), F.max("k").alias("most")).join(clash, "entity", "left").select("entity", "originals", "most", F.coalesce("clashes", F.lit(0)).cast("long").alias("clashes"))
@@ -118,7 +118,7 @@ def mask_email(spark, sf):
     """Documents with emails replaced by their stand-ins: edits are gathered per text, never per value."""
     docs = P.table(spark, sf, "documents")
     found = P.matched(docs, "EMAIL_ADDRESS", "doc_id")
-    drawn = draw.stand_ins(found.select(F.lit("dataset").alias("scope"), "entity", F.col("value").alias("original")), P.SEED)
+    drawn = draw.stand_ins(found.select(F.lit("dataset").alias("scope"), "entity", F.col("value").alias("original")), P.SEED, ["EMAIL_ADDRESS"])
     from ..functions import spans as S
 
     edits = found.join(drawn.select(F.col("original").alias("value"), "stand_in"), "value").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("start_at").alias("start"), F.col("end_at").alias("end"), F.col("stand_in").alias("new")))).alias("edits"))
