@@ -15,39 +15,39 @@ _FROM, _TO = "".join(_PLAIN), "".join(_PLAIN.values())
 
 # Names of fields by what their values are.
 NAMES = {
-    "PERSON": "name nm fullname contactname customername displayname ownername accountholder cardholder cardholdername recipient beneficiary",
-    "FIRST_NAME": "firstname givenname middlename fname forename preferredname namefirst vorname prenom nombre",
-    "LAST_NAME": "lastname surname familyname lname maidenname namelast nachname apellido apellidos",
-    "EMAIL_ADDRESS": "email emailaddress emailaddr mail eposta courriel correo correoelectronico epost",
-    "PHONE_NUMBER": "phone phonenumber mobile cell telephone tel ph telefon telefono telefone celular telefonnummer fax mobilenumber cellphone",
-    "US_SSN": "ssn socialsecuritynumber socialsecurity ssnnumber",
-    "ADDRESS": "address streetaddress street addressline1 addressline2 addressline line1 line2 adres adresse direccion domicilio indirizzo calle strasse",
-    "DATE_OF_BIRTH": "dob dateofbirth birthdate birthday geburtsdatum datedenaissance fechanacimiento",
-    "CREDIT_CARD": "cardnumber creditcardnumber debitcardnumber ccnumber cardno primaryaccountnumber pan card",
-    "IBAN_CODE": "iban ibannumber",
-    "LOCATION": "city town locality municipality cityname ciudad cidade citta ville stadt plaats placeofbirth birthplace",
-    "REGION": "state stateprovince province region addressregion",
-    "POSTAL_CODE": "zip zipcode postcode postalcode postal codepostal codigopostal postnummer plz postleitzahl",
-    "IP_ADDRESS": "ip ipaddress ipaddr clientip remoteip remoteaddr xforwardedfor",
-    "SECRET": "password passwd pwd passphrase secret clientsecret apisecret apikey accesstoken token cvv cvc pin passwort contrasena motdepasse",
-    "USERNAME": "username login handle screenname nickname benutzername nombredeusuario",
-    "AGE": "age ageyears currentage",
-    "INITIALS": "initials nameinitials monogram middleinitial",
-    "LATITUDE": "latitude lat geolat",
-    "LONGITUDE": "longitude lng lon long geolng geolon",
-    "COORDINATES": "coordinates coordinate coords latlng latlong geolocation",
-    "TIME_ZONE": "timezone tz zoneinfo",
-    "EXPIRY_DATE": "cardexpiry cardexpirydate cardexpiration expmonth expyear expirydate",
-    "LAST_DIGITS": "last4 ssnlast4 cardlast4 lastfour",
-    "EMPLOYER": "employer employername company companyname",
-    "MRZ": "mrz mrz1 mrz2 mrzline1 mrzline2",
-    "RECORD_ID": "customerid accountid userid memberid patientid employeeid",
-    "ID_NUMBER": "nationalid nationalidnumber idnumber passportnumber driverlicense taxid nino accountnumber licenseplate",
+    "PERSON": ["name", "nm", "fullname", "contactname", "customername", "displayname", "ownername", "accountholder", "cardholder", "cardholdername", "recipient", "beneficiary"],
+    "FIRST_NAME": ["firstname", "givenname", "middlename", "fname", "forename", "preferredname", "namefirst", "vorname", "prenom", "nombre"],
+    "LAST_NAME": ["lastname", "surname", "familyname", "lname", "maidenname", "namelast", "nachname", "apellido", "apellidos"],
+    "EMAIL_ADDRESS": ["email", "emailaddress", "emailaddr", "mail", "eposta", "courriel", "correo", "correoelectronico", "epost"],
+    "PHONE_NUMBER": ["phone", "phonenumber", "mobile", "cell", "telephone", "tel", "ph", "telefon", "telefono", "telefone", "celular", "telefonnummer", "fax", "mobilenumber", "cellphone"],
+    "US_SSN": ["ssn", "socialsecuritynumber", "socialsecurity", "ssnnumber"],
+    "ADDRESS": ["address", "streetaddress", "street", "addressline1", "addressline2", "addressline", "line1", "line2", "adres", "adresse", "direccion", "domicilio", "indirizzo", "calle", "strasse"],
+    "DATE_OF_BIRTH": ["dob", "dateofbirth", "birthdate", "birthday", "geburtsdatum", "datedenaissance", "fechanacimiento"],
+    "CREDIT_CARD": ["cardnumber", "creditcardnumber", "debitcardnumber", "ccnumber", "cardno", "primaryaccountnumber", "pan", "card"],
+    "IBAN_CODE": ["iban", "ibannumber"],
+    "LOCATION": ["city", "town", "locality", "municipality", "cityname", "ciudad", "cidade", "citta", "ville", "stadt", "plaats", "placeofbirth", "birthplace"],
+    "REGION": ["state", "stateprovince", "province", "region", "addressregion"],
+    "POSTAL_CODE": ["zip", "zipcode", "postcode", "postalcode", "postal", "codepostal", "codigopostal", "postnummer", "plz", "postleitzahl"],
+    "IP_ADDRESS": ["ip", "ipaddress", "ipaddr", "clientip", "remoteip", "remoteaddr", "xforwardedfor"],
+    "SECRET": ["password", "passwd", "pwd", "passphrase", "secret", "clientsecret", "apisecret", "apikey", "accesstoken", "token", "cvv", "cvc", "pin", "passwort", "contrasena", "motdepasse"],
+    "USERNAME": ["username", "login", "handle", "screenname", "nickname", "benutzername", "nombredeusuario"],
+    "AGE": ["age", "ageyears", "currentage"],
+    "INITIALS": ["initials", "nameinitials", "monogram", "middleinitial"],
+    "LATITUDE": ["latitude", "lat", "geolat"],
+    "LONGITUDE": ["longitude", "lng", "lon", "long", "geolng", "geolon"],
+    "COORDINATES": ["coordinates", "coordinate", "coords", "latlng", "latlong", "geolocation"],
+    "TIME_ZONE": ["timezone", "tz", "zoneinfo"],
+    "EXPIRY_DATE": ["cardexpiry", "cardexpirydate", "cardexpiration", "expmonth", "expyear", "expirydate"],
+    "LAST_DIGITS": ["last4", "ssnlast4", "cardlast4", "lastfour"],
+    "EMPLOYER": ["employer", "employername", "company", "companyname"],
+    "MRZ": ["mrz", "mrz1", "mrz2", "mrzline1", "mrzline2"],
+    "RECORD_ID": ["customerid", "accountid", "userid", "memberid", "patientid", "employeeid"],
+    "ID_NUMBER": ["nationalid", "nationalidnumber", "idnumber", "passportnumber", "driverlicense", "taxid", "nino", "accountnumber", "licenseplate"],
 }
 # Fields that are read as written.
-STRUCTURAL = "createdat updatedat deletedat timestamp ts requestid traceid spanid correlationid eventid eventtype version apiversion status type currency locale language country sku orderid invoicenumber hash checksum digest uuid".split()
+STRUCTURAL = ["createdat", "updatedat", "deletedat", "timestamp", "ts", "requestid", "traceid", "spanid", "correlationid", "eventid", "eventtype", "version", "apiversion", "status", "type", "currency", "locale", "language", "country", "sku", "orderid", "invoicenumber", "hash", "checksum", "digest", "uuid"]
 # Words that stand for a result or for no value.
-COMMON = "match matched nomatch mismatch pass passed fail failed true false yes no null none nil undefined unknown string number boolean na n/a valid invalid verified unverified pending approved denied active inactive ok error redacted hidden test example sample todo tbd xxx".split()
+COMMON = ["match", "matched", "nomatch", "mismatch", "pass", "passed", "fail", "failed", "true", "false", "yes", "no", "null", "none", "nil", "undefined", "unknown", "string", "number", "boolean", "na", "n/a", "valid", "invalid", "verified", "unverified", "pending", "approved", "denied", "active", "inactive", "ok", "error", "redacted", "hidden", "test", "example", "sample", "todo", "tbd", "xxx"]
 
 
 def plain(value: Column) -> Column:
@@ -72,7 +72,7 @@ def literals(items: Iterable[str], kind: str = "array") -> Column:
 
 
 def _table() -> Column:
-    return literals((x for entity, names in NAMES.items() for name in names.split() for x in (name, entity)), "map")
+    return literals((x for entity, names in NAMES.items() for name in names for x in (name, entity)), "map")
 
 
 def hint(key: Column) -> Column:

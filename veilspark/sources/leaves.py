@@ -63,7 +63,7 @@ def _json(text: str, lines: bool, depth: int = 0, made: Counter | None = None) -
 
 def hinted(name: str) -> bool:
     compact = "".join(c for c in name.lower() if c.isalnum())
-    return any(compact in names.split() for names in keys.NAMES.values())
+    return any(compact in names for names in keys.NAMES.values())
 
 
 def _csv(text: str) -> Iterator[tuple]:
