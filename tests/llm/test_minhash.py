@@ -73,3 +73,12 @@ def test_empty_null_and_repeated_rows(spark):
 
 def test_needed_is_safe():
     assert needed(64, 0.75) < 48 and needed(64, 1.0) == 64
+
+
+def test_blocks_by_values(spark, monkeypatch):
+    from veilspark.llm import minhash
+
+    monkeypatch.setattr(minhash, "SHORT", 2)
+    monkeypatch.setattr(minhash, "ITEMS", 150)
+    rows = corpus()
+    assert found(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)

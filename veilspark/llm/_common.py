@@ -20,11 +20,15 @@ CHUNK_BYTES = 1 << 20
 class Scratch:
     """Tables in the folder that all executors share (``spark.checkpoint.dir``); they cut the lineage.
 
-    Where that setting is absent (tests) the folder is a temporary one of this machine.
+    Where that setting is absent on a local master (tests) the folder is a temporary one; on a cluster that is an error, as executors would
+    write to disks that others do not see.
     """
 
     def __init__(self, spark: SparkSession) -> None:
-        root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="scratch-")
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = root or "file://" + tempfile.mkdtemp(prefix="scratch-")
         self.spark, self.root = spark, f"{root.rstrip('/')}/scratch-{uuid.uuid4().hex}"
         path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
         files = path.getFileSystem(spark._jsc.hadoopConfiguration())

@@ -32,8 +32,8 @@ SKETCH = 96
 #: Chance that a pair at the threshold has no value in common in the inverted lists.
 MISS = 1e-9
 SHORT = 8
-#: Members of one hub that meet in one task, on each side.
-BLOCK = 2048
+#: Members of one hub that meet in one task, on each side, and values of their sets; a single larger set is a block of its own size.
+BLOCK, ITEMS = 2048, 1 << 21
 #: Block pairs with a value from which it is counted by matrix product.
 DENSE = 20_000
 
@@ -244,11 +244,11 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75, shingle: int = 5,
     sets = scratch.save(source.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(tidy(_sets(shingle)), "rep long, items array<long>"), "sets")
     links = scratch.save(_both(likely, sets, _confirmed(percent)), "links")
     labels = components(links, scratch, "cc0")
-    known = hubs.select("rep", "other").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(F.col("other").alias("hub"), "rep", F.coalesce("component", "rep").alias("comp"))
+    known = hubs.select("rep", "other", "n").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(F.col("other").alias("hub"), "rep", "n", F.coalesce("component", "rep").alias("comp"))
     known = scratch.save(known, "known")
-    mixed = known.groupBy("hub").agg(F.count("*").alias("members"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-    mixed = mixed.select("hub", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    at = known.join(mixed, "hub").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).join(sets, "rep")
+    mixed = known.groupBy("hub").agg(F.count("*").alias("members"), F.sum("n").alias("values"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+    mixed = mixed.select("hub", F.ceil(F.greatest(F.col("members") / BLOCK, F.col("values") / ITEMS)).cast("int").alias("blocks"))
+    at = known.drop("n").join(mixed, "hub").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).join(sets, "rep")
     each = F.sequence(F.lit(0), F.col("blocks") - 1)
     asks = at.select("hub", "rep", "comp", "items", F.lit(0).alias("side"), F.col("block").alias("i"), F.explode(each).alias("j")).where("i <= j")
     told = at.select("hub", "rep", "comp", "items", F.lit(1).alias("side"), F.explode(each).alias("i"), F.col("block").alias("j")).where("i <= j")
