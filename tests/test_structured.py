@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from veilspark import api
 from veilspark.operators import structured
 
@@ -7,19 +9,27 @@ CUSTOMERS = [
     {"id": 7, "name": "Ana Pereira", "email": "ana.pereira@corp.example", "phone": "+1 (458) 555-2333", "plan": "pro", "contact": {"firstName": "Ana", "lastName": "Pereira", "username": "apereira"}},
     {"id": 8, "name": "Rui Costa", "email": "rui@corp.example", "phone": "+1 (458) 555-9871", "plan": "free", "note": "Dear Rui, write to ana.pereira@corp.example"},
 ]
+DOCS = [
+    ("j", json.dumps(CUSTOMERS, indent=1), "json"),
+    ("c", "name;email;phone\r\nAna Pereira;ana.pereira@corp.example;+1 (458) 555-2333\r\nRui Costa;rui@corp.example;+1 (458) 555-9871\r\n", "csv"),
+    ("x", '<c><customer email="ana.pereira@corp.example"><FirstName>Ana</FirstName><LastName>Pereira</LastName><plan>pro</plan></customer></c>', "xml"),
+    ("t", "Mail ana.pereira@corp.example today.", "text"),
+    ("n", '{"ssn": 536904399, "total": 12.50, "age": 31, "customer": {"pin": 123456}}', "json"),
+    ("p", '{"applicant_name": "Ana Pereira", "applicant_email": "a@corp.example", "spouse_name": "Rui Costa", "spouse_email": "r@corp.example"}', "json"),
+    ("bad", "{", "json"),
+    ("empty", "", "text"),
+    ("null", None, "text"),
+]
+MANY = [(f"m{i}", json.dumps({"name": f"Person{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10 % 10]}x Name{'abcdefghij'[i // 100]}y"}), "json") for i in range(1000)]
 
 
-def run(spark, rows):
-    docs = spark.createDataFrame(rows, "doc_id string, text string, kind string")
+@pytest.fixture(scope="module")
+def out(spark):
+    docs = spark.createDataFrame(DOCS + MANY, "doc_id string, text string, kind string")
     return {r.doc_id: r for r in structured.pseudonymise_documents(docs, "seed", kind="kind").collect()}
 
 
-def test_formats_keep_their_structure_and_people_their_persona(spark):
-    source = json.dumps(CUSTOMERS, indent=1)
-    table = "name;email;phone\r\nAna Pereira;ana.pereira@corp.example;+1 (458) 555-2333\r\nRui Costa;rui@corp.example;+1 (458) 555-9871\r\n"
-    xml = '<c><customer email="ana.pereira@corp.example"><FirstName>Ana</FirstName><LastName>Pereira</LastName><plan>pro</plan></customer></c>'
-    text = "Mail ana.pereira@corp.example today."
-    out = run(spark, [("j", source, "json"), ("c", table, "csv"), ("x", xml, "xml"), ("t", text, "text"), ("bad", "{", "json"), ("empty", "", "text"), ("null", None, "text")])
+def test_formats_keep_their_structure_and_people_their_persona(out):
     got = json.loads(out["j"].output)
     assert [(r["id"], r["plan"]) for r in got] == [(7, "pro"), (8, "free")] and list(got[0]) == list(CUSTOMERS[0])
     ana, rui = got
@@ -29,34 +39,29 @@ def test_formats_keep_their_structure_and_people_their_persona(spark):
     rows = [r.split(";") for r in out["c"].output.split("\r\n")]
     assert rows[0] == ["name", "email", "phone"] and rows[1][0] == ana["name"] and rows[1][1] == ana["email"] and rows[2][0] == rui["name"]
     assert f"<FirstName>{first}</FirstName><LastName>{last}</LastName><plan>pro</plan>" in out["x"].output
-    whole = "".join(r.output or "" for r in out.values())
+    whole = "".join(out[x].output for x in "jcxtp")
     assert "Pereira" not in whole and "corp.example" not in whole and "555-2333" not in whole
     assert out["bad"].output is None and out["bad"].problem and out["empty"].output == "" == out["null"].output
 
 
-def test_numbers_stay_numbers(spark):
-    source = '{"ssn": 536904399, "total": 12.50, "age": 31, "customer": {"pin": 123456}}'
-    out = run(spark, [("n", source, "json")])["n"].output
-    got = json.loads(out)
-    assert got["total"] == 12.5 and isinstance(got["ssn"], int) and got["ssn"] != 536904399 and len(str(got["ssn"])) == 9 and '"total": 12.50' in out
+def test_numbers_stay_numbers(out):
+    got = json.loads(out["n"].output)
+    assert got["total"] == 12.5 and isinstance(got["ssn"], int) and got["ssn"] != 536904399 and len(str(got["ssn"])) == 9 and '"total": 12.50' in out["n"].output
 
 
-def test_two_people_of_one_record(spark):
-    source = '{"applicant_name": "Ana Pereira", "applicant_email": "a@corp.example", "spouse_name": "Rui Costa", "spouse_email": "r@corp.example"}'
-    got = json.loads(run(spark, [("p", source, "json")])["p"].output)
+def test_two_people_of_one_record(out):
+    got = json.loads(out["p"].output)
     for who in ("applicant", "spouse"):
         assert got[f"{who}_email"].startswith(got[f"{who}_name"].lower().replace(" ", "."))
 
 
+def test_many_people_stay_apart(out):
+    assert len({json.loads(out[x].output)["name"] for x, _, _ in MANY}) == 1000
+
+
 def test_files_of_a_folder(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"email": "ana@corp.example"}')
     (tmp_path / "b").write_text("just a@corp.example here")
     (tmp_path / "c.bin").write_bytes(b"\x00" * 50)
-    out = {r.path.rsplit("/", 1)[1]: r for r in api.pseudonymise_files(spark, str(tmp_path), "s").collect()}
-    assert "corp.example" not in out["a.json"].output + out["b"].output and out["c.bin"].output is None and out["c.bin"].problem
-
-
-def test_many_people_stay_apart(spark):
-    rows = [(str(i), json.dumps({"name": f"Person{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10 % 10]}x Name{'abcdefghij'[i // 100]}y"}), "json") for i in range(1000)]
-    names = {json.loads(r.output)["name"] for r in run(spark, rows).values()}
-    assert len(names) == 1000
+    got = {r.path.rsplit("/", 1)[1]: r for r in api.pseudonymise_files(spark, str(tmp_path), "s").collect()}
+    assert "corp.example" not in got["a.json"].output + got["b"].output and got["c.bin"].output is None and got["c.bin"].problem
