@@ -6,7 +6,7 @@ patterns at once; validation, scoring and everything after stay native columns o
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from functools import lru_cache
 
 import pyarrow as pa
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from . import keys
 
 MATCH = "array<struct<pattern: int, start: int, end: int, value: string, near: array<string>>>"
-GRAM = "array<struct<start: int, end: int, folded: string>>"
+GRAM = "array<struct<start: int, end: int, value: string, folded: string>>"
 #: Words before a match are looked for in so many characters.
 WINDOW = 100
 #: How many words, nearest first.
@@ -87,25 +87,29 @@ def fold(text: str) -> str:
     return text.translate(_FOLD).lower()
 
 
-def ngrams(text: Column, sizes: Sequence[int]) -> Column:
-    """The stretches of ``sizes`` words of a text, folded, with one space between their words. Null texts have none."""
-    sizes = tuple(sorted(sizes))
+def ngrams(text: Column, sizes: Sequence[int], firsts: Iterable[str] | None = None) -> Column:
+    """The stretches of ``sizes`` words of a text, folded, with one space between their words; only those that open with one of ``firsts``, if given. Null texts have none."""
+    sizes, firsts = tuple(sorted(sizes)), None if firsts is None else frozenset(firsts)
 
     @F.arrow_udf(GRAM)
     def cut(column: pa.Array) -> pa.Array:
         import regex
 
         word = regex.compile(WORD)
-        ends, starts, stops, folded = [0], [], [], []
+        ends, starts, stops, values, folded = [0], [], [], [], []
         for t in column.to_pylist():
             found = [(m.start(), m.end(), fold(m[0])) for m in word.finditer(t)] if t else []
             for n in sizes:
                 for i in range(len(found) - n + 1):
-                    starts.append(found[i][0])
-                    stops.append(found[i + n - 1][1])
+                    if firsts is not None and found[i][2] not in firsts:
+                        continue
+                    a, b = found[i][0], found[i + n - 1][1]
+                    starts.append(a)
+                    stops.append(b)
+                    values.append(t[a:b])
                     folded.append(found[i][2] if n == 1 else " ".join([x[2] for x in found[i : i + n]]))
             ends.append(len(starts))
-        rows = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(stops, pa.int32()), pa.array(folded, pa.string())], names=["start", "end", "folded"])
+        rows = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(stops, pa.int32()), pa.array(values, pa.string()), pa.array(folded, pa.string())], names=["start", "end", "value", "folded"])
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
 
     return cut(text)
