@@ -27,13 +27,19 @@ def digits(value: Column) -> Column:
 
 
 def digit_array(value: Column) -> Column:
-    return F.transform(F.filter(F.split(value, ""), lambda c: c.rlike("^[0-9]$")), lambda c: c.cast("int"))
+    """The ASCII digits of a value as numbers; of a value without any, one null."""
+    return F.split(digits(value), "").try_cast("array<int>")
+
+
+def numbers(values: Sequence[int]) -> Column:
+    """A constant array of numbers, made in one call."""
+    return F.expr(f"array({', '.join(map(str, values))})")
 
 
 def weighted(value: Column, weights: Sequence[int], start: int = 0) -> Column:
     """Sum of the digits from ``start`` times the weights."""
     part = F.slice(digit_array(value), start + 1, len(weights))
-    return F.aggregate(F.zip_with(part, F.array(*map(F.lit, weights)), lambda d, w: d * w), F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)))
+    return F.aggregate(F.zip_with(part, numbers(weights), lambda d, w: d * w), F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)))
 
 
 def luhn(value: Column) -> Column:
@@ -74,7 +80,7 @@ def mod97(value: Column) -> Column:
 def iban(value: Column) -> Column:
     """A written IBAN of a known country's length with right check digits."""
     v = F.upper(F.regexp_replace(value, "[ .-]", ""))
-    lengths = F.create_map(*(F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair))
+    lengths = F.expr(f"map({', '.join(f'{c!r}, {n}' for c, n in IBAN_LENGTHS.items())})")
     right = v.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]+$") & (F.length(v) == F.element_at(lengths, F.substring(v, 1, 2)))
     return F.coalesce(right & (mod97(F.concat(F.substring(v, 5, 64), F.substring(v, 1, 4))) == 1), F.lit(False))
 
@@ -114,8 +120,8 @@ def shared_ip(value: Column) -> Column:
 
 def verhoeff(value: Column) -> Column:
     """The dihedral check of a string of digits."""
-    table = F.array(*(F.lit(r) for r in _VERHOEFF_D))
-    turns = F.array(*(F.lit(r) for r in _VERHOEFF_P))
+    table = F.expr(f"array({', '.join(map(repr, _VERHOEFF_D))})")
+    turns = F.expr(f"array({', '.join(map(repr, _VERHOEFF_P))})")
     order = F.reverse(digit_array(value))
     at = F.transform(order, lambda d, i: F.substring(F.element_at(turns, i % 8 + 1), d + 1, F.lit(1)).cast("int"))
     return F.aggregate(at, F.lit(0), lambda c, d: F.substring(F.element_at(table, c + 1), d + 1, F.lit(1)).cast("int")) == 0

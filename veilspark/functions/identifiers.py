@@ -6,13 +6,13 @@ telling by itself (``alone``); ``base`` is its score without a name.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import checks
+from . import checks, national
 from .checks import weighted
 
 
@@ -25,6 +25,7 @@ class Identifier:
     base: float = 0.05
     alone: bool = False
     entity: str = "ID_NUMBER"
+    raw: bool = False  # whether the check reads separators too
 
 
 def _at(v: Column, i: int) -> Column:
@@ -71,7 +72,7 @@ def _dni(v: Column) -> Column:
 
 def _pesel(v: Column) -> Column:
     month = F.substring(v, 3, 2).try_cast("int")
-    century = F.element_at(F.array(*map(F.lit, (1900, 2000, 2100, 2200, 1800))), (F.floor(month / 20) + 1).cast("int"))
+    century = F.element_at(checks.numbers((1900, 2000, 2100, 2200, 1800)), (F.floor(month / 20) + 1).cast("int"))
     return (F.pmod(F.lit(10) - weighted(v, [1, 3, 7, 9, 1, 3, 7, 9, 1, 3]) % 10, F.lit(10)) == _at(v, 10)) & checks.real_date(century + F.substring(v, 1, 2).try_cast("int"), month % 20, F.substring(v, 5, 2).try_cast("int"))
 
 
@@ -165,7 +166,7 @@ def _thai(v: Column) -> Column:
 
 def _dowod(v: Column) -> Column:
     codes = F.transform(F.slice(F.split(v, ""), 1, 3), lambda c: F.ascii(c) - 55)
-    letters = F.aggregate(F.zip_with(codes, F.array(*map(F.lit, (7, 3, 1))), lambda c, w: c * w), F.lit(0), lambda a, x: a + x)
+    letters = F.aggregate(F.zip_with(codes, checks.numbers((7, 3, 1)), lambda c, w: c * w), F.lit(0), lambda a, x: a + x)
     return (letters + weighted(F.substring(v, 5, 5), [7, 3, 1, 7, 3])) % 10 == _at(v, 3)
 
 
@@ -213,7 +214,7 @@ def _sums(weights: list[int], over: int, at: int) -> Callable[[Column], Column]:
 
 
 # Forms and naming words of identifiers.
-REGISTRY = (
+_FIRST = (
     Identifier("CPF", ("cpf", "cadastro"), r"\b[0-9]{3}\.[0-9]{3}\.[0-9]{3}-[0-9]{2}\b", _cpf, 0.5, True),
     Identifier("CPF_DIGITS", ("cpf",), r"\b[0-9]{11}\b", _cpf),
     Identifier("CNPJ", ("cnpj",), r"\b[0-9]{2}\.[0-9]{3}\.[0-9]{3}/[0-9]{4}-[0-9]{2}\b", _cnpj, 0.5, True),
@@ -229,7 +230,7 @@ REGISTRY = (
     Identifier("PERSONNUMMER", ("personnummer", "pnr"), r"\b(?:19|20)?[0-9]{6}[-+][0-9]{4}\b", _swedish, 0.3),
     Identifier("FODSELSNUMMER", ("fødselsnummer", "fodselsnummer"), r"\b[0-7][0-9]{10}\b", _norwegian),
     Identifier("CPR", ("cpr", "personnummer"), r"\b(?:0[1-9]|[12][0-9]|3[01])(?:0[1-9]|1[0-2])[0-9]{2}-[0-9]{4}\b", _shape, 0.1),
-    Identifier("HETU", ("hetu", "henkilötunnus"), r"\b[0-9]{6}[-+A-FU-Y][0-9]{3}[0-9A-FHJ-NPR-Y]\b", _hetu, 0.5, True),
+    Identifier("HETU", ("hetu", "henkilötunnus"), r"\b[0-9]{6}[-+A-FU-Y][0-9]{3}[0-9A-FHJ-NPR-Y]\b", _hetu, 0.5, True, raw=True),
     Identifier("NINO", ("nino", "insurance"), r"\b[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z] ?[0-9]{2} ?[0-9]{2} ?[0-9]{2} ?[A-D]\b", _shape, 0.3),
     Identifier("NHS_NUMBER", ("nhs",), r"\b[0-9]{3}[- ]?[0-9]{3}[- ]?[0-9]{4}\b", _nhs),
     Identifier("SIN", ("sin", "insurance"), r"\b[1-79][0-9]{2}[- ]?[0-9]{3}[- ]?[0-9]{3}\b", checks.luhn),
@@ -262,7 +263,7 @@ REGISTRY = (
     Identifier("SA_NATIONAL_ID", ("iqama",), r"\b[12][0-9]{9}\b", checks.luhn),
     Identifier("VN_CCCD", ("cccd",), r"\b0[0-9]{2} ?[0-9]{3} ?[0-9]{6}\b", _shape),
     Identifier("ISRAELI_ID", ("teudat",), r"\b[0-9]{9}\b", checks.luhn),
-    Identifier("ESTONIAN_ID", ("isikukood",), r"\b[1-6][0-9]{10}\b", _sums([1, 2, 3, 4, 5, 6, 7, 8, 9, 1], 11, 10)),
+    Identifier("ESTONIAN_ID", ("isikukood",), r"\b[1-8][0-9]{10}\b", national.twice(10)),
     Identifier("EGN", ("egn",), r"\b[0-9]{10}\b", _sums([2, 4, 8, 5, 10, 9, 7, 3, 6], 11, 9)),
     Identifier("CNP", ("cnp",), r"\b[1-8][0-9]{12}\b", lambda v: _at(v, 12) == F.when(weighted(v, [2, 7, 9, 1, 4, 6, 3, 5, 8, 2, 7, 9]) % 11 == 10, 1).otherwise(weighted(v, [2, 7, 9, 1, 4, 6, 3, 5, 8, 2, 7, 9]) % 11)),
     Identifier("OIB", ("oib",), r"\b[0-9]{11}\b", _steuer),
@@ -277,11 +278,37 @@ REGISTRY = (
 )
 
 
+#: Every kind; of two that hold of one value the earlier one counts.
+REGISTRY = (*_FIRST, *(Identifier(*row) for row in national.ROWS))
+
+
 def compact(value: Column) -> Column:
     """An identifier without its separators."""
-    return F.regexp_replace(value, "[ ./+-]", "")
+    return F.regexp_replace(value, r"[ ./+()\u2010-\u2015-]", "")
 
 
 def valid(kind: Identifier, value: Column) -> Column:
-    """Whether a written identifier passes the kind's check; a Finnish one keeps its sign of the century."""
-    return F.coalesce(kind.check(value if kind.kind == "HETU" else compact(value)), F.lit(False))
+    """Whether a written identifier passes the kind's check."""
+    return F.coalesce(kind.check(value if kind.raw else compact(value)), F.lit(False))
+
+
+def passes(at: Column, value: Column, registry: Sequence[Identifier] | None = None) -> Column:
+    """Whether a written identifier passes the check of the kind at a place of the registry.
+
+    All kinds whose check is a weighted sum share one expression over a constant table, and all with one function share its branch, so the plan stays
+    small however many kinds there are.
+    """
+    registry = REGISTRY if registry is None else registry
+    plain = compact(value)
+    sums = [k.check if isinstance(k.check, national.Sum) else None for k in registry]
+    out, branches = F.lit(False), {}
+    for i, k in enumerate(registry):
+        if sums[i] is None:
+            branches.setdefault((k.check, k.raw), []).append(i)
+    for (check, raw), places in branches.items():
+        out = F.when(at.isin(*places), F.lit(True) if check is national.shape or check is _shape else check(value if raw else plain)).otherwise(out)
+    summed = [i for i, s in enumerate(sums) if s is not None]
+    if summed:
+        table = national.table(sums)
+        out = F.when(at.isin(*summed), national.holds(plain, F.element_at(table, at + 1))).otherwise(out)
+    return F.coalesce(out, F.lit(False))

@@ -102,7 +102,7 @@ def _choice(at: Column, values: Sequence[Column]) -> Column:
 
 
 def _scored(m: Column, bank: Sequence[Pattern], base: Column, words: Sequence[Sequence[str]], reach: int) -> Column:
-    named = F.arrays_overlap(F.slice(m["near"], 1, reach), _choice(m["pattern"], [F.array(*map(F.lit, w)).cast("array<string>") for w in words]))
+    named = F.arrays_overlap(F.slice(m["near"], 1, reach), _choice(m["pattern"], [keys.literals(w) if w else F.expr("cast(array() as array<string>)") for w in words]))
     return F.when(F.coalesce(named, F.lit(False)), F.greatest(F.lit(FLOOR), F.least(F.lit(1.0), base + LIFT))).otherwise(base)
 
 
@@ -130,17 +130,11 @@ def _of_registry(found: Column, registry: Sequence[identifiers.Identifier], firs
     at = lambda m: m["pattern"] - first
     base = lambda m: _choice(at(m), [F.lit(0.85 if k.alone else float(k.base)) for k in registry])
 
-    def valid(m: Column) -> Column:
-        out = F.lit(False)
-        for i, k in enumerate(registry):
-            out = F.when(at(m) == i, identifiers.valid(k, m["value"])).otherwise(out)
-        return out
-
     def one(m: Column) -> Column:
-        named = F.arrays_overlap(m["near"], _choice(at(m), [F.array(*map(F.lit, k.keys)) for k in registry]))
+        named = F.arrays_overlap(m["near"], _choice(at(m), [keys.literals(k.keys) for k in registry]))
         return _span(m, _choice(at(m), [F.lit(k.entity) for k in registry]), F.when(named, F.lit(1.0)).otherwise(base(m)))
 
-    return F.filter(F.transform(F.filter(found, valid), one), lambda s: s["score"] >= FLOOR)
+    return F.filter(F.transform(F.filter(found, lambda m: identifiers.passes(at(m), m["value"], registry)), one), lambda s: s["score"] >= FLOOR)
 
 
 def _form(pattern: Pattern) -> tuple[str, str | None, bool]:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import identifiers, keys
+from ..functions import identifiers, keys, national, scan
 
 
 def unpivoted(df: DataFrame, row: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -33,11 +33,15 @@ def categorical(leaves: DataFrame) -> DataFrame:
 
 def identifier_columns(leaves: DataFrame, registry: Sequence[identifiers.Identifier] = identifiers.REGISTRY) -> DataFrame:
     """(field, kind, n_distinct, share) of fields nine in ten of whose four or more distinct values pass one kind's check; ties go to the earlier kind."""
-    verifying = [(i, k) for i, k in enumerate(registry) if k.check is not identifiers._shape]
+    verifying = [k for k in registry if k.check not in (identifiers._shape, national.shape)]
     distinct = leaves.where("text is not null and text <> ''").select("field", "text").distinct()
-    passed = F.array_compact(F.array(*(F.when(F.col("text").rlike(f"^(?:{k.form})$") & identifiers.valid(k, F.col("text")), F.struct(F.lit(-i).alias("rank"), F.lit(k.kind).alias("kind"))) for i, k in verifying)))
+    names = keys.literals(k.kind for k in verifying)
+    whole = scan.matches(F.col("text"), [(f"^(?:{k.form})$", None, False) for k in verifying])
+    found = distinct.withColumn("found__", whole).select("field", F.explode("found__").alias("m"))
+    passed = found.where(identifiers.passes(F.col("m.pattern"), F.col("m.value"), verifying))
+    votes = passed.select("field", F.struct((-F.col("m.pattern")).alias("rank"), F.element_at(names, F.col("m.pattern") + 1).alias("kind")).alias("k"))
     sizes = distinct.groupBy("field").agg(F.count("*").alias("n_distinct")).where("n_distinct >= 4")
-    votes = distinct.select("field", F.explode(passed).alias("k")).groupBy("field", "k").agg(F.count("*").alias("n"))
+    votes = votes.groupBy("field", "k").agg(F.count("*").alias("n"))
     best = votes.groupBy("field").agg(F.max_by("k", F.struct("n", "k.rank")).alias("k"), F.max("n").alias("n"))
     return best.join(sizes, "field").where(F.col("n") >= 0.9 * F.col("n_distinct")).select("field", "k.kind", "n_distinct", (F.col("n") / F.col("n_distinct")).alias("share"))
 

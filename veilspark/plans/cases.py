@@ -113,6 +113,46 @@ def registry_examples(spark):
     return rows.select("kind", "value", out.alias("valid"))
 
 
+# Sample numbers of public descriptions of these formats.
+_NATIONAL = [
+    ("UY_CI", "1.234.567-2"), ("DO_CEDULA", "001-1391820-5"), ("EC_CI", "1714307103"), ("PE_CUI", "10117410-2"), ("BC_PHN", "9698 658 215"), ("LU_MATRICULE", "1893120105732"), ("DE_DOCUMENT", "T220001293"), ("KVNR",
+    "A123456780"), ("RVNR", "15 070649 C 103"), ("CH_AHV", "756.9217.0769.85"), ("AT_SVNR", "1237 010180"), ("RODNE_CISLO", "710319/2745"), ("AMKA", "01013099997"), ("PPS", "6433435F"), ("KENNITALA", "450401-3150"),
+    ("LV_PERSONAS_KODS", "161175-19997"), ("FR_NIF", "30 23 217 600 053"), ("BE_EID", "591-1917064-58"), ("GB_UTR", "19558 39661"), ("GB_UPN", "B801200005001"), ("HU_ADOAZONOSITO", "8071592153"), ("UA_RNTRC",
+    "1759013776"), ("HKID", "A123456(3)"), ("NZ_IRD", "49-091-850"), ("NZ_IRD", "136-410-132"), ("DE_VAT_ID", "DE136695976"), ("ORGANISATIONSNUMMER", "123456-7897"), ("GSTIN", "27AAPFU0939F1ZV"), ("PARTITA_IVA",
+    "00743110157"), ("KR_BRN", "116-82-00276"), ("ZA_INCOME_TAX_NUMBER", "0001339050"), ("SG_UEN", "00192200M"), ("ACN", "004 085 616"), ("CO_NIT", "213.123.432-1"), ("VE_RIF", "V-11470283-4"), ("GT_NIT", "576937-K"),
+    ("GT_NIT", "7108-0"), ("UY_RUT", "21-100342-001-7"), ("PY_RUC", "80028061-0"), ("DO_RNC", "1-01-85004-3"), ("AR_CBU", "28505909 40090418135201"), ("CA_BN", "123026635"), ("PE_RUC", "20512333797"), ("NO_KONTONUMMER",
+    "8601.11.17947"), ("BG_VAT", "BG175074752"), ("CZ_ICO", "25123891"), ("EE_KMKR", "EE100931558"), ("HU_ANUM", "HU12892312"), ("LT_PVM", "LT119511515"), ("LV_PVN", "LV40003521600"), ("RO_CUI", "RO18547290"),
+    ("SI_DDV", "SI50223054"), ("SK_DPH", "SK2022749619"), ("UA_EDRPOU", "32855961"), ("MD_IDNO", "1008600038413"), ("ME_PIB", "02655284"), ("RS_PIB", "101134702"), ("MK_EDB", "4030000375897"), ("EE_REGISTRIKOOD",
+    "12345678"), ("RU_OGRN", "1022200525819"), ("RU_INN", "7707083893"), ("TR_VKN", "4540536920"), ("SI_MATICNA", "9331310"), ("AT_UID", "ATU13585627"), ("BE_VAT", "BE0403019261"), ("CH_UID", "CHE-100.155.212"),
+    ("DK_CVR", "13585628"), ("CY_VAT", "CY10259033P"), ("ES_CIF", "J99216582"), ("FI_YTUNNUS", "2077474-0"), ("FR_TVA", "FR 40 303 265 045"), ("GB_VAT", "GB 980 7806 84"), ("GR_AFM", "EL 094259216"), ("IE_VAT",
+    "IE6433435OA"), ("LU_TVA", "15027442"), ("MT_VAT", "1167-9112"), ("NL_BTW", "NL4495445B01"), ("NO_ORGNR", "988 077 917"), ("PT_NIF", "501964843"), ("SE_VAT", "SE123456789701"), ("EU_CREDITOR_ID",
+    "ES23ZZZ47690558N"), ("CN_USCC", "91110000600037341L"), ("TW_UBN", "00501503"), ("ID_NPWP", "01.312.166.0-091.000"), ("VN_MST", "0100233488"), ("JP_CORPORATE_NUMBER", "5835678256246"), ("GH_TIN", "C0000803561"),
+    ("MA_ICE", "001561191000066"), ("MZ_NUIT", "400339910"), ("IL_COMPANY_NUMBER", "516179157"), ("CZ_BANK_ACCOUNT", "34278-0727558021/0100"), ("ES_NIF_KLM", "K0867756N"),
+]
+
+
+def _beside(value: str) -> str:
+    """A sample number with one digit changed: the third."""
+    at = [i for i, c in enumerate(value) if c.isdigit()][2]
+    return value[:at] + str((int(value[at]) + 1) % 10) + value[at + 1 :]
+
+
+def _checked(rows: DataFrame) -> DataFrame:
+    """``rows`` (kind, value) with whether the value passes."""
+    places = F.expr(f"map({', '.join(f'{k.kind!r}, {i}' for i, k in enumerate(identifiers.REGISTRY))})")
+    return rows.select("kind", "value", identifiers.passes(F.element_at(places, F.col("kind")), F.col("value")).alias("valid"))
+
+
+@_case("registry_national", "kind value valid", [(k, v, True) for k, v in _NATIONAL])
+def registry_national(spark):
+    return _checked(spark.createDataFrame(_NATIONAL, "kind string, value string"))
+
+
+@_case("registry_national_beside", "kind value valid", [(k, _beside(v), False) for k, v in _NATIONAL])
+def registry_national_beside(spark):
+    return _checked(spark.createDataFrame([(k, _beside(v)) for k, v in _NATIONAL], "kind string, value string"))
+
+
 # ---- detection
 
 _BANK = [
