@@ -8,6 +8,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import checks
+
 # Latin letters that no decomposition gives.
 _SPECIAL = {"ø": "o", "ł": "l", "đ": "d", "ı": "i", "ð": "d", "þ": "t", "Ø": "O", "Ł": "L", "Đ": "D"}
 _PLAIN = {chr(i): d[0] for i in range(0xC0, 0x250) if (d := unicodedata.normalize("NFD", chr(i)))[0].isascii()} | _SPECIAL
@@ -129,3 +131,36 @@ def fits(entity: Column, value: Column) -> Column:
         .when(entity == "LAST_DIGITS", value.rlike("^[0-9]{3,6}$"))
         .otherwise(F.lit(True))
     )
+
+
+# Keys that say only which part of their parent's value they hold.
+SLOTS = ("value", "data", "text", "content", "number", "num", "no", "current", "raw", "formatted", "full", "line", "item", "entry", "v")
+NAME_SLOTS = {"first": "FIRST_NAME", "given": "FIRST_NAME", "middle": "FIRST_NAME", "last": "LAST_NAME", "family": "LAST_NAME"}
+DATE_SLOTS = ("year", "month", "day")
+
+
+def resolved(key: Column, parent: Column) -> Column:
+    """The entity of a key in its object: a slot (``value``, ``number``, ``[3]``) takes its parent's, ``first`` and ``last`` are names under a person, and
+    ``year`` is a date's under a date of birth; other keys speak for themselves."""
+    own, above, name = hint(key), hint(parent), compact(key)
+    slot = name.isin(*SLOTS) | name.rlike("^[0-9]*$")
+    names = literals((x for pair in NAME_SLOTS.items() for x in pair), "map")
+    part = F.when(above.isin("PERSON", "FIRST_NAME", "LAST_NAME"), F.element_at(names, name)).when((above == "DATE_OF_BIRTH") & name.isin(*DATE_SLOTS), F.lit("DATE_OF_BIRTH"))
+    return F.coalesce(part, F.when(slot, above).otherwise(own))
+
+
+def header(name: Column) -> Column:
+    """The entity of a spoken or flattened column name: ``Contact Phones 0 Number`` is a phone, the last piece of a URI counts, a note in brackets does not."""
+    last = F.regexp_replace(F.regexp_replace(name, r"^\w+://.*[/#]", ""), r"\s*[(\[].*?[)\]]", "")
+    kept = F.filter(words(last), lambda w: ~w.rlike("^[0-9]+$"))
+    slots = F.array(*(F.lit(s) for s in SLOTS))
+    inner = F.filter(kept, lambda w: ~F.array_contains(slots, w))
+    single = lambda w: F.regexp_replace(w, "(?<=[^s])s$", "")
+    return F.coalesce(hint(F.array_join(kept, " ")), hint(F.array_join(F.transform(inner, single), " ")))
+
+
+def numeric(key: Column, parent: Column, number: Column) -> Column:
+    """The entity of a bare number, null for a count, an amount or a time: it is personal by its key or, with 13 digits or more, by a card's check."""
+    told = resolved(key, parent)
+    plain = number.rlike("^-?[0-9]+([.][0-9]+)?$")
+    return F.when(~plain | structural(key), None).when(told.isNotNull() & fits(told, number), told).when(told.isNull() & checks.card(number), "CREDIT_CARD")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import keys
+from ..functions import draw, keys
 from ..functions import spans as S
 from .detect import REVIEW_BELOW
 
@@ -85,3 +85,21 @@ def export(outputs: DataFrame, marks: DataFrame, path: str, force: bool = False)
 def coverage() -> list[str]:
     """The optional parts that this installation lacks: detection runs without learned models."""
     return ["name_model", "address_model", "context_model", "span_tagger"]
+
+
+def left_as_written(found: DataFrame, choices: DataFrame) -> DataFrame:
+    """(n_left): places of findings (entity, original, n) that the user's choices (entity, original, action) leave as written."""
+    kept = choices.where("action = 'keep'").select("entity", "original").distinct()
+    return found.join(kept, ["entity", "original"], "left_semi").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_left"))
+
+
+def proposals(suspects: DataFrame, seed: str) -> DataFrame:
+    """``suspects`` (scope, entity, original, ...) with the stand-in that each would take, which is the one its value has elsewhere in the scope."""
+    drawn = draw.stand_ins(suspects.select("scope", "entity", "original").distinct(), seed)
+    return suspects.join(drawn.withColumnRenamed("stand_in", "proposal"), ["scope", "entity", "original"], "left")
+
+
+def person_links(edits: DataFrame) -> DataFrame:
+    """(scope, original, stand_in, person) of edits, one row each, for later edits of the same person; values of several people have no link."""
+    met = edits.where("person is not null").groupBy("scope", "original", "stand_in").agg(F.count_distinct("person").alias("n"), F.min("person").alias("person"))
+    return met.where("n = 1").drop("n")

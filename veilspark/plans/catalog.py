@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import pseudonymise
 from . import cases, detection, masking, portable, reports
+from . import rules as _rules  # noqa: F401  (adds its queries to those of cases)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = detection.QUERIES | masking.QUERIES | reports.QUERIES | cases.QUERIES
 ORACLE_SQL: dict[str, str] = detection.ORACLE_SQL | masking.ORACLE_SQL | reports.ORACLE_SQL | cases.ORACLE_SQL
