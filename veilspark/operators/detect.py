@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import checks, identifiers, keys, scan
 from ..functions import spans as S
+from . import records
 
 NEAR, LIFT, FLOOR = 5, 0.35, 0.4
 REVIEW_BELOW = 0.65
@@ -87,6 +88,7 @@ BANK: tuple[Pattern, ...] = (
     Pattern("AGE", r"(?i)(?<=\b(?:aged|age:) )\d{1,3}\b", 0.8, need=r"(?i)\bage"),
     Pattern("LAST_DIGITS", r"(?i)(?<=\bending (?:in|with) )\d{4}\b", 0.8, need=r"(?i)ending "),
     Pattern("SECRET", r"(?i)(?<=\b(?:cvv|cvc|pin)(?: is|:)? )\d{3,6}\b", 0.9, need=r"(?i)\b(?:cvv|cvc|pin)\b"),
+    *(Pattern("RECORD_ID", form, 0.8, need=need) for form, need, _ in records.IDS),
 )
 #: Patterns of things that are no one's; what a span of these covers is no finding of other kinds.
 STANDARDS = r"\b(?:RFC ?\d{3,5}|ISO(?:/IEC)? ?\d{3,5}(?:-\d+)?|IEEE ?\d{3,4}(?:\.\d+)*|CVE-\d{4}-\d{4,7})\b"

@@ -12,7 +12,8 @@ from . import people
 # Words before ``id`` whose ids are a person's or an account's, and prefixes of such ids.
 HOLDERS = ["customer", "client", "user", "member", "patient", "employee", "account", "subscriber", "student", "applicant", "person", "contact", "owner", "driver", "guest"]
 PREFIXES = ["cus", "acct", "usr", "user", "mem", "pat", "emp", "sub", "per", "contact"]
-_IDS = [
+#: (pattern, what each text with a match has, whether words before matter)
+IDS = [
     (rf"(?i)(?<=\b(?:{'|'.join(HOLDERS)})[ _-]?(?:id|no|number|ref)\"?\s{{0,2}}[:=#]?\s{{0,2}}\"?)(?=[\w-]*[0-9])[A-Za-z0-9][\w-]{{3,63}}", r"(?i)id|no|num|ref", False),
     (rf"(?<![\w-])(?:{'|'.join(PREFIXES)})_(?=\w*[0-9])[A-Za-z0-9]{{4,64}}(?![\w-])", "_", False),
 ]
@@ -21,7 +22,7 @@ _TOKEN = [(r"(?<![\w@.])[A-Za-z0-9]+(?:[._-][A-Za-z0-9]+)+(?![\w@])", r"[._-]",
 
 def record_ids(rows: DataFrame, text: str = "text") -> DataFrame:
     """``rows`` with ``ids`` (start, end, value): ids named as a person's or an account's, and ids with such a prefix. A null text has none."""
-    found = rows.withColumn("found__", scan.matches(F.col(text), _IDS))
+    found = rows.withColumn("found__", scan.matches(F.col(text), IDS))
     return found.select(*rows.columns, F.array_sort(F.array_distinct(F.transform("found__", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"))))).alias("ids"))
 
 

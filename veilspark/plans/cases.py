@@ -168,6 +168,7 @@ _BANK = [
     ("/home/apereira/x and /Users/Shared/y", [("USERNAME", "apereira")]),
     ("Dear Ana, you are aged 41, card ending in 4242, cvv: 123", [("PERSON", "Ana"), ("AGE", "41"), ("LAST_DIGITS", "4242"), ("SECRET", "123")]),
     ("From: Ana Pereira <a", [("PERSON", "Ana Pereira")]),
+    ("customer id C-88123 paid, see cus_9f31ab; order id 99123", [("RECORD_ID", "C-88123"), ("RECORD_ID", "cus_9f31ab")]),
     ("", []),
 ]
 
