@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step of an operator works on; a longer single text is one step.
@@ -171,3 +171,37 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         old = [f"{name}-edges-{k}"]
     scratch.drop(*old)
     return scratch.spark.createDataFrame([], "id long, component long") if labels is None else labels
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once for each row, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+#: Rows that a range of ``ranked`` holds, about.
+RANGE_ROWS = 1_000_000
+
+
+def ranked(rows: DataFrame, groups: list[str], order: list[str], scratch: Scratch, name: str, about: DataFrame | None = None) -> DataFrame:
+    """``rows`` with ``rank`` (from 0 inside their group, by ``order``) and ``of`` (rows of the group), and the columns of ``about`` (one row for each group).
+
+    No group has to fit in one task: rows are sorted by ranges of (groups, order), and a row's rank is its place in its range and the number of its
+    group's rows in the ranges before. What is gathered for each group is one row for each range that holds some of it. Rows that are equal in
+    all of these are told apart by a number, so that a repeated row does not fill a range. The groups are compared null-safely; nulls come first.
+    """
+    rows = scratch.save(rows.withColumn("salt", F.monotonically_increasing_id()), name)
+    parts = max(int(scratch.spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-rows.count() // RANGE_ROWS))
+    keys = [*groups, *order, "salt"]
+    placed = scratch.save(rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id()), f"{name}-placed")
+    placed = placed.withColumn("part", F.shiftright("at", 33))
+    runs = placed.groupBy("part", *groups).agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    whole = Window.partitionBy(*(groups or [F.lit(0)]))
+    before = F.coalesce(F.sum("n").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.select(F.col("part").alias("run_part"), *(F.col(g).alias(f"run_{g}") for g in groups), (before - F.col("first")).alias("shift"), F.sum("n").over(whole).alias("of"))
+    more = []
+    if about is not None:
+        more = [c for c in about.columns if c not in groups]
+        about = about.select(*(F.col(g).alias(f"about_{g}") for g in groups), *more)
+        runs = runs.join(about, [F.col(f"run_{g}").eqNullSafe(F.col(f"about_{g}")) for g in groups])
+    met = placed.join(runs, [F.col("part") == F.col("run_part"), *(F.col(g).eqNullSafe(F.col(f"run_{g}")) for g in groups)])
+    return met.select(*(c for c in rows.columns if c != "salt"), (F.col("at") + F.col("shift")).alias("rank"), "of", *more)
