@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import draw
 from ..functions import spans as S
 from ..sources.scratch import Scratch
-from . import detect
+from . import detect, distinct
 
 
 def found_values(spans: DataFrame, scope: Column) -> DataFrame:
@@ -33,16 +33,17 @@ def pseudonymise(docs: DataFrame, seed: str, text: str = "text", key: str = "doc
     """One row per row of ``docs``: key, output, marks (places in the output), counts by entity, n_spans.
 
     ``scope`` names a column within which one value takes one stand-in; without it that is the whole input. Detection reads each text once,
-    drawing runs once per distinct value, and edits are gathered per text. ``key`` must tell the rows apart. With ``apart`` different values get
-    different stand-ins, which then depend on what other values the input has; without it a value's stand-in depends on nothing else.
+    drawing runs once per distinct value, and edits are gathered per text. ``key`` must tell the rows apart. Numbers, machine
+    addresses and ids take stand-ins by permutation, so different ones stay different; names, handles and mailboxes by wide draws. With ``apart`` the few draws that meet are told apart, and a
+    stand-in that is another value's original moves on; without it a value's stand-in depends on nothing else.
     """
     where = F.lit("dataset") if scope is None else F.col(scope).cast("string")
     rows = docs.select(F.col(key).alias("key"), where.alias("scope"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     scratch = Scratch(docs.sparkSession)  # what is found and drawn is small beside the texts
     spans = scratch.save(detect.detect(rows, bank).select("key", "scope", "spans").where(F.size("spans") > 0), "spans")
     values = found_values(spans, F.col("scope"))
-    drawn = scratch.save(draw.stand_ins(values, seed, {p.entity for p in bank}), "drawn")
-    drawn = guarded(draw.kept_apart(drawn) if apart else drawn, values, seed)
+    drawn = scratch.save(distinct.stand_ins(values, seed), "drawn")
+    drawn = distinct.settled(distinct.met(drawn), values, seed, scratch) if apart else drawn
     each = spans.select("key", "scope", F.explode("spans").alias("s"))
     edits = each.join(drawn.select("scope", F.col("original").alias("value"), "stand_in"), (each["scope"] == drawn["scope"]) & (F.col("s.value") == F.col("value")), "left").select(
         "key", F.struct(F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("stand_in").alias("new"), F.col("s.entity").alias("entity"), F.col("s.value").alias("original"), F.col("s.score").alias("score")).alias("edit")

@@ -7,15 +7,14 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import checks, draw, keys
 from ..functions import spans as S
 from ..sources import csvsource, jsonsource, leaves, xmlsource
 from ..sources.scratch import Scratch
-from . import associate, detect, fields, people
-from .pseudonymise import guarded
+from . import associate, detect, distinct, fields, people
 
 NAMES = ("PERSON", "FIRST_NAME", "LAST_NAME")
 #: Kinds whose stand-ins follow their person.
@@ -59,16 +58,6 @@ def owned(found: DataFrame) -> DataFrame:
     return told.select(*found.columns, F.coalesce("own", "owner").alias("person"))
 
 
-def personas(persons: DataFrame, seed: str) -> DataFrame:
-    """(scope, person, who) of ``persons`` (scope, person): their personas, of which no two have one name."""
-    made = persons.select("scope", "person").distinct().withColumn("who", draw.persona(F.col("person"), seed, F.col("scope")))
-    alike = Window.partitionBy("scope", "who.first", "who.last").orderBy("person")
-    rank = F.row_number().over(alike) - 1
-    made = made.withColumn("rank", rank)
-    last = draw.widened(F.lit("LAST_NAME"), F.col("who.last"), F.col("rank"))
-    return made.select("scope", "person", F.struct(F.col("who.first").alias("first"), last.alias("last"), F.col("who.number").alias("number")).alias("who"))
-
-
 def _numbers(entity: Column, original: Column, new: Column, seed: str, scope: Column) -> Column:
     """A stand-in that may stand where a number stood."""
     digits = checks.digits(new)
@@ -89,9 +78,9 @@ def replaced(found: DataFrame, seed: str, scope: str | None = None, scratch: Scr
     scratch = scratch or Scratch(found.sparkSession)
     each = scratch.save(each, "values")
     values = each.select("scope", "entity", "original").distinct()
-    known = personas(each.where("person is not null").select("scope", "person"), seed)
-    drawn = scratch.save(draw.kept_apart(scratch.save(draw.stand_ins(values, seed), "drawn")), "apart")
-    plain = guarded(drawn, values, seed)
+    known = distinct.personas(each.where("person is not null").select("scope", "person"), seed)
+    drawn = scratch.save(distinct.stand_ins(values, seed), "drawn")
+    plain = distinct.settled(distinct.met(drawn), values, seed, scratch)
     met = each.join(known, ["scope", "person"], "left").join(plain, ["scope", "entity", "original"], "left")
     new = F.coalesce(F.when(F.col("who").isNotNull(), draw.of_persona(F.col("entity"), F.col("original"), F.col("who"), seed, F.col("scope"))), F.col("stand_in"))
     new = F.when(F.col("kind") == "number", _numbers(F.col("entity"), F.col("original"), new, seed, F.col("scope"))).otherwise(new)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import api
-from ..functions import draw
-from ..operators import pseudonymise
+from ..functions import checks, draw
+from ..operators import distinct, pseudonymise
+from ..sources.scratch import Scratch
 from . import portable as P
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -177,3 +178,53 @@ def pseudonymise_documents(spark, sf):
 
 
 QUERIES["pseudonymise_documents"] = pseudonymise_documents
+
+
+def _apart(name: str, entity: str, kept: str) -> None:
+    """Different originals have different stand-ins, none of which is an original; ``kept`` is a pattern of what they look like."""
+
+    def query(spark, sf):
+        values = _distinct(spark, sf, entity)
+        scratch = Scratch(spark)
+        drawn = scratch.save(distinct.settled(distinct.met(distinct.stand_ins(values, P.SEED)), values, P.SEED, scratch), "drawn")
+        clash = drawn.join(values.select(F.col("original").alias("stand_in")), "stand_in", "left_semi").agg(F.count("*").alias("clashes"))
+        told = drawn.agg(F.count("*").alias("originals"), F.countDistinct(F.lower("stand_in")).alias("stand_ins"), F.count_if(F.col("stand_in").rlike(kept)).alias("kept"))
+        return told.crossJoin(clash)  # one row each
+
+    QUERIES[f"standin_distinct_{name}"] = query
+    n = "count(distinct value)"
+    ORACLE_SQL[f"standin_distinct_{name}"] = f"select {n} as originals, {n} as stand_ins, {n} as kept, cast(0 as bigint) as clashes from ({P.sql_matched(entity, 'doc_id')})"
+
+
+_apart("phone", "PHONE_NUMBER", r"^\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}$")
+_apart("card", "CREDIT_CARD", "^[0-9]{16}$")
+_apart("token", "SECRET", "^[0-9a-f]{40}$")
+_apart("email", "EMAIL_ADDRESS", r"^[a-z.0-9]+@example\.(com|net|org)$")
+
+
+def standin_distinct_ip(spark, sf):
+    """Public addresses take public ones: how many, how many different ones, and how many are no public address."""
+    values = _distinct(spark, sf, "IP_ADDRESS").where(checks.ipv4(F.col("original")) & ~checks.shared_ip(F.col("original")) & ~checks.private_ip(F.col("original")))
+    drawn = distinct.stand_ins(values, P.SEED)
+    bad = ~checks.ipv4(F.col("stand_in")) | checks.private_ip(F.col("stand_in")) | checks.shared_ip(F.col("stand_in"))
+    return drawn.agg(F.count("*").alias("originals"), F.countDistinct("stand_in").alias("stand_ins"), F.count_if(bad).alias("bad"))
+
+
+QUERIES["standin_distinct_ip"] = standin_distinct_ip
+ORACLE_SQL["standin_distinct_ip"] = f"""
+with o as (select distinct value, list_transform(string_split(value, '.'), lambda x: cast(x as integer)) as o from ({P.sql_matched('IP_ADDRESS', 'doc_id')}))
+select count(*) as originals, count(*) as stand_ins, cast(0 as bigint) as bad from o where list_max(o) <= 255 and o[1] not in (0, 10, 127) and not (o[1] = 172 and o[2] between 16 and 31) and not (o[1] = 192 and o[2] = 168)
+    and value not in ('8.8.8.8', '8.8.4.4', '1.1.1.1', '1.0.0.1', '9.9.9.9', '255.255.255.255')"""
+
+
+def standin_distinct_keys(spark, sf):
+    """Keys of orders by their permutation: as many different ones, each as long as it was, none unchanged."""
+    values = P.table(spark, sf, "orders").select(F.lit("dataset").alias("scope"), F.lit("ID_NUMBER").alias("entity"), F.col("o_orderkey").cast("string").alias("original"))
+    drawn = distinct.stand_ins(values, P.SEED)
+    return drawn.agg(
+        F.count("*").alias("originals"), F.countDistinct("stand_in").alias("stand_ins"), F.count_if(F.length("stand_in") == F.length("original")).alias("as_long"), F.count_if(F.col("stand_in") == F.col("original")).alias("unchanged")
+    )
+
+
+QUERIES["standin_distinct_keys"] = standin_distinct_keys
+ORACLE_SQL["standin_distinct_keys"] = "select count(distinct o_orderkey) as originals, count(distinct o_orderkey) as stand_ins, count(distinct o_orderkey) as as_long, cast(0 as bigint) as unchanged from orders"
