@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,14 +49,86 @@ def test_csv_formulas(spark):
 
 
 def test_xml():
-    text = '<r xmlns:a="u"><a:p id="7">Ana <b>x</b></a:p><!-- hi --><?pi some?></r>'
-    assert [(f.path, f.kind, f.text) for f in xmlsource.leaves(text)] == [("/r/a:p/@id", "attribute", "7"), ("/r/a:p/b", "text", "x"), ("/r/a:p", "text", "Ana"), ("/r/#comment", "comment", "hi"), ("/r/?pi", "instruction", "some")]
-    assert xmlsource.written("<a k='Ana'>Ana<b>Anat</b></a>", {"Ana": "Z<e"}) == "<a k='Z&lt;e'>Z&lt;e<b>Anat</b></a>"
+    text = '<r xmlns:a="u"><a:p id="7">Ana <n>x</n></a:p><!-- hi --><?pi some?></r>'
+    assert [(f.path, f.kind, f.text) for f in xmlsource.leaves(text)] == [("/r/a:p/@id", "attribute", "7"), ("/r/a:p", "text", "Ana"), ("/r/a:p/n", "text", "x"), ("/r/#comment", "comment", "hi"), ("/r/?pi", "instruction", "some")]
+    assert xmlsource.written("<a k='Ana'>Ana<n>Anat</n></a>", {"Ana": "Z<e"}) == "<a k='Z&lt;e'>Z&lt;e<n>Anat</n></a>"
     for bad in ('<!DOCTYPE r [<!ENTITY x "y">]><r>&x;</r>', "<r>", "<a>" * 70 + "</a>" * 70):
         with pytest.raises(xmlsource.BadXML):
             xmlsource.leaves(bad)
 
 
+def masked(source, value, new):
+    changes = [(i, m.start(), m.end(), new) for i, f in enumerate(xmlsource.leaves(source)) for m in re.finditer(re.escape(value), f.text)]
+    return xmlsource.patched(source, changes)
+
+
+def test_xml_values_are_changed_where_they_stand():
+    mail = "ana@x.org"
+    for source, want in (
+        ("<a><![CDATA[ana@x.org]]></a>", "<a><![CDATA[N]]></a>"),
+        ("<a>ana&#64;x.org</a>", "<a>N</a>"),
+        ("<a>to ana&#x40;x.org!</a>", "<a>to N!</a>"),
+        ("<a>ana@<b/>x.org</a>", "<a>N<b/></a>"),
+        ("<a>an<b>a@x</b>.o<i>rg</i> x</a>", "<a>N<b></b><i></i> x</a>"),
+        ("<a>ana<!--c-->@x.org</a>", "<a>N<!--c--></a>"),
+        ("<a><!--ana@x.org--></a>", "<a><!--N--></a>"),
+        ("<a>ana@x<![CDATA[.org]]>\r\n</a>", "<a>N<![CDATA[]]>\r\n</a>"),
+        ("<a k='ana@x.org' l=\"ana&#64;x.org\"/>", "<a k='N' l=\"N\"/>"),
+        ("<a><?p ana@x.org?></a>", "<a><?p N?></a>"),
+        ("<?xml version='1.0'?>\n<a>ana@x.org<b>ana@x.org</b></a>\n", "<?xml version='1.0'?>\n<a>N<b>N</b></a>\n"),
+    ):
+        assert masked(source, mail, "N") == want, source
+    assert masked("<a>ana@x.org<br/>x</a>", mail, "N") == "<a>N<br/>x</a>"
+    assert [f.text for f in xmlsource.leaves("<a>Ana<br/>Costa</a>")] == ["Ana\nCosta"]
+    # by place, not by value; stand-ins are not replaced again
+    source = "<r><name>Ana</name><status>Ana</status><other>Rui</other></r>"
+    at = {f.path: i for i, f in enumerate(xmlsource.leaves(source))}
+    assert xmlsource.patched(source, [(at["/r/name"], 0, 3, "Bo"), (at["/r/other"], 0, 3, "Ana")]) == "<r><name>Bo</name><status>Ana</status><other>Ana</other></r>"
+    for how, source, want in (
+        ("text", "<a>x</a>", "<a>&lt;&amp;&gt;\"]]&gt;&#13;--?&gt;</a>"), ("attribute", "<a k='x'/>", "<a k='&lt;&amp;&gt;&quot;]]&gt;&#13;--?&gt;'/>"),
+        ("cdata", "<a><![CDATA[x]]></a>", "<a><![CDATA[<&>\"]]]]><![CDATA[>\r--?>]]></a>"), ("comment", "<a><!--x--></a>", "<a><!--<&>\"]]>\r- -?>--></a>"), ("pi", "<a><?p x?></a>", "<a><?p <&>\"]]>\r--? >?></a>"),
+    ):
+        out = masked(source, "x", "<&>\"]]>\r--?>")
+        assert out == want, how
+        xmlsource.leaves(out)
+    for bad in ([(5, 0, 1, "x")], [(0, 0, 99, "x")], [(0, 0, 2, "x"), (0, 1, 3, "y")]):
+        with pytest.raises(xmlsource.BadXML):
+            xmlsource.patched("<a>Ana</a>", bad)
+
+
+def test_xml_against_another_reader():
+    """Texts agree with those of the standard library's tree, and writing each leaf as it is changes nothing that a reader sees."""
+    import random
+    from xml.etree import ElementTree
+
+    rng = random.Random(5)
+    texts = ["a", " ", "&amp;", "&#233;", "x y", "<![CDATA[<k>]]>", "<!--c-->", "\n", "&lt;", "é"]
+
+    def element(depth):
+        name, inner = rng.choice(["b", "n", "p", "i", "q2"]), ""
+        for _ in range(rng.randrange(5)):
+            inner += element(depth + 1) if rng.random() < 0.4 and depth < 4 else rng.choice(texts)
+        return f"<{name} k='{rng.choice(['v', '&quot;', ''])}'>{inner}</{name}>" if rng.random() < 0.5 else f"<{name}>{inner}</{name}>"
+
+    for _ in range(400):
+        source = element(0)
+        found = xmlsource.leaves(source)
+        tree = ElementTree.fromstring(source)
+        squeezed = lambda t: "".join(t.split())
+        assert squeezed("".join(f.text for f in found if f.kind == "text")) == squeezed("".join(tree.itertext()))
+        for f in found:
+            for at, n, a, width, _ in f.segments:
+                assert n != width or f.text[at : at + n].replace("\r", "\n") == source[a : a + width].replace("\r", "\n") or source[a] == "&"
+        again = xmlsource.patched(source, [(i, 0, len(f.text), f.text) for i, f in enumerate(found) if f.text])
+        assert squeezed("".join(ElementTree.fromstring(again).itertext())) == squeezed("".join(tree.itertext()))
+
+
+def test_json_lines_end_at_line_feeds_only(spark):
+    text = '{"a": "x\u2028y\x85z"}\r\n\n{"a": "b"}'
+    assert [(f.path, f.text, text[f.start : f.end]) for f in jsonsource.line_leaves(text) if f.kind == "value"] == [("[0].a", "x\u2028y\x85z", '"x\u2028y\x85z"'), ("[2].a", "b", '"b"')]
+    assert formats.sniff_text(text) == "jsonl"
+
+
 def test_sniff_and_leaves_table(spark):
     kinds = {"": "text", '{"a":1}': "json", '{"a":1}\n{"b":2}': "jsonl", "<a/>": "xml", "a,b\n1,2\n3,4": "csv", "hello, you": "text", "{broken": "text"}
     assert {t: formats.sniff_text(t) for t in kinds} == kinds

@@ -16,6 +16,9 @@ DOCS = [
     ("t", "Mail ana.pereira@corp.example today.", "text"),
     ("n", '{"ssn": 536904399, "total": 12.50, "age": 31, "customer": {"pin": 123456}}', "json"),
     ("p", '{"applicant_name": "Ana Pereira", "applicant_email": "a@corp.example", "spouse_name": "Rui Costa", "spouse_email": "r@corp.example"}', "json"),
+    ("f", '<form><field><name>email</name><value>ana.pereira@corp.example</value></field><field><name>ssn</name><value>536-90-4399</value></field><field><name>plan</name><value>pro</value></field></form>', "xml"),
+    ("g", '[{"label": "Phone", "answer": "458 555 2333"}, {"key": "password", "value": "hunter2x"}, {"name": "ssn", "key": "email", "value": "two labels"}]', "json"),
+    ("h", "<note><!--ana.pereira@corp.example--><![CDATA[ana.pereira@corp.example]]> ana.per<b>eira</b>&#64;corp.example <who>Ana</who></note>", "xml"),
     ("bad", "{", "json"),
     ("empty", "", "text"),
     ("null", None, "text"),
@@ -44,6 +47,19 @@ def test_formats_keep_their_structure_and_people_their_persona(out):
     assert out["bad"].output is None and out["bad"].problem and out["empty"].output == "" == out["null"].output
 
 
+def test_labels_name_the_fields_beside_them(out):
+    form = out["f"].output
+    assert "ana.pereira" not in form and "536-90-4399" not in form and "<name>email</name>" in form and "<value>pro</value>" in form
+    got = json.loads(out["g"].output)
+    assert got[0]["answer"] != "458 555 2333" and got[0]["label"] == "Phone" and got[1]["value"] != "hunter2x" and got[2]["key"] == "email" and got[2]["value"] == "two labels"
+
+
+def test_xml_is_changed_at_its_places(out):
+    note = out["h"].output
+    new = note.split("<!--")[1].split("-->")[0]
+    assert "pereira" not in note and note == f"<note><!--{new}--><![CDATA[{new}]]> {new}<b></b> <who>Ana</who></note>"
+
+
 def test_numbers_stay_numbers(out):
     got = json.loads(out["n"].output)
     assert got["total"] == 12.5 and isinstance(got["ssn"], int) and got["ssn"] != 536904399 and len(str(got["ssn"])) == 9 and '"total": 12.50' in out["n"].output

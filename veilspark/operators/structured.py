@@ -7,7 +7,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import checks, draw, keys
@@ -26,7 +26,7 @@ def read(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kind: str
 
     Documents that cannot be read have one leaf with ``problem``.
     """
-    found = leaves.leaves(docs, doc_id, text, kind, nested=False)
+    found = labelled(leaves.leaves(docs, doc_id, text, kind, nested=False))
     found = found.withColumn("field", F.concat_ws(":", "kind", F.regexp_replace("path", r"\[\d+\]", "[]")))
     seen = detect.detect_leaves(found.withColumn("key", F.when(F.col("kind") != "key", F.col("key"))), bank)
     whole = F.get(F.filter("spans", lambda s: (s["start"] == 0) & (s["end"] == F.length("text"))), F.lit(0))
@@ -40,6 +40,26 @@ def read(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kind: str
     return told.select(*found.columns, F.when(keep, F.filter("spans", lambda s: F.lit(False))).otherwise(spans).alias("spans"))
 
 
+# Keys of a pair of fields of which one names the other.
+LABELS = ("name", "key", "field", "label", "fieldname", "id", "attribute", "property")
+VALUES = ("value", "val", "content", "answer", "fieldvalue")
+
+
+def labelled(found: DataFrame) -> DataFrame:
+    """Leaves whose key only says that they are a value take the name that the one label beside them gives: ``<name>ssn</name><value>…</value>``, ``{"key": "email", "value": …}``.
+
+    A label is a field's name as such, or written like one; it is no value itself. A record with two labels names nothing. Records are numbered inside a document, so a window is never larger than one of them.
+    """
+    name = keys.compact(F.col("key"))
+    value = F.col("kind").isin("value", "number", "text", "attribute") & name.isin(*VALUES)
+    spoken = keys.header(F.col("text")).isNotNull() | F.col("text").rlike(r"^[a-z][a-z0-9]*([_. -]?[A-Za-z0-9]+){0,5}$")
+    told = F.when(F.coalesce(F.col("kind").isin("value", "text", "attribute") & name.isin(*LABELS) & spoken, F.lit(False)), F.col("text"))
+    beside = Window.partitionBy("doc_id", F.coalesce(F.try_element_at("record_ids", F.lit(-1)), -F.col("leaf_id")))
+    pair = (F.count(told).over(beside) == 1) & (F.count_if(value).over(beside) > 0)
+    label = F.when(pair & value, F.max(told).over(beside)).when(pair & told.isNotNull(), F.lit("fieldname"))
+    return found.withColumn("label__", label).withColumn("key", F.coalesce("label__", "key")).drop("label__")
+
+
 def owned(found: DataFrame) -> DataFrame:
     """``found`` with ``person``: the folded name of whoever a leaf is about, null if no one.
 
@@ -93,7 +113,7 @@ def _written(text: str, kind: str, changes: list[dict]) -> str:
     if kind in ("json", "jsonl"):
         return jsonsource.patched(text, [(c["start"], c["end"], "number" if c["kind"] == "number" else "value", c["new"]) for c in changes])
     if kind == "xml":
-        return xmlsource.written(text, {c["text"]: c["new"] for c in changes})
+        return xmlsource.patched(text, [(c["leaf_id"], e["start"], e["end"], e["new"]) for c in changes for e in c["edits"]])
     if kind == "csv":
         delimiter, quote = csvsource.sniff(text)
         rows = csvsource.parse(text, delimiter, quote)
@@ -119,8 +139,15 @@ def pseudonymise_documents(docs: DataFrame, seed: str, doc_id: str = "doc_id", t
     scratch = Scratch(docs.sparkSession)
     found = scratch.save(read(docs, doc_id, text, kind, bank), "leaves")
     changed = scratch.save(replaced(owned(found), seed, scratch=scratch), "changed")
-    problems = found.where("kind = 'problem'").select("doc_id", "problem")
-    changes = changed.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "kind", "path", "text", "new")).alias("changes"), F.sum(F.size("edits")).alias("n_values"))
+    return rewritten(docs, changed, found.where("kind = 'problem'").select("doc_id", "problem"), doc_id, text, kind)
+
+
+def rewritten(docs: DataFrame, changed: DataFrame, problems: DataFrame, doc_id: str = "doc_id", text: str = "text", kind: str | None = None) -> DataFrame:
+    """Documents in their own formats with the leaves of ``changed`` (as ``replaced`` gives them) written anew: doc_id, output, n_values, problem.
+
+    All but the edited characters is as it was. A change whose place cannot be found makes a problem of its document, which then has no output.
+    """
+    changes = changed.groupBy("doc_id").agg(F.collect_list(F.struct("leaf_id", "start", "end", "kind", "path", "text", "new", "edits")).alias("changes"), F.sum(F.size("edits")).alias("n_values"))
     rows = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), (F.col(kind) if kind else F.lit(None).cast("string")).alias("format"))
     joined = rows.join(changes, "doc_id", "left").join(problems, "doc_id", "left")
 
@@ -128,9 +155,16 @@ def pseudonymise_documents(docs: DataFrame, seed: str, doc_id: str = "doc_id", t
         from ..sources import formats
 
         for batch in batches:
-            out = []
+            out, why = [], []
             for body, form, changes, problem in zip(*(batch.column(c).to_pylist() for c in ("text", "format", "changes", "problem"))):
-                out.append(None if problem is not None else _written(body, form or formats.sniff_text(body), changes) if changes else body)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "output": pa.array(out, pa.string()), "n_values": batch.column("n_values"), "problem": batch.column("problem")})
+                made = None
+                if problem is None:
+                    try:
+                        made = _written(body, form or formats.sniff_text(body), changes) if changes else body
+                    except (jsonsource.BadJSON, csvsource.BadCSV, xmlsource.BadXML, IndexError) as e:
+                        problem = f"not_written: {e}"
+                out.append(made)
+                why.append(problem)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "output": pa.array(out, pa.string()), "n_values": batch.column("n_values"), "problem": pa.array(why, pa.string())})
 
     return joined.select("doc_id", "text", "format", "changes", F.coalesce("n_values", F.lit(0)).cast("long").alias("n_values"), "problem").mapInArrow(write, "doc_id string, output string, n_values long, problem string")

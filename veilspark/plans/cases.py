@@ -393,7 +393,7 @@ _python("csv_dialect", [("a;b\n1;2\n", ";"), ("a\tb\n1\t2\n", "\t"), ("a,b\n1,2\
 _python("csv_headed", [("name,email\nAna,a@b.co", "True"), ("Ana,a@b.co\nBo,b@b.co", "False"), ("n,x\n1,2", "True")], lambda t: str(csvsource.header(csvsource.parse(t), leaves.hinted)))
 _python("csv_written", [("a,b;c\n", '"a";"b;c"'), ("x,y\n", '"x";"y"')], lambda t: ";".join(csvsource.quoted(c, ";", '"', True) for c in csvsource.parse(t)[0]))
 _python("xml_leaves", [('<a k="v"><b>t</b><!--c--></a>', "attribute:k:v|text:b:t|comment::c"), ("<a", "refused"), ("<!DOCTYPE a><a/>", "refused")], lambda t: _refusing(lambda: "|".join(f"{x.kind}:{x.key}:{x.text}" for x in xmlsource.leaves(t)), xmlsource.BadXML))
-_python("xml_written", [('<a k="Ana"><b> Ana </b>Anabel</a>', '<a k="Zo&amp;e"><b> Zo&amp;e </b>Anabel</a>')], lambda t: xmlsource.written(t, {"Ana": "Zo&e"}))
+_python("xml_written", [('<a k="Ana"><n> Ana </n>Anabel</a>', '<a k="Zo&amp;e"><n> Zo&amp;e </n>Anabel</a>')], lambda t: xmlsource.written(t, {"Ana": "Zo&e"}))
 _python("json_leaves", [('{"a": 9007199254740993.0, "a": ["x"]}', "key:a|number:9007199254740993.0|key:a|value:x"), ("{", "refused"), ("[" * 70 + "]" * 70, "refused")], lambda t: _refusing(lambda: "|".join(f"{x.kind}:{x.text}" for x in jsonsource.leaves(t)), jsonsource.BadJSON))
 _python("jsonl_records", [('{"a":"x"}\n\n{"a":{"b":"y"}}\n', "[0].a:1|[2].a.b:2,3")], lambda t: "|".join(f"{x.path}:{','.join(map(str, x.records))}" for x in jsonsource.line_leaves(t) if x.kind == "value"))
 _python("json_patched", [('{"a" : "x", "n":1.50}', '{"a" : "y\\"", "n":1.50}')], lambda t: jsonsource.patched(t, [(x.start, x.end, x.kind, 'y"') for x in jsonsource.leaves(t) if x.text == "x"]))

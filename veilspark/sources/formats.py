@@ -47,7 +47,7 @@ def sniff_text(text: str) -> str:
             json.loads(body)
             return "json"
         except ValueError:
-            lines = [x for x in body.splitlines() if x.strip()]
+            lines = [x for x in body.split("\n") if x.strip()]
             try:
                 return "jsonl" if len(lines) > 1 and all(isinstance(json.loads(x), (dict, list)) for x in lines) else "text"
             except ValueError:

@@ -103,13 +103,13 @@ def leaves(text: str) -> list[Leaf]:
 def line_leaves(text: str) -> Iterator[Leaf]:
     """Leaves of JSON Lines; the path opens with the line's number, and places are those of the whole text."""
     at, shift = 0, 0
-    for n, line in enumerate(text.splitlines(keepends=True)):
+    for n, line in enumerate(text.split("\n")):  # nothing else ends a line: U+2028 and its like stand inside strings
         if line.strip():
             found = leaves(line)
             for f in found:
                 yield Leaf(f"[{n}]{f.path[1:]}", f.key, f.kind, f.start + at, f.end + at, f.text, tuple(r + shift for r in f.records))
             shift += max((r for f in found for r in f.records), default=0)
-        at += len(line)
+        at += len(line) + 1
 
 
 def spelled(leaf_kind: str, new: str) -> str:
