@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import checks, draw
-from .operators import detect, fields, pseudonymise, review, structured
+from .operators import detect, fields, pseudonymise, review, structured, tables
 from .operators.detect import Pattern
-from .sources import formats, leaves
+from .sources import formats, leaves, splits
 
-__all__ = ["Pattern", "detect", "fields", "leaves", "mask_column", "read_files", "pseudonymise", "pseudonymise_files", "register_views", "review", "structured", "with_patterns"]
+__all__ = ["Pattern", "detect", "fields", "leaves", "mask_column", "read_files", "pseudonymise", "pseudonymise_files", "read_large", "register_functions", "register_views", "review", "structured", "with_patterns"]
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -21,6 +21,18 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return good.unionByName(bad)
 
 
+def read_large(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """Leaves of files of any size, of which many tasks read ranges: ``csv``, ``jsonl`` or ``text`` (a leaf for each line)."""
+    if kind == "csv":
+        return splits.csv_leaves(spark, path)
+    if kind == "jsonl":
+        return splits.json_lines(spark, path)
+    if kind != "text":
+        raise ValueError(f"{kind} files are not read by ranges")
+    rows = splits.lines(spark, path).withColumn("doc_id", F.concat_ws("#", "path", "block", "at"))
+    return leaves.leaves(rows.withColumn("kind", F.lit("text")), text="value", kind="kind")
+
+
 def pseudonymise_files(spark: SparkSession, path: str, seed: str) -> DataFrame:
     """Files of a folder pseudonymised in their own formats: path, output, n_values, problem; refused files have only a problem."""
     files = formats.read(spark, path)
@@ -55,3 +67,12 @@ def register_views(spark: SparkSession, docs: DataFrame, text: str = "text", key
 def luhn(df: DataFrame, column: str) -> DataFrame:
     """``df`` with whether a column's digits pass the mod-10 check."""
     return df.withColumn(f"{column}_luhn", checks.luhn(checks.digits(F.col(column))))
+
+
+def register_functions(spark: SparkSession) -> None:
+    """Table functions for SQL, to be joined laterally: ``pii_spans(text)`` and ``pii_leaves(document, format)`` (a null format is sniffed).
+
+    ``select d.doc_id, s.* from documents d, lateral pii_spans(d.text) s``
+    """
+    for name, function in tables.FUNCTIONS.items():
+        spark.udtf.register(name, function)

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import api
 from ..functions import keys
 from ..operators import structured
-from ..sources import leaves
+from ..sources import leaves, splits
+from ..sources.scratch import Scratch
 from . import portable as P
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -86,3 +88,53 @@ with f as (select c_custkey, unnest([{'i': 0, 'k': 'email', 'e': 'EMAIL_ADDRESS'
     {'i': 2, 'k': 'Phone Number', 'e': 'PHONE_NUMBER', 'v': '+1 458 555 ' || lpad(cast(c_custkey % 10000 as varchar), 4, '0')}]) as f from customer)
 select c_custkey, '$.fields[' || f.i || '].value' as path, f.k as key, f.e as entity, f.v as text from f
 union all select c_custkey, '$.fields[' || f.i || '].name', 'fieldname', null, f.k from f"""
+
+
+def csv_by_ranges(spark, sf):
+    """Documents written as CSV and read back by ranges: every text is whole, whatever lines and quotes it holds."""
+    scratch = Scratch(spark)
+    docs = P.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "lang", "text")
+    cell = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    docs.select(F.concat_ws(",", cell("doc_id"), cell("lang"), cell("text")).alias("value")).write.text(f"{scratch.root}/documents.csv")
+    rows = splits.csv_rows(spark, f"{scratch.root}/documents.csv", ",", '"')
+    return rows.select(F.col("cells")[0].cast("long").alias("doc_id"), F.col("cells")[1].alias("lang"), F.sha2(F.col("cells")[2].cast("binary"), 256).alias("sha256"))
+
+
+QUERIES["csv_by_ranges"] = csv_by_ranges
+ORACLE_SQL["csv_by_ranges"] = "select doc_id, coalesce(lang, '') as lang, sha256(coalesce(text, '')) as sha256 from documents"
+
+
+def json_lines_by_ranges(spark, sf):
+    """Turns of conversations written as JSON Lines and read back by ranges: leaves by key."""
+    scratch = Scratch(spark)
+    P.table(spark, sf, "conversations").select("conv_id", "role", "text").write.json(f"{scratch.root}/turns.jsonl")
+    found = splits.json_lines(spark, f"{scratch.root}/turns.jsonl").where("kind in ('value', 'number', 'problem')")
+    return found.groupBy("key", "kind").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+QUERIES["json_lines_by_ranges"] = json_lines_by_ranges
+ORACLE_SQL["json_lines_by_ranges"] = " union all ".join(
+    f"select '{c}' as key, '{kind}' as kind, count(*) as n, cast(sum(length(cast({c} as varchar))) as bigint) as chars from conversations where {c} is not null" for c, kind in (("conv_id", "number"), ("role", "value"), ("text", "value"))
+)
+
+
+def sql_spans(spark, sf):
+    """Emails of documents by the table function, in plain SQL."""
+    api.register_functions(spark)
+    P.table(spark, sf, "documents").createOrReplaceTempView("veil_documents")
+    return spark.sql("select d.doc_id, s.entity, s.value, count(*) as n from veil_documents d, lateral pii_spans(d.text) s where s.entity = 'EMAIL_ADDRESS' group by all")
+
+
+QUERIES["sql_spans"] = sql_spans
+ORACLE_SQL["sql_spans"] = f"select doc_id, entity, value, count(*) as n from ({P.sql_matched('EMAIL_ADDRESS', 'doc_id')}) group by all"
+
+
+def sql_leaves(spark, sf):
+    """Leaves of the events' properties by the table function, in plain SQL."""
+    api.register_functions(spark)
+    P.table(spark, sf, "events").createOrReplaceTempView("veil_events")
+    return spark.sql("select e.event_id, l.path, l.text from veil_events e, lateral pii_leaves(e.props, 'json') l where l.kind in ('number', 'value')")
+
+
+QUERIES["sql_leaves"] = sql_leaves
+ORACLE_SQL["sql_leaves"] = "select event_id, '$.' || k as path, json_extract_string(props, '$.' || k) as text from (select event_id, props, unnest(json_keys(props)) as k from events)"
