@@ -8,10 +8,10 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import checks, draw, identifiers, keys
-from ..functions import text as T
-from ..operators import associate, detect, fields, people, readers, review, structured, verify
-from ..sources import csvsource, formats, jsonsource, leaves, xmlsource
+from veilspark.functions import checks, draw, identifiers, keys
+from veilspark.functions import text as T
+from veilspark.operators import associate, detect, distinct, fields, people, readers, review, structured, verify
+from veilspark.sources import csvsource, formats, jsonsource, leaves, xmlsource
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -368,8 +368,7 @@ def standins_apart(spark):
     made = spark.range(3000).select(F.explode(F.map_from_arrays(F.array(*map(F.lit, ("PERSON", "PHONE_NUMBER", "IP_ADDRESS", "EMAIL_ADDRESS"))), F.array(
         F.concat(F.lit("Person N"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")), F.concat(F.lit("+1 (458) 222-"), F.lpad(F.col("id").cast("string"), 4, "0")),
         F.concat_ws(".", F.lit("24"), F.lit("5"), (F.col("id") / 256).cast("int").cast("string"), (F.col("id") % 256).cast("string")), F.concat(F.lit("u"), F.col("id").cast("string"), F.lit("@corp.example"))))).alias("entity", "original"))
-    kinds = ["PERSON", "PHONE_NUMBER", "IP_ADDRESS", "EMAIL_ADDRESS"]
-    drawn = draw.kept_apart(draw.stand_ins(made.select(F.lit("dataset").alias("scope"), "entity", "original"), SEED, kinds))
+    drawn = distinct.met(distinct.stand_ins(made.select(F.lit("dataset").alias("scope"), "entity", "original"), SEED))
     return drawn.groupBy("entity").agg(F.count_distinct("original").alias("originals"), F.count_distinct("stand_in").alias("stand_ins"))
 
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import checks, identifiers, keys, links
-from ..operators import associate, names, records, review
+from veilspark.functions import checks, identifiers, keys, links
+from veilspark.operators import associate, names, records, review
 from .cases import _NATIONAL, SEED, _case, _of
 
 

@@ -77,8 +77,8 @@ def labelled(text: Column) -> Column:
 
 def pairs(text: Column) -> Column:
     """Spans of values in object literals, settings and assignments (``"key": "value"``, ``key: 'value'``, ``KEY=value``) whose key says what they are."""
-    quoted = r"""["']?[A-Za-z_][\w.-]{1,40}["']?\s{0,3}(?:=>|[:=])\s{0,3}["'][^"'\n]{1,200}(?=["'])"""
-    bare = r"(?m)^(?:export )?[A-Z][A-Z0-9_]{1,40}=[^\s\"'#]+"
+    quoted = r"""["']?[A-Za-z_][\w.-]+["']?\s{0,3}(?:=>|[:=])\s{0,3}["'][^"'\n]+(?=["'])"""
+    bare = r"(?m)^(?:export )?[A-Z][A-Z0-9_]+=[^\s\"'#]+"
 
     def read(pattern: str, value: str) -> Column:
         found = F.transform(S.matches(text, pattern), lambda m: _tail(m, F.regexp_extract(m["value"], value, 1), keys.hint(F.regexp_extract(m["value"], r"^(?:export )?[\"']?([A-Za-z_][\w.-]*)", 1)), 0.95))

@@ -14,13 +14,15 @@ from . import detect, lexicon, people
 ROUNDS = 3
 #: Words that are too common to be hunted as a part of a name.
 LEAST_PART = 4
+#: Runs of digits that may be a number's spelling.
+NUMBERS = (r"\+?[0-9][0-9 ().-]{5,}[0-9]", None, False)
 
 
 def variants(originals: DataFrame) -> DataFrame:
     """(scope, entity, original, form, folded): other spellings of originals (scope, entity, original).
 
-    Names: parts, joined handles, initial with surname; emails: local parts; numbers of seven digits or more: the digits alone and the
-    last four; dates: other orders.
+    Names: parts, joined handles, initial with surname; emails: local parts; numbers of seven digits or more: the digits
+    alone; dates: other orders.
     """
     p = people.parts(F.col("original"))
     first, last = F.element_at(p, 1), F.element_at(p, -1)
@@ -47,7 +49,7 @@ def leaks(outputs: DataFrame, originals: DataFrame) -> DataFrame:
     """(leaf_id, start, end, entity, original, form, value) where outputs (scope, leaf_id, text) still show an original of their scope in any spelling."""
     v = variants(originals)
     words = lexicon.hits(outputs, v.where("form <> 'digits'"))
-    runs = scan.matches(F.col("text"), [(r"\+?[0-9][0-9 ().-]{5,}[0-9]", None, False)])
+    runs = scan.matches(F.col("text"), [NUMBERS])
     numbers = outputs.select("scope", "leaf_id", F.explode(runs).alias("m")).select("scope", "leaf_id", "m.start", "m.end", "m.value", checks.digits(F.col("m.value")).alias("folded"))
     numbers = numbers.join(v.where("form = 'digits'"), ["scope", "folded"])
     columns = ["leaf_id", "start", "end", "entity", "original", "form", "value"]

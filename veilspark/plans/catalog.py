@@ -7,11 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import pseudonymise
-from . import cases, detection, formats, masking, portable, reports
-from . import rules as _rules  # noqa: F401  (adds its queries to those of cases)
+from . import applied, detection, formats, masking, portable, reports
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = detection.QUERIES | masking.QUERIES | formats.QUERIES | reports.QUERIES | cases.QUERIES
-ORACLE_SQL: dict[str, str] = detection.ORACLE_SQL | masking.ORACLE_SQL | formats.ORACLE_SQL | reports.ORACLE_SQL | cases.ORACLE_SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = detection.QUERIES | masking.QUERIES | formats.QUERIES | reports.QUERIES | applied.QUERIES
+ORACLE_SQL: dict[str, str] = detection.ORACLE_SQL | masking.ORACLE_SQL | formats.ORACLE_SQL | reports.ORACLE_SQL | applied.ORACLE_SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,10 +89,16 @@ QUERIES["bank_spans"] = bank_spans
 
 
 def key_hints(spark, sf):
-    """What the columns of the tables are called after."""
-    names = sorted({c for t in ("customer", "orders", "supplier", "part", "documents", "events", "nation", "region") for c in P.table(spark, sf, t).columns})
-    df = spark.createDataFrame([(n,) for n in names], "name string")
-    return df.select("name", F.array_join(keys.words(F.col("name")), " ").alias("words"), keys.hint(F.col("name")).alias("entity"), keys.structural(F.col("name")).alias("structural"))
+    """What the columns of the tables are called after, and how many values each has."""
+    parts = []
+    for t in ("customer", "orders", "supplier", "part", "documents", "events", "nation", "region"):
+        df = P.table(spark, sf, t)
+        counts = df.agg(*(F.count(c).alias(c) for c in df.columns))
+        parts.append(counts.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, df.columns)), F.array(*df.columns))).alias("name", "n")))
+    df = parts[0]
+    for part in parts[1:]:
+        df = df.unionByName(part)
+    return df.select("name", "n", F.array_join(keys.words(F.col("name")), " ").alias("words"), keys.hint(F.col("name")).alias("entity"), keys.structural(F.col("name")).alias("structural"))
 
 
 QUERIES["key_hints"] = key_hints
