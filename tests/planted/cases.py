@@ -423,17 +423,3 @@ def files_pseudonymised(spark):
     docs = spark.createDataFrame(_FILES, "doc_id string, kind string, text string")
     out = structured.pseudonymise_documents(docs, SEED, kind="kind")
     return out.select("doc_id", (~F.col("output").rlike("Pereira|Costa|corp[.]example")).alias("hidden"), F.col("output").contains("pro").alias("kept"), F.col("problem").isNotNull().alias("problem"))
-
-
-def files_customers(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers as JSON documents: names and phones change, one stand-in for each name, all else stays as it was spelled."""
-    c = spark.read.parquet(f"{sf}/customer.parquet")
-    docs = c.select(F.col("c_custkey").cast("string").alias("doc_id"), F.to_json(F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))).alias("text"), F.lit("json").alias("kind"))
-    out = structured.pseudonymise_documents(docs, SEED, kind="kind").select("doc_id", F.get_json_object("output", "$.name").alias("name"), F.get_json_object("output", "$.id").alias("id"), F.get_json_object("output", "$.segment").alias("segment"))
-    apart = out.agg(F.count_distinct("name").alias("names"))
-    counts = out.join(c.select(F.col("c_custkey").cast("string").alias("doc_id"), "c_name"), "doc_id").groupBy("segment").agg(F.count("*").alias("n"), F.sum((F.col("id") == F.col("doc_id")).cast("long")).alias("ids_kept"), F.sum((F.col("name") != F.col("c_name")).cast("long")).alias("names_changed"))
-    return counts.join(F.broadcast(apart))  # one row
-
-
-QUERIES["files_customers"] = files_customers
-ORACLE_SQL["files_customers"] = "select c_mktsegment as segment, count(*) as n, count(*) as ids_kept, count(*) as names_changed, (select count(distinct c_name) from customer) as names from customer group by c_mktsegment"

@@ -1,5 +1,7 @@
 """Planted rows of rules and of the registry against what their SQL twins state, and what odd rows give."""
 
+from concurrent.futures import ThreadPoolExecutor
+
 import duckdb
 import pytest
 
@@ -11,13 +13,20 @@ from .planted import cases, rules  # noqa: F401
 NAMES = sorted(cases.QUERIES)
 
 
+@pytest.fixture(scope="module")
+def results(spark):
+    """All planted queries; several at a time, as each is a small job."""
+    with ThreadPoolExecutor(6) as pool:
+        return dict(zip(NAMES, pool.map(lambda n: (lambda df: (df.columns, df.collect()))(cases.QUERIES[n](spark, "")), NAMES)))
+
+
 @pytest.mark.parametrize("name", NAMES)
-def test_planted_rows(spark, name):
-    got = cases.QUERIES[name](spark, "")
+def test_planted_rows(results, name):
+    columns, rows = results[name]
     want = duckdb.sql(cases.ORACLE_SQL[name])
-    assert got.columns == want.columns
+    assert columns == want.columns
     as_text = lambda rows: sorted(repr(tuple(None if x is None else str(x) for x in r)) for r in rows)
-    assert as_text(got.collect()) == as_text(want.fetchall())
+    assert as_text(rows) == as_text(want.fetchall())
 
 
 def test_kinds_have_names_of_their_own():
