@@ -2,8 +2,8 @@
 
 A text is split by the tokenizer's pattern. Words that the task does not know yet go, as rows (word, position, token), into a recursive
 query: each step joins neighbouring tokens with the merge table, picks each word's lowest rank (leftmost of equals) and
-contracts that pair, until no word has a pair left; the tokens in order are the word's ids. Ids are decoded by another query, which puts the
-vocabulary's bytes in the ids' place and joins them in order. Known words are kept between batches and tasks, in bounded number.
+contracts that pair, until no word has a pair left; the tokens in order are the word's ids. Ids are decoded by another query, which joins the
+vocabulary to their rows and aggregates its bytes in order. Known words are kept between batches and tasks, in bounded number.
 
 Words of more than ``SHORT`` bytes make the same merges in the same order in fewer steps: a step contracts a word's lowest pair at one place
 after the other, from left to right, and ends after the first contraction that makes a pair of lower rank, be it with a neighbour as it stood or with
@@ -30,6 +30,8 @@ CACHE = 300_000
 SHORT = 64
 #: Bytes of text whose new words are learnt together.
 TEXT = 1 << 22
+#: Tokens that one query decodes.
+TOKENS = 1 << 18
 #: Bytes of words that one recursive query encodes.
 STEP = 1 << 18
 
@@ -37,12 +39,9 @@ _NEIGHBOURS = """
     select word, pos, token, lag(pos) over w as back, lag(token) over w as before, lead(token) over w as after, lead(token, 2) over w as beyond
     from merging where not done window w as (partition by word order by pos)
 """
-_RESULT = "select list(token) as ids from (select word, token from merging where done order by word, pos) group by word order by word"
-#: The vocabulary's bytes, in hexadecimal, joined in the order of the ids (counted from 1 here).
-DECODE = """
-    select case when ids is not null then unhex(coalesce(array_to_string(list_select((select hexes from vocabulary), ids), ''), '')) end as decoded
-    from given order by doc
-"""
+_RESULT = "select list(token order by pos) as ids from merging where done group by word order by word"
+#: The vocabulary's bytes, in hexadecimal, joined in the order of the ids.
+DECODE = "select doc, unhex(string_agg(hex, '' order by pos)) as decoded from given join vocabulary using (id) group by doc order by doc"
 #: Each step contracts the leftmost lowest pair of each word.
 MERGE = f"""
 with recursive merging as (
@@ -123,12 +122,9 @@ class Encoder:
         self.sql = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
         self.pattern = regex.compile(pattern)
         self.sql.register("merges_in", pa.table({k: pa.array(v, pa.int64()) for k, v in merge_rows(ranks).items()}))
-        hexes = [""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            hexes[rank] = token.hex()
-        self.sql.register("vocabulary_in", pa.table({"hexes": pa.array([hexes], pa.list_(pa.string()))}))
+        self.sql.register("vocabulary_in", pa.table({"id": pa.array(ranks.values(), pa.int64()), "hex": pa.array([t.hex() for t in ranks], pa.string())}))
         self.sql.execute("create table merges as select (l << 32) | r as pair, m from merges_in")
-        self.sql.execute("create table vocabulary as select hexes from vocabulary_in")
+        self.sql.execute("create table vocabulary as select id, hex from vocabulary_in")
         self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
         self.ids: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -178,12 +174,16 @@ class Encoder:
 
     def decode(self, ids: pa.ListArray) -> pa.Array:
         """The bytes that each list of ids stands for."""
-        ends = np.cumsum(np.concatenate([[0], pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)]))
-        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pc.add(pc.fill_null(ids.flatten().cast(pa.int64()), -1), 1), mask=pc.is_null(ids))
-        self.sql.register("given", pa.table({"doc": pa.array(range(len(ids)), pa.int64()), "ids": ids}))
-        decoded = self.sql.sql(DECODE).to_arrow_table().column("decoded").combine_chunks()
-        self.sql.unregister("given")
-        return decoded.cast(pa.binary())
+        sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+        doc, tokens = np.repeat(np.arange(len(ids)), sizes), pc.fill_null(ids.flatten().cast(pa.int64()), -1).to_numpy(zero_copy_only=False)
+        found: list[list[bytes]] = [[] for _ in range(len(ids))]
+        for lo in range(0, len(tokens), TOKENS):  # a long text goes in pieces
+            part = slice(lo, lo + TOKENS)
+            self.sql.register("given", pa.table({"doc": doc[part], "pos": np.arange(len(tokens[part])), "id": tokens[part]}))
+            for i, data in self.sql.sql(DECODE).fetchall():
+                found[i].append(data)
+            self.sql.unregister("given")
+        return pa.array([b"".join(x) if there else None for there, x in zip(ids.is_valid().to_pylist(), found)], pa.binary())
 
 
 _encoders: dict[tuple, Encoder] = {}
