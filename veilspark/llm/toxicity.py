@@ -23,8 +23,6 @@ from ._features import Words, held_out, split, training_rows, word_hashes
 
 #: Lengths in bytes of the word beginnings that may be lexicon entries.
 BEGINNINGS = (4, 5, 6)
-#: Entries of the mined lexicons, at most (the likeliest).
-ENTRIES = 4096
 #: Voters that share the entries of one kind.
 SHARES = 2
 RIDGE = 1e-3
@@ -71,7 +69,7 @@ def mine(rows: DataFrame) -> tuple[list[np.ndarray], float]:
     candidates = seen.where("kind >= 0 and n > 1").count()
     enough = np.log(10 * max(candidates, 1)) / -np.log(base)
     sure = seen.where((F.col("kind") >= 0) & (F.col("toxic") >= float(max(3.0, enough))) & (F.col("n") - F.col("toxic") <= F.col("n") / 50))
-    found = sure.orderBy(F.desc("toxic"), "kind", "entry").limit(ENTRIES).collect()
+    found = sure.select("kind", "entry").collect()  # all stand in three training texts or more, whose number has a bound
     return [np.sort(np.array([r.entry for r in found if r.kind == k], np.int64)) for k in range(_kinds())], float(base)
 
 
