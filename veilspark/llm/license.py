@@ -29,7 +29,12 @@ TEMPLATES = {
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "GPL-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-3.0": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
@@ -37,6 +42,18 @@ TEMPLATES = {
     "CC-BY-SA-4.0-notice": "Licensed under CC BY-SA 4.0.",
     "all-rights-reserved": "All rights reserved.",
 }
+# Words, in a row, without which a notice of one family is not that member of it.
+DECIDING = {
+    "GPL-3.0": ("gnu general public", "version 3"), "GPL-3.0-notice": ("gnu general public", "version 3"), "GPL-2.0": ("gnu general public", "version 2"), "GPL-2.0-notice": ("gnu general public", "version 2"),
+    "LGPL-2.1": ("lesser", "version 2.1"), "LGPL-3.0": ("lesser", "version 3"), "AGPL-3.0": ("affero", "version 3"),
+    "CC-BY-NC-4.0-notice": ("cc by-nc 4.0",), "CC-BY-4.0-notice": ("cc by 4.0",), "CC-BY-SA-4.0-notice": ("cc by-sa 4.0",),
+}
+# The conditions that follow the opening of a BSD licence.
+BSD_SOURCE = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"
+BSD_BINARY = "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"
+BSD_NAMES = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+#: Words after the opening in which its conditions stand.
+CONDITIONS = 160
 _WORD = re.compile(r"\w+(?:[.-]\w+)*")
 #: Each template has one of these words, and passages are taken around them.
 TRIGGERS = frozenset(("license", "licensed", "licenses", "permission", "redistribution", "redistribute", "reserved"))
@@ -128,8 +145,31 @@ def _around(words: list[str], template: list[str], at: int) -> Iterator[tuple[fl
             yield _dense([*left, (at, j), *right], size)
 
 
+@lru_cache(maxsize=1)
+def _conditions() -> list[list[str]]:
+    return [[w for w, _, _ in words_of(text)] for text in (BSD_SOURCE, BSD_BINARY, BSD_NAMES)]
+
+
+def _member(name: str, words: list[str], first: int, last: int) -> tuple[str, int] | None:
+    """(template, last word) of an aligned stretch once its deciding words are read; none if they are missing. The opening of a BSD licence goes by the conditions after it."""
+    stretch = " " + " ".join(words[first : last + 1]) + " "
+    if not all(f" {x} " in stretch for x in DECIDING.get(name, ())):
+        return None
+    if name != "BSD":
+        return name, last
+    after = words[last + 1 : last + 1 + CONDITIONS]
+    met = [_dense(pairs, len(c)) if (pairs := align(after, c)) else (0, 0, 0) for c in _conditions()]
+    held = [share >= COVERAGE for share, _, _ in met]
+    if not held[0] or not held[1]:
+        return name, last
+    return ("BSD-3-Clause" if held[2] else "BSD-2-Clause"), last + 1 + max(end for (_, _, end), h in zip(met, held) if h)
+
+
 def scan(text: str, coverage: float = COVERAGE) -> list[tuple[int, int, str, float]]:
-    """(start, end, template, coverage) of the notices in a text, in order and without overlap; the one with most aligned words wins."""
+    """(start, end, template, coverage) of the notices in a text, in order and without overlap; the one with most aligned words wins.
+
+    Members of a family (GPL 2 and 3, the Creative Commons licences) are told by their deciding words, those of BSD by the conditions that follow the opening.
+    """
     if not _TRIGGER.search(text):
         return []
     found = words_of(text)
@@ -139,15 +179,22 @@ def scan(text: str, coverage: float = COVERAGE) -> list[tuple[int, int, str, flo
         for name, template in templates().items():
             if folded[at] in template:
                 for share, first, last in _around(folded, template, at):
-                    if share >= coverage:
-                        hits[name, first, last] = max(share, hits.get((name, first, last), 0))
+                    if share >= coverage and share >= hits.get((name, first, last), 0):
+                        hits[name, first, last] = share
     out: list[tuple[int, int, str, float]] = []
     order = sorted(hits.items(), key=lambda x: (-x[1] * len(templates()[x[0][0]]), -x[1], x[0][2] - x[0][1], x[0][1], x[0][0]))
-    taken: list[tuple[int, int]] = []
+    starts, ends = [], []  # of what is taken: disjoint, so both ascend together
     for (name, first, last), share in order:
-        if all(last < a or first > b for a, b in taken):
-            taken.append((first, last))
-            out.append((found[first][1], found[last][2], name, round(share, 4)))
+        k = bisect_left(ends, first)
+        if k < len(starts) and starts[k] <= last:
+            continue
+        told = _member(name, folded, first, last)
+        if told is None:
+            continue
+        end = max(last, min(told[1], starts[k] - 1) if k < len(starts) else told[1])
+        starts.insert(k, first)
+        ends.insert(k, end)
+        out.append((found[first][1], found[end][2], told[0], round(share, 4)))
     return sorted(out)
 
 
