@@ -380,9 +380,10 @@ def repeated(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, te
     whole = made.where(F.col("n_bytes") >= length).groupBy("digest").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "rid")).alias("first"))
     whole = scratch.save(whole.select("digest", "copies", F.col("first.doc_id").alias("first_id"), F.col("first.rid").alias("rid")), "whole")
     own = made.where(F.size("own") > 0).join(whole.select("rid"), "rid", "left_semi").select("rid", F.explode("own").alias("x")).select("rid", "x.s", "x.e")
-    blocks = made.join(whole.select("rid"), "rid", "left_semi").select("rid", "doc_id", F.posexplode("blocks").alias("i", "x")).select("rid", "doc_id", "i", "x.b", "x.runs")
-    kinds = blocks.groupBy("b").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "rid", "i")).alias("first")).where("n > 1")
-    known = blocks.join(kinds.select("b", F.col("first.rid").alias("rid1"), F.col("first.i").alias("i1")), "b", "left")
+    blocks = made.join(whole.select("rid"), "rid", "left_semi").select("rid", "doc_id", F.posexplode("blocks").alias("i", "x")).select("rid", "doc_id", "i", "x.b", F.xxhash64("x.runs.h", "x.runs.seg").alias("b2"), "x.runs")
+    # blocks are equal by 128 bits: their own digest, and one of their runs' digests
+    kinds = blocks.groupBy("b", "b2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "rid", "i")).alias("first")).where("n > 1")
+    known = blocks.join(kinds.select("b", "b2", F.col("first.rid").alias("rid1"), F.col("first.i").alias("i1")), ["b", "b2"], "left")
     copy = F.col("rid1").isNotNull() & ~((F.col("rid") == F.col("rid1")) & (F.col("i") == F.col("i1")))
     known = scratch.save(known.select("rid", "doc_id", "runs", copy.alias("copy"), F.col("rid1").isNotNull().alias("again")), "known")
     copied = known.where("copy" if keep_first else "again").select("rid", F.element_at("runs", 1)["s"].alias("s"), F.element_at("runs", -1)["e"].alias("e"))
