@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import checks, keys, links
 from ..functions import text as T
-from ..operators import associate, checked, detect, distinct, people, pseudonymise, readers, structured
+from ..operators import associate, checked, detect, distinct, entities, people, pseudonymise, readers, structured
 from ..sources import formats, leaves
 from ..sources.scratch import Scratch
 from . import portable as P
@@ -227,3 +227,15 @@ def files_customers(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES["files_customers"] = files_customers
 ORACLE_SQL["files_customers"] = "select c_mktsegment as segment, count(*) as n, count(*) as ids_kept, count(*) as names_changed, (select count(distinct c_name) from customer) as names from customer group by c_mktsegment"
+
+
+@_query("people_components", """
+with m as (select event_id, user_id, event_id % 3 as r from events)
+select event_id as mention, case when bool_or(r = 0) over (partition by user_id) then min(event_id) over (partition by user_id) else min(event_id) over (partition by user_id, r) end as person from m""")
+def people_components(spark, sf):
+    """Events as mentions of their users, some by mailbox, some by phone, some by both: the persons are the components."""
+    r, user = F.col("event_id") % 3, F.col("user_id")
+    mail, phone = F.concat(F.lit("u"), user, F.lit("@mail.example")), F.lpad(user.cast("string"), 9, "2")
+    none = F.lit(None).cast("string")
+    rows = P.table(spark, sf, "events").select(F.lit("d").alias("scope"), F.col("event_id").alias("mention"), none.alias("name"), F.when(r != 1, mail).alias("email"), F.when(r != 2, phone).alias("phone"), none.alias("handle"))
+    return entities.resolve(rows, Scratch(spark).save).select("mention", "person")
