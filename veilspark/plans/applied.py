@@ -235,7 +235,7 @@ select event_id as mention, case when bool_or(r = 0) over (partition by user_id)
 def people_components(spark, sf):
     """Events as mentions of their users, some by mailbox, some by phone, some by both: the persons are the components."""
     r, user = F.col("event_id") % 3, F.col("user_id")
-    mail, phone = F.concat(F.lit("u"), user, F.lit("@mail.example")), F.lpad(user.cast("string"), 9, "2")
+    mail, phone = F.concat(F.lit("u"), user, F.lit("@mail.example")), F.concat(F.lit("555"), F.lpad(user.cast("string"), 9, "0"))
     none = F.lit(None).cast("string")
     rows = P.table(spark, sf, "events").select(F.lit("d").alias("scope"), F.col("event_id").alias("mention"), none.alias("name"), F.when(r != 1, mail).alias("email"), F.when(r != 2, phone).alias("phone"), none.alias("handle"))
     return entities.resolve(rows, Scratch(spark).save).select("mention", "person")
