@@ -25,9 +25,16 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one of the smallest id."""
-    copies = minhash.near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near-duplicates stays: the one of the smallest id, rows without an id coming last.
+
+    Rows are told apart by a key of their own, so of rows that repeat both id and text one stays, and rows of one id with different texts are judged
+    each by its own text. Texts without words are copies of nothing: all of them stay.
+    """
+    rows = Scratch(spark).save(docs.withColumn("row__", F.monotonically_increasing_id()), "rows")
+    groups = minhash.near_duplicates(rows, doc_id="row__").select(F.col("doc_id").alias("row__"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", F.xxhash64("text").alias("tie"), "row__")
+    first = groups.join(rows.select("row__", order.alias("order__")), "row__").groupBy("component_id").agg(F.min("order__").alias("order__"))
+    return rows.join(first.select("order__.row__"), "row__", "left_semi").select(*docs.columns)
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
