@@ -44,6 +44,18 @@ def test_stages_take_odd_rows(spark):
     assert labels.count() <= 50
 
 
+def test_near_judges_rows_of_one_id_apart(spark):
+    words = [f"w{i}" for i in range(400)]
+    one, other, third = (" ".join(words[i : i + 100]) for i in (0, 120, 250))
+    near = one.replace("w50", "x50")
+    rows = [(1, one), (1, one), (2, other), (2, near), (None, near), (None, third), (3, third), (4, " "), (4, " "), (5, None)]
+    docs = spark.createDataFrame([(*r, "extra") for r in rows], "doc_id long, text string, n_rows string")
+    kept = corpus_pipeline.distinct(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, one), (2, other), (3, third), (4, " "), (4, " "), (5, None)], key=str)
+    assert corpus_pipeline.distinct(spark, docs.where("false"), SF).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql_twins(spark, name):
     con = duckdb.connect()
