@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import draw
+from ..functions import draw, maps
 from ..functions import spans as S
 from ..sources.scratch import Scratch
 from . import detect, distinct
@@ -29,24 +29,30 @@ def guarded(drawn: DataFrame, originals: DataFrame, seed: str) -> DataFrame:
     return met.select("scope", "entity", "original", F.when(F.col("hit"), other).otherwise(F.col("stand_in")).alias("stand_in"))
 
 
-def pseudonymise(docs: DataFrame, seed: str, text: str = "text", key: str = "doc_id", scope: str | None = None, bank: Sequence[detect.Pattern] = detect.BANK, apart: bool = True) -> DataFrame:
+def pseudonymise(docs: DataFrame, seed: str, text: str = "text", key: str = "doc_id", scope: str | None = None, bank: Sequence[detect.Pattern] = detect.BANK, apart: bool = True, through: Sequence[str] = maps.SHOWN) -> DataFrame:
     """One row per row of ``docs``: key, output, marks (places in the output), counts by entity, n_spans.
 
     ``scope`` names a column within which one value takes one stand-in; without it that is the whole input. Detection reads each text once,
     drawing runs once per distinct value, and edits are gathered per text. ``key`` must tell the rows apart. Numbers, machine
     addresses and ids take stand-ins by permutation, so different ones stay different; names, handles and mailboxes by wide draws. With ``apart`` the few draws that meet are told apart, and a
     stand-in that is another value's original moves on; without it a value's stand-in depends on nothing else.
+
+    Texts are searched as they are read through the layers ``through`` (``functions.maps``): without hidden characters and formatting inside words, and if asked for with
+    references and escapes resolved. Originals are what is read; edits are made where it is written, and keep its formatting.
     """
     where = F.lit("dataset") if scope is None else F.col(scope).cast("string")
     rows = docs.select(F.col(key).alias("key"), where.alias("scope"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     scratch = Scratch(docs.sparkSession)  # what is found and drawn is small beside the texts
-    spans = scratch.save(detect.detect(rows, bank).select("key", "scope", "spans").where(F.size("spans") > 0), "spans")
+    seen = rows.withColumn("seen", maps.read(F.col("text"), through)).withColumn("read", F.coalesce("seen.text", "text"))
+    found = detect.detect(seen, bank, text="read").where(F.size("spans") > 0)
+    spans = scratch.save(found.select("key", "scope", "spans", "seen", F.when(F.col("seen").isNotNull(), F.col("text")).alias("text")), "spans")
     values = found_values(spans, F.col("scope"))
     drawn = scratch.save(distinct.stand_ins(values, seed), "drawn")
     drawn = distinct.settled(distinct.met(drawn), values, seed, scratch) if apart else drawn
-    each = spans.select("key", "scope", F.explode("spans").alias("s"))
+    each = spans.select("key", "scope", "spans", maps.places(F.col("text"), F.col("seen"), F.col("spans")).alias("places")).select("key", "scope", F.explode(F.arrays_zip("spans", "places")).alias("x")).select("key", "scope", F.col("x.spans").alias("s"), F.col("x.places").alias("p"))
+    new = F.when(F.col("p.raw") != F.col("s.value"), maps.written_like(F.col("stand_in"), F.col("p.raw"), through)).otherwise(F.col("stand_in"))
     edits = each.join(drawn.select("scope", F.col("original").alias("value"), "stand_in"), (each["scope"] == drawn["scope"]) & (F.col("s.value") == F.col("value")), "left").select(
-        "key", F.struct(F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("stand_in").alias("new"), F.col("s.entity").alias("entity"), F.col("s.value").alias("original"), F.col("s.score").alias("score")).alias("edit")
+        "key", F.struct(F.col("p.start").alias("start"), F.col("p.end").alias("end"), new.alias("new"), F.col("s.entity").alias("entity"), F.col("s.value").alias("original"), F.col("s.score").alias("score")).alias("edit")
     )
     made = edits.groupBy("key").agg(F.array_sort(F.array_distinct(F.collect_list("edit"))).alias("edits"))
     return rows.join(made, "key", "left").select(F.col("key").alias(key), *_rendered(F.col("text"), F.coalesce("edits", F.array())))

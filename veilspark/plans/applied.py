@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import checks, keys, links
+from ..functions import checks, keys, links, maps
+from ..functions import spans as S
 from ..functions import text as T
 from ..operators import associate, checked, detect, distinct, entities, people, pseudonymise, readers, structured
 from ..sources import formats, leaves
@@ -123,6 +124,48 @@ def engine_no_leak(spark, sf):
     return values(docs).join(left, ["entity", "value"], "left").groupBy("entity").agg(F.count("*").alias("originals"), F.coalesce(F.sum("left_over"), F.lit(0)).cast("long").alias("left_over"))
 
 
+# ---- values written so that a reader sees them and a search does not, behind each page's own markup
+
+_DISGUISED = "'us<b>er</b>' || page_id || '&#64;qui' || chr(8203) || 'et.example'"
+_PLAIN = "'user' || page_id || '@quiet.example'"
+
+
+def _disguised(spark: SparkSession, sf: str) -> DataFrame:
+    raw = F.concat(F.lit("us<b>er</b>"), F.col("page_id").cast("string"), F.lit("&#64;qui\u200bet.example"))
+    return P.table(spark, sf, "pages").select("page_id", F.concat("html", F.lit("<p>Mail "), raw, F.lit(", <i>cc</i></p>")).alias("text"))
+
+
+def _disguised_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """(page_id, text, start, end, value, raw) of the disguised addresses that the bank finds through all layers."""
+    seen = _disguised(spark, sf).withColumn("seen", maps.read(F.col("text"), maps.LAYERS)).withColumn("read", F.coalesce("seen.text", "text"))
+    found = Scratch(spark).save(detect.detect(seen, text="read").select("page_id", "text", "seen", "spans"), "disguised")
+    placed = found.select("page_id", "text", "spans", maps.places(F.col("text"), F.col("seen"), F.col("spans")).alias("places"))
+    each = placed.select("page_id", "text", F.explode(F.arrays_zip("spans", "places")).alias("x"))
+    return each.select("page_id", "text", "x.places.start", "x.places.end", "x.spans.value", "x.places.raw").where(F.col("value").endswith("@quiet.example"))
+
+
+@_query("pages_disguised", f"select page_id, length(html) + 8 as start_at, length(html) + 8 + length({_DISGUISED}) as end_at, {_DISGUISED} as raw, {_PLAIN} as value from pages")
+def pages_disguised(spark, sf):
+    """Where disguised addresses stand in the markup, and what they read as."""
+    return _disguised_spans(spark, sf).select("page_id", F.col("start").cast("long").alias("start_at"), F.col("end").cast("long").alias("end_at"), "raw", "value")
+
+
+@_query("pages_disguised_replaced", "select page_id, sha256(html || '<p>Mail new.name@other.example<b></b>, <i>cc</i></p>') as output_sha256 from pages")
+def pages_disguised_replaced(spark, sf):
+    """A fixed value written where they stand: the markup around and inside stays, the rest of the page byte for byte."""
+    new = maps.written_like(F.lit("new.name@other.example"), F.col("raw"), maps.LAYERS)
+    edit = F.array(F.struct(F.col("start"), F.col("end"), new.alias("new")))
+    return _disguised_spans(spark, sf).select("page_id", F.sha2(S.apply_edits(F.col("text"), edit), 256).alias("output_sha256"))
+
+
+@_query("pages_disguised_gone", f"select page_id, {_PLAIN} as value, false as left_over, true as rest_kept from pages")
+def pages_disguised_gone(spark, sf):
+    """Pages through the whole operator: whether the output still reads as the address, and keeps what stood behind it."""
+    out = pseudonymise.pseudonymise(_disguised(spark, sf), P.SEED, key="page_id", through=maps.LAYERS)
+    seen = out.select("page_id", "output", maps.read(F.col("output"), maps.LAYERS).alias("seen"), F.concat(F.lit("user"), F.col("page_id").cast("string"), F.lit("@quiet.example")).alias("value"))
+    return seen.select("page_id", "value", F.contains(F.coalesce("seen.text", "output"), F.col("value")).alias("left_over"), F.col("output").endswith("<b></b>, <i>cc</i></p>").alias("rest_kept"))
+
+
 # ---- records and documents
 
 
