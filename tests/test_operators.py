@@ -120,3 +120,17 @@ def test_review(spark, tmp_path):
     names = F.array(F.lit("Ana Pereira"))
     row = spark.range(1).select(*(review.refused(F.lit(t), F.lit("PERSON"), F.lit("Ana"), names).alias(f"c{i}") for i, (t, _) in enumerate(typed))).first()
     assert list(row) == [w for _, w in typed]
+
+
+def test_numbers_beside_cards_and_phones(spark):
+    kinds = lambda text: [x for x in found(spark, text) if x[0] in ("CREDIT_CARD", "IP_ADDRESS", "PHONE_NUMBER")]
+    assert kinds("the 0810992847249404 thstin") == []  # passes the check, but no network's numbers open with 0
+    card, ip, phone = ("CREDIT_CARD", "4495589438270767"), ("IP_ADDRESS", "42.73.240.87"), ("PHONE_NUMBER", "+1 (843) 555-7672")
+    for text, want in (
+        ("the 4495589438270767 42.73.240.87 the", [card, ip]),
+        ("the 42.73.240.87 4495589438270767 the", [ip, card]),
+        ("pa un. +1 (843) 555-7672 170.106.47.218 Et", [phone, ("IP_ADDRESS", "170.106.47.218")]),
+        ("pay 4111-1111-1111-1111 42.73.240.87 now", [("CREDIT_CARD", "4111-1111-1111-1111"), ip]),
+        ("call +44 20 7946 0958 now", [("PHONE_NUMBER", "+44 20 7946 0958")]),
+    ):
+        assert kinds(text) == want, text

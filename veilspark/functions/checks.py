@@ -66,9 +66,9 @@ def card_network(value: Column) -> Column:
 
 
 def card(value: Column) -> Column:
-    """A written card number: 13 to 19 digits with a right check digit that are no time."""
+    """A written card number: 13 to 19 digits with a right check digit that are no time. No network's numbers open with 0."""
     d = digits(value)
-    return F.length(d).between(13, 19) & luhn(d) & ~epoch_milliseconds(d) & ~((F.length(d) >= 18) & d.startswith("1"))
+    return F.length(d).between(13, 19) & ~d.startswith("0") & luhn(d) & ~epoch_milliseconds(d) & ~((F.length(d) >= 18) & d.startswith("1"))
 
 
 def mod97(value: Column) -> Column:
