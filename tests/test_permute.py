@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions import checks, permute
 from veilspark.operators import distinct
+from veilspark.sources.scratch import Scratch
 
 KEY = permute.key("s", "d", "K")
 
@@ -83,3 +84,18 @@ def test_equal_draws_are_told_apart(spark):
     rows = [("d", "PERSON", f"Name {i}", "Avery Bo") for i in range(4)] + [("d", "PERSON", "name 1", "AVERY BO")]
     out = distinct.met(spark.createDataFrame(rows, "scope string, entity string, original string, stand_in string")).collect()
     assert len({r.stand_in.lower() for r in out}) == 4 and len(out) == 5
+
+
+def test_only_hashes_of_all_values_are_shuffled(spark, tmp_path):
+    """What is written beside the stand-ins names the few values that met or clash, however many there are."""
+    scratch = Scratch(spark)
+    rows = [("d", "PERSON", f"Name {i}", "Avery Bo" if i < 3 else f"Other {i}") for i in range(500)]
+    drawn = scratch.save(spark.createDataFrame(rows, "scope string, entity string, original string, stand_in string"), "drawn")
+    apart = distinct.met(drawn, scratch)
+    assert apart.select("stand_in").distinct().count() == 500
+    read = lambda name: spark.read.parquet(f"{scratch.root}/{name}").count()
+    assert (read("met-places"), read("met-told")) == (1, 2)
+    taken = spark.createDataFrame([("d", "PERSON", "OTHER 7"), ("d", "PERSON", "Name 1")], "scope string, entity string, original string")
+    out = distinct.settled(apart, taken, "s", scratch).select("stand_in").collect()
+    assert len(out) == 500 and "other 7" not in {r.stand_in.lower() for r in out}
+    assert read("both-0") == 1 and read("both-0-places") == 1

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import draw, keys, permute
+from ..sources.scratch import Scratch
 
 # Parts of invented names.
 ONSETS = "b br c d dr f g gr h k l m n p r s st t tr v w".split()
@@ -78,40 +79,57 @@ def stand_ins(values: DataFrame, seed: str) -> DataFrame:
     return made.select("scope", "entity", "original", F.coalesce("formed", out).alias("stand_in"))
 
 
-def met(drawn: DataFrame) -> DataFrame:
+def met(drawn: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """``drawn`` with the drawn kinds apart too: where values met, all but the first get a number.
 
-    Spellings of one value that differ in case or spaces alone are one value. Equal draws are as rare as their domains are wide, so a group is a few values.
+    Spellings of one value that differ in case or spaces alone are one value. Equal draws are as rare as their domains are wide, so a group is a few values. Where values may have met is told
+    by hashes, so that what is shuffled of all values is two numbers each; only the few that are named go through with their texts.
     """
+    scratch = scratch or Scratch(drawn.sparkSession)
     folded = F.lower(F.trim(F.regexp_replace("original", r"\s+", " ")))
     wide = drawn.where(F.col("entity").isin(*DRAWN)).withColumn("same", folded)
-    several = wide.groupBy("scope", "entity", F.lower("stand_in").alias("low")).agg(F.array_sort(F.collect_set("same")).alias("all")).where("size(all) > 1")
-    told = several.select("scope", "entity", F.posexplode("all").alias("k", "same")).where("k > 0")
+    place, low = F.xxhash64("scope", "entity", F.lower("stand_in")), F.lower("stand_in").alias("low")
+    hashed = wide.select(place.alias("place"), F.xxhash64("same").alias("h")).groupBy("place").agg(F.min("h").alias("least"), F.max("h").alias("most"))
+    some = scratch.save(hashed.where("least <> most").select("place"), "met-places")
+    several = wide.withColumn("place", place).join(some, "place", "left_semi").groupBy("scope", "entity", low).agg(F.array_sort(F.collect_set("same")).alias("all")).where("size(all) > 1")
+    told = scratch.save(several.select("scope", "entity", F.posexplode("all").alias("k", "same")).where("k > 0"), "met-told")
     rest = drawn.withColumn("same", folded).join(told, ["scope", "entity", "same"], "left")
     return rest.select("scope", "entity", "original", draw.widened(F.col("entity"), F.col("stand_in"), F.coalesce("k", F.lit(0))).alias("stand_in"))
 
 
-def settled(drawn: DataFrame, originals: DataFrame, seed: str, scratch, turns: int = 4) -> DataFrame:
+def _of_both(one: DataFrame, other: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(scope, low) that two tables of (scope, low) both have: by hashes first, then by the texts of the few that these name."""
+    place = F.xxhash64("scope", "low").alias("place")
+    sides = one.select(place, F.lit(1).alias("side")).union(other.select(place, F.lit(2).alias("side")))
+    places = scratch.save(sides.groupBy("place").agg(F.min("side").alias("a"), F.max("side").alias("b")).where("a < b").select("place"), f"{name}-places")
+    held = lambda df: df.where("low is not null").withColumn("place", F.xxhash64("scope", "low")).join(places, "place", "left_semi").select("scope", "low")
+    return held(one).join(held(other), ["scope", "low"], "left_semi").distinct()
+
+
+def settled(drawn: DataFrame, originals: DataFrame, seed: str, scratch: Scratch, turns: int = 4) -> DataFrame:
     """``drawn`` with no stand-in that is an original of its scope.
 
     Those that are move on along the permutation of their shape under the keys of further turns, each turn an equi-join of the few that are left with the originals and with
     what is taken. What no turn settles (forms of which all values are taken) is told by a mark at its end.
     """
-    known = originals.select("scope", F.lower("original").alias("low")).distinct()
+    known = originals.select("scope", F.lower("original").alias("low"))
     coarse = F.col("entity").isin(*draw.COARSE)
 
     def split(df: DataFrame, taken: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
-        hit = df.withColumn("low", F.lower("stand_in")).join(taken.withColumn("hit", F.lit(True)), ["scope", "low"], "left")
+        lowered = df.withColumn("low", F.lower("stand_in"))
+        both = scratch.save(_of_both(lowered.select("scope", "low"), taken, scratch, f"both-{turn}"), f"both-{turn}")
+        hit = lowered.join(both.withColumn("hit", F.lit(True)), ["scope", "low"], "left")
         hit = scratch.save(hit.select("scope", "entity", "original", "stand_in", (F.coalesce("hit", F.lit(False)) & ~(coarse & (F.lower("stand_in") != F.lower("original")))).alias("hit")), f"settled-{turn}")
         return hit.where("not hit").drop("hit"), hit.where("hit").drop("hit")
 
+    drawn = scratch.save(drawn, "unsettled")
     done, left = split(drawn, known, 0)
     for turn in range(1, turns + 1):
         if left.isEmpty():
             return done
         again = left.withColumn("stand_in", permute.stand_in(F.lit(f"TURN_{turn}"), F.col("stand_in"), F.col("scope"), seed))
-        taken = known.union(done.select("scope", F.lower("stand_in"))).distinct()
-        more, left = split(again, taken, turn)
+        taken = known.union(done.select("scope", F.lower("stand_in")))
+        more, left = split(scratch.save(again, f"again-{turn}"), taken, turn)
         done = done.unionByName(more)
     return done.unionByName(left.withColumn("stand_in", F.concat("stand_in", F.lit("-x"))))
 

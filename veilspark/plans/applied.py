@@ -239,9 +239,10 @@ def standin_distinct_ssn(spark, sf):
 def standin_distinct_people(spark, sf):
     """Names of customers and orders take names of their own, none of which is one of theirs."""
     name = lambda table, word, key: P.table(spark, sf, table).select(F.concat(F.lit(f"{word} N"), F.col(key)).alias("original"))
-    values = name("customer", "Customer", "c_custkey").union(name("orders", "Order", "o_orderkey")).select(F.lit("dataset").alias("scope"), F.lit("PERSON").alias("entity"), "original").distinct()
+    values = name("customer", "Customer", "c_custkey").union(name("orders", "Order", "o_orderkey")).select(F.lit("dataset").alias("scope"), F.lit("PERSON").alias("entity"), "original")
     scratch = Scratch(spark)
-    drawn = scratch.save(distinct.settled(distinct.met(distinct.stand_ins(values, P.SEED)), values, P.SEED, scratch), "drawn")
+    values = scratch.save(distinct.stand_ins(values, P.SEED), "first")  # one row for each value
+    drawn = distinct.settled(distinct.met(values, scratch), values, P.SEED, scratch)
     clashes = drawn.join(values.select(F.lower("original").alias("low")), F.lower("stand_in") == F.col("low"), "left_semi").agg(F.count("*").alias("clashes"))
     return drawn.agg(F.count("*").alias("originals"), F.countDistinct(F.lower("stand_in")).alias("stand_ins")).crossJoin(clashes)  # one row each
 
