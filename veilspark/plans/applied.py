@@ -43,8 +43,13 @@ def _pad(column: str, width: int) -> str:
 
 # ---- keys, texts and checks
 
-_column("keys_words", "part", "p_partkey", lambda: F.concat(F.initcap("p_name"), F.lit("_ID2")), "list_reduce(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), lambda a, b: a || ' ' || b) || '_ID2'",
-        lambda v: F.array_join(keys.words(v), " "), "lower(replace(v, '_', ' '))")
+_camel = lambda: F.replace(F.initcap("p_name"), F.lit(" "), F.lit(""))
+_CAMEL = "list_reduce(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), lambda a, b: a || b)"
+_parted = lambda: F.concat(F.initcap("p_name"), F.lit("_ID2"))
+_PARTED = "list_reduce(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), lambda a, b: a || ' ' || b) || '_ID2'"
+_column("keys_words", "part", "p_partkey", lambda: F.element_at(F.array(_parted(), F.concat(F.lit("billing"), _camel(), F.lit("ZipCode")), F.concat(F.lit("XMLHttp"), _camel()), F.concat(F.lit("straße-"), F.col("p_name"), F.lit(".nr.2")), F.lit("")), (F.col("p_partkey") % 5 + 1).cast("int")),
+        f"([{_PARTED}, 'billing' || {_CAMEL} || 'ZipCode', 'XMLHttp' || {_CAMEL}, 'straße-' || p_name || '.nr.2', ''])[p_partkey % 5 + 1]", lambda v: F.array_join(keys.words(v), " "),
+        r"case p_partkey % 5 when 0 then lower(replace(v, '_', ' ')) when 1 then lower(regexp_replace(v, '([a-z])([A-Z])', '\1 \2', 'g')) when 2 then 'xml http ' || lower(regexp_replace(substr(v, 8), '([a-z])([A-Z])', '\1 \2', 'g')) else replace(replace(replace(v, 'ß', 'ss'), '-', ' '), '.', ' ') end")
 _column("keys_folded", "conversations", "conv_id", lambda: F.col("text"), "text", lambda v: F.sha2(keys.plain(v), 256), "sha256(replace(replace(replace(replace(lower(strip_accents(v)), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe'), 'ø', 'o'))")
 _column("keys_person_prefix", "events", "event_id", lambda: F.concat_ws("_", F.element_at(F.array(F.lit("applicant"), F.lit("plan"), F.lit("spouse")), (F.col("event_id") % 3 + 1).cast("int")), "event_type"),
         "(['applicant', 'plan', 'spouse'])[event_id % 3 + 1] || '_' || event_type", keys.person_prefix, "case when v not like 'plan%' then split_part(v, '_', 1) end")
