@@ -68,7 +68,25 @@ _column("check_iban", "orders", "o_orderkey", lambda: F.concat(F.lit("DE"), F.lp
 _column("check_icao", "customer", "c_custkey", lambda: F.upper("c_name"), "upper(c_name)", lambda v: checks.icao(v).cast("int"),
         "cast(list_sum(list_transform(range(1, length(v) + 1), lambda i: (case when substr(v, i, 1) between '0' and '9' then ascii(substr(v, i, 1)) - 48 when substr(v, i, 1) between 'A' and 'Z' then ascii(substr(v, i, 1)) - 55 else 0 end) * ([7, 3, 1])[(i - 1) % 3 + 1])) % 10 as integer)")
 _column("check_verhoeff_single", "orders", "o_orderkey", lambda: _padded("o_orderkey", 8), _pad("o_orderkey", 8), lambda v: (checks.verhoeff(F.concat(v, F.lit("0"))).cast("int") + sum(checks.verhoeff(F.concat(v, F.lit(str(d)))).cast("int") for d in range(1, 10))), "1")
-_column("reader_dates", "orders", "o_orderkey", lambda: F.date_format("o_orderdate", "d MMMM yyyy"), "cast(day(o_orderdate) as varchar) || ' ' || monthname(o_orderdate) || ' ' || year(o_orderdate)", lambda v: readers.written_date(v).cast("string"), "strftime(strptime(v, '%-d %B %Y'), '%Y-%m-%d')")
+# English, German, French and Spanish, and a day that there is not
+_SPELLED = (
+    "January February March April May June July August September October November December", "Januar Februar März April Mai Juni Juli August September Oktober November Dezember",
+    "janvier février mars avril mai juin juillet août septembre octobre novembre décembre", "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre",
+)
+_MONTHS = "[" + ", ".join(str(x.split()) for x in _SPELLED) + "]"
+
+
+def _dates() -> Column:
+    day, year = F.dayofmonth("o_orderdate").cast("string"), F.year("o_orderdate").cast("string")
+    month = [F.element_at(keys.literals(x.split()), F.month("o_orderdate")) for x in _SPELLED]
+    forms = F.concat_ws(" ", day, month[0], year), F.concat(day, F.lit(". "), month[1], F.lit(" "), year), F.concat_ws(" ", F.lit("le"), day, month[2], year), F.concat_ws(" de ", day, month[3], year), F.concat(F.lit("31 February "), year)
+    return F.element_at(F.array(*forms), (F.col("o_orderkey") % 5 + 1).cast("int"))
+
+
+_column("reader_dates", "orders", "o_orderkey", _dates,
+        "case o_orderkey % 5 when 4 then '31 February ' || year(o_orderdate) when 0 then concat_ws(' ', day(o_orderdate), {m}, year(o_orderdate)) when 1 then day(o_orderdate) || '. ' || {m} || ' ' || year(o_orderdate) when 2 then concat_ws(' ', 'le', day(o_orderdate), {m}, year(o_orderdate)) else concat_ws(' de ', day(o_orderdate), {m}, year(o_orderdate)) end".format(m=f"{_MONTHS}[o_orderkey % 5 + 1][month(o_orderdate)]"),
+        lambda v: readers.written_date(v).cast("string"),
+        f"case when o_orderkey % 5 < 4 then regexp_extract(v, '[0-9]{{4}}') || '-' || lpad(cast(list_position({_MONTHS}[o_orderkey % 5 + 1], regexp_extract(v, '[^0-9. ]{{3,}}')) as varchar), 2, '0') || '-' || lpad(regexp_extract(v, '[0-9]+'), 2, '0') end")
 _column("people_natural_order", "customer", "c_custkey", lambda: F.concat_ws(", ", "c_mktsegment", F.col("c_name")), "c_mktsegment || ', ' || c_name", people.natural_order, "split_part(v, ', ', 2) || ' ' || split_part(v, ', ', 1)")
 
 
