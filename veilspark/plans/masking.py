@@ -184,9 +184,9 @@ def _apart(name: str, entity: str, kept: str) -> None:
     """Different originals have different stand-ins, none of which is an original; ``kept`` is a pattern of what they look like."""
 
     def query(spark, sf):
-        values = _distinct(spark, sf, entity)
         scratch = Scratch(spark)
-        drawn = scratch.save(distinct.settled(distinct.met(distinct.stand_ins(values, P.SEED)), values, P.SEED, scratch), "drawn")
+        values = scratch.save(distinct.stand_ins(_distinct(spark, sf, entity), P.SEED), "first")
+        drawn = scratch.save(distinct.settled(distinct.met(values, scratch), values, P.SEED, scratch), "drawn")
         clash = drawn.join(values.select(F.col("original").alias("stand_in")), "stand_in", "left_semi").agg(F.count("*").alias("clashes"))
         told = drawn.agg(F.count("*").alias("originals"), F.countDistinct(F.lower("stand_in")).alias("stand_ins"), F.count_if(F.col("stand_in").rlike(kept)).alias("kept"))
         return told.crossJoin(clash)  # one row each
