@@ -100,3 +100,17 @@ def test_key_hints(spark, key, entity):
 def test_values_fit_their_keys(spark):
     cases = [("FIRST_NAME", "match", False), ("FIRST_NAME", "Ana", True), ("LAST_NAME", "0.86", False), ("SECRET", "{{token}}", False), ("SECRET", "hunter2", True), ("EMAIL_ADDRESS", "none", False), ("AGE", "41", True), ("DATE_OF_BIRTH", "NO_MATCH", False)]
     assert list(one(spark, *(keys.fits(F.lit(e), F.lit(v)) for e, v, _ in cases))) == [want for *_, want in cases]
+
+
+def test_batches_are_searched_in_portions():
+    import pyarrow as pa
+
+    from veilspark.functions import scan
+
+    column = pa.array([None, "", "x" * (scan.BYTES + 1), *["é" * 1000] * 3000, None])
+    parts = list(scan.portions(column))
+    assert [p.start for p in parts] == [0, *[p.stop for p in parts[:-1]]] and parts[-1].stop == len(column)
+    for p in parts:
+        size = sum(len((x or "").encode()) for x in column[p].to_pylist())
+        assert p.stop - p.start <= scan.ROWS and (size <= scan.BYTES or p.stop - p.start == 1)
+    assert list(scan.portions(pa.array([], pa.string()))) == []

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import links
+from . import links, scan
 
 READING = "struct<text: string, at: array<int>, start: array<int>, end: array<int>>"
 PLACE = "array<struct<start: int, end: int, raw: string>>"
@@ -144,13 +144,17 @@ def read(text: Column, layers: Sequence[str] = SHOWN) -> Column:
     """A text as it is read and the map of its places; null where that is how it is written, and for null texts."""
     layers = tuple(x for x in LAYERS if x in layers)
 
-    @F.arrow_udf(READING)
-    def through(column: pa.Array) -> pa.Array:
+    def made(column: pa.Array) -> pa.Array:
         none = ("", *(np.zeros(0, np.int32),) * 3)
-        made = [None if t is None else reading(t, layers) for t in column.to_pylist()]
-        texts, *maps = zip(*(m or none for m in made)) if made else ((), (), (), ())
+        each = [None if t is None else reading(t, layers) for t in column.to_pylist()]
+        texts, *maps = zip(*(m or none for m in each))
         fields = [pa.array(texts, pa.string()), *map(_ints, map(list, maps))]
-        return pa.StructArray.from_arrays(fields, names=["text", "at", "start", "end"], mask=pa.array([m is None for m in made], pa.bool_()))
+        return pa.StructArray.from_arrays(fields, names=["text", "at", "start", "end"], mask=pa.array([m is None for m in each], pa.bool_()))
+
+    @F.arrow_udf(READING)
+    def through(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            yield from (made(column[part]) for part in scan.portions(column))
 
     signs = "|".join(SIGNS[x] for x in layers)
     return through(F.when(text.rlike(signs), text)) if layers else F.lit(None).cast(READING)
@@ -159,8 +163,7 @@ def read(text: Column, layers: Sequence[str] = SHOWN) -> Column:
 def places(text: Column, seen: Column, spans: Column) -> Column:
     """The places in the text of spans (start, end) of its reading, and what is written there; without a reading they are those of the spans, and ``raw`` is null."""
 
-    @F.arrow_udf(PLACE)
-    def back(texts: pa.Array, maps: pa.Array, begins: pa.Array, stops: pa.Array) -> pa.Array:
+    def placed(texts: pa.Array, maps: pa.Array, begins: pa.Array, stops: pa.Array) -> pa.Array:
         starts, ends, raw = [], [], []
         for t, m, b, s in zip(texts.to_pylist(), maps.to_pylist(), begins.to_pylist(), stops.to_pylist()):
             a, z = (b or [], s or []) if m is None or not b else written_places(m["at"], m["start"], m["end"], b, s)
@@ -170,6 +173,11 @@ def places(text: Column, seen: Column, spans: Column) -> Column:
         starts, ends = _ints(starts), _ints(ends)
         return pa.ListArray.from_arrays(starts.offsets, pa.StructArray.from_arrays([starts.values, ends.values, pa.array(raw, pa.string())], names=["start", "end", "raw"]))
 
+    @F.arrow_udf(PLACE)
+    def back(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for columns in batches:
+            yield from (placed(*(c[part] for c in columns)) for part in scan.portions(columns[0]))
+
     there = seen.isNotNull()
     bare = F.when(there, F.struct(seen["at"].alias("at"), seen["start"].alias("start"), seen["end"].alias("end")))
     return back(F.when(there, text), bare, spans["start"], spans["end"])

@@ -6,10 +6,12 @@ patterns at once; validation, scoring and everything after stay native columns o
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ GRAM = "array<struct<start: int, end: int, value: string, folded: string>>"
 WINDOW = 100
 #: How many words, nearest first.
 WORDS = 8
+#: A batch is searched in portions of so many texts and bytes, so that what Python holds does not depend on the batch.
+ROWS, BYTES = 512, 1 << 21
 WORD = r"[\p{L}\p{N}]+(?:['’_.@+-]+[\p{L}\p{N}]+)*"
 
 
@@ -43,6 +47,17 @@ def portable(pattern: str) -> str:
     return "".join(out)
 
 
+def portions(column: pa.Array) -> Iterator[slice]:
+    """Slices of a column of texts, of ``ROWS`` texts and ``BYTES`` bytes at most, or of one text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(column):
+        to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BYTES, "right"))
+        to = max(at + 1, min(to, at + ROWS))
+        yield slice(at, to)
+        at = to
+
+
 @lru_cache(maxsize=64)
 def _compiled(patterns: tuple[tuple[str, str | None, bool], ...]):
     import regex
@@ -57,8 +72,7 @@ def matches(text: Column, patterns: Sequence[tuple[str, str | None, bool]]) -> C
     """
     patterns = tuple(patterns)
 
-    @F.arrow_udf(MATCH)
-    def search(column: pa.Array) -> pa.Array:
+    def found(column: pa.Array) -> pa.Array:
         compiled, word = _compiled(patterns)
         ends, fields = [0], ([], [], [], [], [])
         for t in column.to_pylist():
@@ -76,6 +90,11 @@ def matches(text: Column, patterns: Sequence[tuple[str, str | None, bool]]) -> C
         rows = pa.StructArray.from_arrays([pa.array(f, k) for f, k in zip(fields, kinds)], names=["pattern", "start", "end", "value", "near"])
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
 
+    @F.arrow_udf(MATCH)
+    def search(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            yield from (found(column[part]) for part in portions(column))
+
     return search(text)
 
 
@@ -91,8 +110,7 @@ def ngrams(text: Column, sizes: Sequence[int], firsts: Iterable[str] | None = No
     """The stretches of ``sizes`` words of a text, folded, with one space between their words; only those that open with one of ``firsts``, if given. Null texts have none."""
     sizes, firsts = tuple(sorted(sizes)), None if firsts is None else frozenset(firsts)
 
-    @F.arrow_udf(GRAM)
-    def cut(column: pa.Array) -> pa.Array:
+    def grams(column: pa.Array) -> pa.Array:
         import regex
 
         word = regex.compile(WORD)
@@ -112,4 +130,9 @@ def ngrams(text: Column, sizes: Sequence[int], firsts: Iterable[str] | None = No
         rows = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(stops, pa.int32()), pa.array(values, pa.string()), pa.array(folded, pa.string())], names=["start", "end", "value", "folded"])
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
 
+    @F.arrow_udf(GRAM)
+    def cut(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            yield from (grams(column[part]) for part in portions(column))
+
     return cut(text)
