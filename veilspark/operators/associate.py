@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys
+from ..sources.scratch import large
 
 
 def owners(leaves: DataFrame, identities: DataFrame) -> DataFrame:
@@ -14,8 +15,8 @@ def owners(leaves: DataFrame, identities: DataFrame) -> DataFrame:
     ``identities`` is (record_id, person). The records of a leaf are exploded with their depth and the deepest match wins, so it is an equi-join.
     """
     each = leaves.select("leaf_id", F.posexplode("record_ids").alias("depth", "record_id"))
-    best = each.join(identities, "record_id").groupBy("leaf_id").agg(F.max_by("person", "depth").alias("owner"))
-    return leaves.join(best, "leaf_id", "left")
+    best = each.join(large(identities), "record_id").groupBy("leaf_id").agg(F.max_by("person", "depth").alias("owner"))
+    return leaves.join(large(best), "leaf_id", "left")
 
 
 def flat_persons(leaves: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import checks, identifiers, keys, scan
 from ..functions import spans as S
+from ..sources.scratch import large
 from . import records
 
 NEAR, LIFT, FLOOR = 5, 0.35, 0.4
@@ -197,4 +198,4 @@ def detect_leaves(leaves: DataFrame, bank: Sequence[Pattern] = BANK) -> DataFram
     distinct = leaves.select("key", "text").distinct().select("key", "text", F.when(fits, whole).when(keys.structural(F.col("key")), F.filter(whole, lambda s: F.lit(False))).alias("told"))
     read = detect(distinct.withColumn("prose", F.when(F.col("told").isNull(), F.col("text"))), bank, text="prose")
     read = read.select(F.col("key").alias("read_key"), F.col("text").alias("read_text"), F.coalesce("told", "spans").alias("spans"))
-    return leaves.join(read, F.col("key").eqNullSafe(F.col("read_key")) & (F.col("text") == F.col("read_text")), "left").drop("read_key", "read_text")
+    return leaves.join(large(read), F.col("key").eqNullSafe(F.col("read_key")) & (F.col("text") == F.col("read_text")), "left").drop("read_key", "read_text")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import checks, draw, keys
 from ..functions import spans as S
 from ..sources import csvsource, jsonsource, leaves, xmlsource
-from ..sources.scratch import Scratch
+from ..sources.scratch import Scratch, large
 from . import associate, detect, distinct, fields, people
 
 NAMES = ("PERSON", "FIRST_NAME", "LAST_NAME")
@@ -21,16 +21,17 @@ NAMES = ("PERSON", "FIRST_NAME", "LAST_NAME")
 FOLLOW = (*NAMES, "EMAIL_ADDRESS", "USERNAME", "INITIALS")
 
 
-def read(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kind: str | None = None, bank: Sequence[detect.Pattern] = detect.BANK) -> DataFrame:
+def read(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kind: str | None = None, bank: Sequence[detect.Pattern] = detect.BANK, scratch: Scratch | None = None) -> DataFrame:
     """Leaves with ``spans`` and ``field`` (the path without its numbers): by their keys, by their texts, then by what most of their field's values are.
 
     Documents that cannot be read have one leaf with ``problem``.
     """
+    scratch = scratch or Scratch(docs.sparkSession)
     found = labelled(leaves.leaves(docs, doc_id, text, kind, nested=False))
-    found = found.withColumn("field", F.concat_ws(":", "kind", F.regexp_replace("path", r"\[\d+\]", "[]")))
+    found = scratch.save(found.withColumn("field", F.concat_ws(":", "kind", F.regexp_replace("path", r"\[\d+\]", "[]"))), "read")
     seen = detect.detect_leaves(found.withColumn("key", F.when(F.col("kind") != "key", F.col("key"))), bank)
     whole = F.get(F.filter("spans", lambda s: (s["start"] == 0) & (s["end"] == F.length("text"))), F.lit(0))
-    told = seen.withColumn("entity", whole["entity"]).withColumn("score", whole["score"])
+    told = scratch.save(seen.withColumn("entity", whole["entity"]).withColumn("score", whole["score"]), "told")
     decided = fields.majority(told.where("kind in ('value', 'number', 'text', 'attribute')").select("field", "text", "entity")).withColumnRenamed("entity", "carried")
     told = told.join(decided, "field", "left")
     give = (F.size("spans") == 0) & F.col("carried").isNotNull() & F.coalesce(keys.fits(F.col("carried"), F.col("text")), F.lit(False))
@@ -74,7 +75,7 @@ def owned(found: DataFrame) -> DataFrame:
     alone = names.groupBy("record_id").agg(F.min("name").alias("person"), F.count("*").alias("n")).where("n = 1").select("record_id", "person")
     up = rows.select("doc_id", "leaf_id", F.transform("record_ids", lambda r: F.concat_ws("/", "doc_id", r.cast("string"))).alias("record_ids"))
     enclosing = associate.owners(up.withColumn("leaf_id", F.struct("doc_id", "leaf_id")), alone).select("leaf_id.doc_id", "leaf_id.leaf_id", "owner")
-    told = rows.join(names.withColumnRenamed("name", "own"), ["record_id", "prefix"], "left").join(enclosing, ["doc_id", "leaf_id"], "left")
+    told = rows.join(large(names.withColumnRenamed("name", "own")), ["record_id", "prefix"], "left").join(large(enclosing), ["doc_id", "leaf_id"], "left")
     return told.select(*found.columns, F.coalesce("own", "owner").alias("person"))
 
 
@@ -101,7 +102,7 @@ def replaced(found: DataFrame, seed: str, scope: str | None = None, scratch: Scr
     known = distinct.personas(each.where("person is not null").select("scope", "person"), seed)
     drawn = scratch.save(distinct.stand_ins(values, seed), "drawn")
     plain = distinct.settled(distinct.met(drawn), values, seed, scratch)
-    met = each.join(known, ["scope", "person"], "left").join(plain, ["scope", "entity", "original"], "left")
+    met = each.join(large(known), ["scope", "person"], "left").join(large(plain), ["scope", "entity", "original"], "left")
     new = F.coalesce(F.when(F.col("who").isNotNull(), draw.of_persona(F.col("entity"), F.col("original"), F.col("who"), seed, F.col("scope"))), F.col("stand_in"))
     new = F.when(F.col("kind") == "number", _numbers(F.col("entity"), F.col("original"), new, seed, F.col("scope"))).otherwise(new)
     edit = F.struct(F.col("s.start").alias("start"), F.col("s.end").alias("end"), new.alias("new"), F.col("entity").alias("entity"), F.col("original").alias("original"), F.col("s.score").alias("score"))
@@ -137,7 +138,7 @@ def pseudonymise_documents(docs: DataFrame, seed: str, doc_id: str = "doc_id", t
     it is never passed on as it was. ``doc_id`` must tell the rows apart. A null text is an empty one.
     """
     scratch = Scratch(docs.sparkSession)
-    found = scratch.save(read(docs, doc_id, text, kind, bank), "leaves")
+    found = scratch.save(read(docs, doc_id, text, kind, bank, scratch), "leaves")
     changed = scratch.save(replaced(owned(found), seed, scratch=scratch), "changed")
     return rewritten(docs, changed, found.where("kind = 'problem'").select("doc_id", "problem"), doc_id, text, kind)
 
@@ -149,7 +150,7 @@ def rewritten(docs: DataFrame, changed: DataFrame, problems: DataFrame, doc_id:
     """
     changes = changed.groupBy("doc_id").agg(F.collect_list(F.struct("leaf_id", "start", "end", "kind", "path", "text", "new", "edits")).alias("changes"), F.sum(F.size("edits")).alias("n_values"))
     rows = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), (F.col(kind) if kind else F.lit(None).cast("string")).alias("format"))
-    joined = rows.join(changes, "doc_id", "left").join(problems, "doc_id", "left")
+    joined = rows.join(large(changes), "doc_id", "left").join(large(problems), "doc_id", "left")
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from ..sources import formats

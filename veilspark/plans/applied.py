@@ -12,7 +12,7 @@ from ..functions import spans as S
 from ..functions import text as T
 from ..operators import associate, checked, detect, distinct, entities, people, pseudonymise, readers, structured
 from ..sources import formats, leaves
-from ..sources.scratch import Scratch
+from ..sources.scratch import Scratch, large
 from . import portable as P
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -287,8 +287,9 @@ def files_customers(spark: SparkSession, sf: str) -> DataFrame:
     c = spark.read.parquet(f"{sf}/customer.parquet")
     docs = c.select(F.col("c_custkey").cast("string").alias("doc_id"), F.to_json(F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))).alias("text"), F.lit("json").alias("kind"))
     out = structured.pseudonymise_documents(docs, P.SEED, kind="kind").select("doc_id", F.get_json_object("output", "$.name").alias("name"), F.get_json_object("output", "$.id").alias("id"), F.get_json_object("output", "$.segment").alias("segment"))
+    out = Scratch(spark).save(out, "customers")
     apart = out.agg(F.count_distinct("name").alias("names"))
-    counts = out.join(c.select(F.col("c_custkey").cast("string").alias("doc_id"), "c_name"), "doc_id").groupBy("segment").agg(F.count("*").alias("n"), F.sum((F.col("id") == F.col("doc_id")).cast("long")).alias("ids_kept"), F.sum((F.col("name") != F.col("c_name")).cast("long")).alias("names_changed"))
+    counts = out.join(large(c.select(F.col("c_custkey").cast("string").alias("doc_id"), "c_name")), "doc_id").groupBy("segment").agg(F.count("*").alias("n"), F.sum((F.col("id") == F.col("doc_id")).cast("long")).alias("ids_kept"), F.sum((F.col("name") != F.col("c_name")).cast("long")).alias("names_changed"))
     return counts.join(F.broadcast(apart))  # one row
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys
 from . import csvsource, formats, jsonsource, xmlsource
+from .scratch import dealt
 
 SCHEMA = "doc_id string, leaf_id long, kind string, path string, key string, start int, end int, text string, record_ids array<long>, problem string"
 NESTED = 16
@@ -117,4 +118,4 @@ def leaves(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kind: st
                     out = []
             yield pd.DataFrame(out, columns=names)
 
-    return rows.mapInPandas(run, SCHEMA)
+    return dealt(rows, "doc_id").mapInPandas(run, SCHEMA)

@@ -8,6 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows dealt to the tasks of a shuffle: a small file is one row group and so one task, whatever its rows cost."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
+def large(rows: DataFrame) -> DataFrame:
+    """Rows that a join must not broadcast: of a table that grows with the input, whatever the few bytes of its files make the planner think."""
+    return rows.hint("merge")
+
+
 class NoSharedFolder(RuntimeError):
     """``spark.checkpoint.dir`` is unset on a cluster."""
 
