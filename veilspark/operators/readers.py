@@ -89,10 +89,10 @@ def pairs(text: Column) -> Column:
 
 def cookies(text: Column) -> Column:
     """Spans of the values of a ``Cookie:`` or ``Set-Cookie:`` line that let their bearer in or name someone; settings stay."""
-    found = S.matches(text, r"(?im)(?<=^(?:set-)?cookie:[^\n]{0,800}[ ;])[\w.-]{2,40}=[^;\s]{6,}")
-    named = r"(?i)sess|sid|token|auth|jwt|csrf|user|email|login"
-    spans = F.transform(found, lambda m: _tail(m, F.regexp_extract(m["value"], "=(.*)$", 1), F.lit("SECRET"), 0.9))
-    return F.filter(F.zip_with(found, spans, lambda m, s: F.when(F.regexp_extract(m["value"], "^([^=]*)", 1).rlike(named), s)), lambda s: s.isNotNull())
+    # the line is looked at only where a value may begin, else each of its characters would be behind every other
+    found = S.matches(text, r"(?im)(?<=[ ;])(?=[\w.-]{2,40}=[^;\s]{6})(?<=^(?:set-)?cookie:[^\n]{0,800}[ ;])[\w.-]{2,40}=[^;\s]{6,}")
+    named = F.filter(found, lambda m: F.regexp_extract(m["value"], "^([^=]*)", 1).rlike(r"(?i)sess|sid|token|auth|jwt|csrf|user|email|login"))
+    return F.transform(named, lambda m: _tail(m, F.regexp_extract(m["value"], "=(.*)$", 1), F.lit("SECRET"), 0.9))
 
 
 def connection_strings(text: Column) -> Column:
