@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from veilspark.operators import associate, detect, structured
+from veilspark.functions import draw
+from veilspark.operators import associate, detect, distinct, readers, structured
 from veilspark.sources import leaves
 
 
@@ -29,3 +30,23 @@ def test_leaves_and_values_of_documents_are_not_broadcast(spark):
 
 def test_documents_of_one_small_file_are_read_by_many_tasks(spark):
     assert _parts(leaves.leaves(_documents(spark), kind="kind")) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_drawing_is_dealt_to_many_tasks_after_all_shuffles(spark):
+    values = spark.range(300).coalesce(1).select(F.lit("dataset").alias("scope"), F.lit("CREDIT_CARD").alias("entity"), F.format_string("4000%012d", "id").alias("original"))
+    for drawn in (draw.stand_ins(values, "seed", ["CREDIT_CARD"]), distinct.stand_ins(values, "seed")):
+        assert drawn.select(F.spark_partition_id().alias("p")).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_a_drawn_value_is_made_once(spark):
+    told = spark.range(1).select(draw.once(F.uuid(), lambda v: F.size(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(20)), lambda i: v)))).alias("n"))
+    assert told.first().n == 1
+    card = spark.range(1).select(draw.card(F.lit("4000-0000-0000-0002"), "seed", "dataset").alias("c"))
+    assert _plan(card).count("sha2(") <= 4
+
+
+def test_matches_and_cookies_search_a_text_no_more_often_than_they_must(spark):
+    rows = spark.createDataFrame([("Cookie: a=1; session_id=abcdef; token=xyz123\nsession_id=outside1 sid=abcdefg\nset-cookie:sid=abcdefg; auth=abcdefg",)], "line string")
+    spans = rows.select(readers.cookies(F.col("line")).alias("s"))
+    assert _plan(spans).count("regexp_extract_all(") == 1
+    assert [s.value for s in spans.first().s] == ["abcdef", "xyz123", "abcdefg"]

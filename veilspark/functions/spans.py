@@ -33,7 +33,8 @@ def _placed(pieces: Column, found: Column) -> Column:
         one = F.struct(begin.alias("start"), end.alias("end"), pair["value"].alias("value"))
         return F.struct(end.alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
 
-    pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda p, v: F.struct(p.alias("piece"), v.alias("value")))
+    # the piece after the last match has none; to cut it off by the number of matches would search the text once more
+    pairs = F.filter(F.zip_with(pieces, found, lambda p, v: F.struct(p.alias("piece"), v.alias("value"))), lambda p: p["value"].isNotNull())
     return F.aggregate(pairs, start, step, lambda s: s["out"])
 
 

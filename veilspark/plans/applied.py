@@ -12,7 +12,7 @@ from ..functions import spans as S
 from ..functions import text as T
 from ..operators import associate, checked, detect, distinct, entities, people, pseudonymise, readers, structured
 from ..sources import formats, leaves
-from ..sources.scratch import Scratch, large
+from ..sources.scratch import Scratch, dealt, large
 from . import portable as P
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,7 +98,7 @@ def _read(name: str, line: Callable[[], Column], read: Callable[[Column], Column
 
     @_query(name, f"select event_id, entity, value, true as in_place from (select event_id, unnest([{want}], recursive := true) from events)")
     def query(spark, sf):
-        rows = P.table(spark, sf, "events").select("event_id", line().alias("line"))
+        rows = dealt(P.table(spark, sf, "events"), "event_id").select("event_id", line().alias("line"))
         each = rows.select("event_id", "line", F.explode(read(F.col("line"))).alias("s"))
         return each.select("event_id", "s.entity", "s.value", (F.substring("line", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")) == F.col("s.value")).alias("in_place"))
 
@@ -208,7 +208,8 @@ def _customers_as(form: Column, kind: str):
 
 def _renamed(spark: SparkSession, docs: DataFrame, key: str, new: str) -> DataFrame:
     """Documents whose leaves of a key are replaced whole: doc_id, output, problem."""
-    found = leaves.leaves(docs, kind="kind", nested=False)
+    found = leaves.leaves(docs, kind="kind", nested=False).where((F.col("key") == key) | (F.col("kind") == "problem"))
+    found = Scratch(spark).save(found, "leaves")
     hit = found.where((F.col("key") == key) & F.col("kind").isin("value", "text", "attribute"))
     edit = F.array(F.struct(F.lit(0).alias("start"), F.length("text").alias("end"), F.lit(new).alias("new")))
     changed = hit.select("doc_id", "leaf_id", "kind", "path", "start", "end", "text", F.lit(new).alias("new"), edit.alias("edits"))
