@@ -83,7 +83,9 @@ ORACLE_SQL["standin_card"] = f"select count(*) as n, cast(count(*) as bigint) as
 def standin_consistency(spark, sf):
     """Every value has one stand-in, and no stand-in is an original."""
     found = P.all_matched(P.table(spark, sf, "documents"), "doc_id").select(F.lit("dataset").alias("scope"), "entity", F.col("value").alias("original"))
-    drawn = pseudonymise.guarded(draw.stand_ins(found, P.SEED, P.PATTERNS), found, P.SEED)
+    scratch = Scratch(spark)
+    found = scratch.save(found.distinct(), "values")  # read three times
+    drawn = scratch.save(pseudonymise.guarded(draw.stand_ins(found, P.SEED, P.PATTERNS), found, P.SEED), "drawn")
     many = drawn.groupBy("entity", "original").agg(F.countDistinct("stand_in").alias("k"))
     clash = drawn.join(found.select(F.lower("original").alias("low")).distinct(), F.lower("stand_in") == F.col("low"), "left_semi").groupBy("entity").agg(F.count("*").alias("clashes"))
     return many.groupBy("entity").agg(F.count("*").alias("originals"), F.max("k").alias("most")).join(clash, "entity", "left").select("entity", "originals", "most", F.coalesce("clashes", F.lit(0)).cast("long").alias("clashes"))
