@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from veilspark.functions import draw
+from veilspark.functions import draw, keys
 from veilspark.operators import associate, detect, distinct, readers, structured
 from veilspark.sources import leaves
 
@@ -50,3 +50,10 @@ def test_matches_and_cookies_search_a_text_no_more_often_than_they_must(spark):
     spans = rows.select(readers.cookies(F.col("line")).alias("s"))
     assert _plan(spans).count("regexp_extract_all(") == 1
     assert [s.value for s in spans.first().s] == ["abcdef", "xyz123", "abcdefg"]
+
+
+def test_labels_are_told_once_and_before_rows_are_shuffled(spark):
+    assert _plan(spark.createDataFrame([("billingEmail",)], "k string").select(keys.hint(F.col("k")).alias("h"))).count("translate(") == 1
+    plan = _plan(structured.labelled(leaves.leaves(_documents(spark), kind="kind")))
+    after = plan[: plan.index("Exchange hashpartitioning(doc_id")]
+    assert "Window" in after and "translate(" not in after and 0 < plan.count("translate(") <= 6

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import dealt
 from . import checks, keys
+from .keys import once
 
 ATTEMPTS = 3
 
@@ -47,11 +48,6 @@ def pick(hexes: Column, at: int, items: list) -> Column:
     return chosen if isinstance(items[0], str) else chosen.cast("double")
 
 
-def once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is made once; a lambda would make it anew for each element."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def drawn_digits(hexes: Column, count: int, at: int = 0) -> Column:
     """``count`` digits, each from two hexadecimal digits."""
     codes = F.sequence(F.lit(0), F.lit(count - 1))

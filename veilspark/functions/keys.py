@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -77,14 +77,22 @@ def _table() -> Column:
     return literals((x for entity, names in NAMES.items() for name in names for x in (name, entity)), "map")
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is made once; written in several places of an expression it would be made anew for each."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def hint(key: Column) -> Column:
     """The entity that a key's values are: by its whole name, else by its last two words, else by its last one; null if none."""
-    table, w = _table(), words(key)
-    last = lambda n: F.array_join(F.slice(w, F.greatest(F.size(w) - n + 1, F.lit(1)), F.lit(n)), "")
-    whole = F.element_at(table, F.array_join(w, ""))
-    found = F.coalesce(whole, F.when(F.size(w) >= 2, F.element_at(table, last(2))), F.when(F.size(w) >= 2, F.element_at(table, last(1))))
-    counted = F.element_at(w, 1).isin("num", "count", "has", "is", "total", "n") | F.element_at(w, -1).isin("count", "status", "score", "verified", "type", "id") & whole.isNull()
-    return F.when((F.size(w) > 0) & ~counted, found)
+    table = _table()
+
+    def told(w: Column, whole: Column) -> Column:
+        last = lambda n: F.array_join(F.slice(w, F.greatest(F.size(w) - n + 1, F.lit(1)), F.lit(n)), "")
+        found = F.coalesce(whole, F.when(F.size(w) >= 2, F.element_at(table, last(2))), F.when(F.size(w) >= 2, F.element_at(table, last(1))))
+        counted = F.element_at(w, 1).isin("num", "count", "has", "is", "total", "n") | F.element_at(w, -1).isin("count", "status", "score", "verified", "type", "id") & whole.isNull()
+        return F.when((F.size(w) > 0) & ~counted, found)
+
+    return once(words(key), lambda w: once(F.element_at(table, F.array_join(w, "")), lambda whole: told(w, whole)))
 
 
 def structural(key: Column) -> Column:
@@ -152,11 +160,14 @@ def resolved(key: Column, parent: Column) -> Column:
 def header(name: Column) -> Column:
     """The entity of a spoken or flattened column name: ``Contact Phones 0 Number`` is a phone, the last piece of a URI counts, a note in brackets does not."""
     last = F.regexp_replace(F.regexp_replace(name, r"^\w+://.*[/#]", ""), r"\s*[(\[].*?[)\]]", "")
-    kept = F.filter(words(last), lambda w: ~w.rlike("^[0-9]+$"))
     slots = F.array(*(F.lit(s) for s in SLOTS))
-    inner = F.filter(kept, lambda w: ~F.array_contains(slots, w))
     single = lambda w: F.regexp_replace(w, "(?<=[^s])s$", "")
-    return F.coalesce(hint(F.array_join(kept, " ")), hint(F.array_join(F.transform(inner, single), " ")))
+
+    def told(kept: Column) -> Column:
+        inner = F.filter(kept, lambda w: ~F.array_contains(slots, w))
+        return F.coalesce(hint(F.array_join(kept, " ")), hint(F.array_join(F.transform(inner, single), " ")))
+
+    return once(F.filter(words(last), lambda w: ~w.rlike("^[0-9]+$")), told)
 
 
 def numeric(key: Column, parent: Column, number: Column) -> Column:

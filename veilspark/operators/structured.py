@@ -51,14 +51,15 @@ def labelled(found: DataFrame) -> DataFrame:
 
     A label is a field's name as such, or written like one; it is no value itself. A record with two labels names nothing. Records are numbered inside a document, so a window is never larger than one of them.
     """
-    name = keys.compact(F.col("key"))
-    value = F.col("kind").isin("value", "number", "text", "attribute") & name.isin(*VALUES)
+    # what a leaf says by itself is told once, before rows are shuffled
+    named = found.withColumn("name__", F.when(F.col("kind").isin("value", "number", "text", "attribute"), keys.compact(F.col("key"))))
     spoken = keys.header(F.col("text")).isNotNull() | F.col("text").rlike(r"^[a-z][a-z0-9]*([_. -]?[A-Za-z0-9]+){0,5}$")
-    told = F.when(F.coalesce(F.col("kind").isin("value", "text", "attribute") & name.isin(*LABELS) & spoken, F.lit(False)), F.col("text"))
+    told = F.when(F.coalesce((F.col("kind") != "number") & F.col("name__").isin(*LABELS) & spoken, F.lit(False)), F.col("text"))
+    each = named.select(*found.columns, told.alias("told__"), F.coalesce(F.col("name__").isin(*VALUES), F.lit(False)).alias("value__"))
     beside = Window.partitionBy("doc_id", F.coalesce(F.try_element_at("record_ids", F.lit(-1)), -F.col("leaf_id")))
-    pair = (F.count(told).over(beside) == 1) & (F.count_if(value).over(beside) > 0)
-    label = F.when(pair & value, F.max(told).over(beside)).when(pair & told.isNotNull(), F.lit("fieldname"))
-    return found.withColumn("label__", label).withColumn("key", F.coalesce("label__", "key")).drop("label__")
+    pair = (F.count("told__").over(beside) == 1) & (F.count_if("value__").over(beside) > 0)
+    label = F.when(pair & F.col("value__"), F.max("told__").over(beside)).when(pair & F.col("told__").isNotNull(), F.lit("fieldname"))
+    return each.withColumn("label__", label).withColumn("key", F.coalesce("label__", "key")).select(*found.columns)
 
 
 def owned(found: DataFrame) -> DataFrame:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,9 @@ from . import csvsource, formats, jsonsource, xmlsource
 from .scratch import dealt
 
 SCHEMA = "doc_id string, leaf_id long, kind string, path string, key string, start int, end int, text string, record_ids array<long>, problem string"
+_TYPES = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int64()), pa.string())
+_NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
+_BASE64 = re.compile("[A-Za-z0-9+/=]+")
 NESTED = 16
 #: Leaves that are handed on together.
 ROWS = 20_000
@@ -26,7 +31,7 @@ def _nested(text: str) -> str | None:
     body = text.strip()
     if body[:1] in ("{", "["):
         return body
-    if len(body) >= 8 and len(body) % 4 == 0:
+    if len(body) >= 8 and len(body) % 4 == 0 and _BASE64.fullmatch(body):
         try:
             inner = base64.b64decode(body, validate=True).decode()
         except (ValueError, UnicodeDecodeError):
@@ -39,13 +44,16 @@ def _json(text: str, lines: bool, depth: int = 0, made: Counter | None = None) -
     """Leaves with records numbered over the whole document, also those of documents within its strings."""
     made = Counter() if made is None else made
     own: dict[int, int] = {}
+    known: dict[tuple[int, ...], tuple[int, ...]] = {}
 
     def numbered(records: tuple[int, ...]) -> tuple[int, ...]:
-        for r in records:
-            if r not in own:
-                made["records"] += 1
-                own[r] = made["records"]
-        return tuple(own[r] for r in records)
+        if records not in known:
+            for r in records:
+                if r not in own:
+                    made["records"] += 1
+                    own[r] = made["records"]
+            known[records] = tuple(own[r] for r in records)
+        return known[records]
 
     for f in jsonsource.line_leaves(text) if lines else jsonsource.leaves(text):
         records = numbered(f.records)
@@ -95,6 +103,14 @@ def of(text: str, kind: str, nested: bool = True) -> list[tuple]:
     return [x for x in [*out, ("prose", "$", "", at, len(text), text[at:], ())] if x[5]]
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of ``SCHEMA`` as one batch."""
+    columns = [list(c) for c in zip(*rows)]
+    ends = pa.array(accumulate(map(len, columns[8]), initial=0), pa.int32())
+    records = pa.ListArray.from_arrays(ends, pa.array(chain.from_iterable(columns[8]), pa.int64()))
+    return pa.RecordBatch.from_arrays([records if c == "record_ids" else pa.array(x, t) for c, x, t in zip(_NAMES, columns, _TYPES)], names=_NAMES)
+
+
 def leaves(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kind: str | None = None, nested: bool = True) -> DataFrame:
     """Leaves of documents; ``kind`` names the column of formats (sniffed without it). A document that cannot be read gives one row with ``problem``.
 
@@ -103,19 +119,19 @@ def leaves(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kind: st
     what = F.col(kind) if kind else F.lit(None).cast("string")
     rows = docs.select(F.col(doc_id).cast("string").alias("doc_id"), what.alias("kind"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in SCHEMA.split(", ")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, k, body in zip(batch.doc_id, batch.kind, batch.text):
+            for doc, k, body in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "kind", "text"))):
                 try:
                     found = of(body, k or formats.sniff_text(body), nested)
-                    out += [(doc, i, f[0], f[1], f[2], f[3], f[4], f[5], list(f[6]), None) for i, f in enumerate(found)]
+                    out += [(doc, i, *f, None) for i, f in enumerate(found)]
                 except (jsonsource.BadJSON, csvsource.BadCSV, xmlsource.BadXML, json.JSONDecodeError) as e:
-                    out.append((doc, 0, "problem", "$", "", 0, 0, "", [], str(e)))
+                    out.append((doc, 0, "problem", "$", "", 0, 0, "", (), str(e)))
                 if len(out) >= ROWS:
-                    yield pd.DataFrame(out, columns=names)
+                    yield _batch(out)
                     out = []
-            yield pd.DataFrame(out, columns=names)
+            if out:
+                yield _batch(out)
 
-    return dealt(rows, "doc_id").mapInPandas(run, SCHEMA)
+    return dealt(rows, "doc_id").mapInArrow(run, SCHEMA)
