@@ -3,8 +3,10 @@
 from pyspark.sql import functions as F
 
 from veilspark.functions import draw, keys
-from veilspark.operators import associate, detect, distinct, readers, structured
+from veilspark.operators import associate, detect, distinct, pseudonymise, readers, records, structured
+from veilspark.plans import portable
 from veilspark.sources import leaves
+from veilspark.sources.scratch import Scratch
 
 
 def _plan(df):
@@ -57,3 +59,29 @@ def test_labels_are_told_once_and_before_rows_are_shuffled(spark):
     plan = _plan(structured.labelled(leaves.leaves(_documents(spark), kind="kind")))
     after = plan[: plan.index("Exchange hashpartitioning(doc_id")]
     assert "Window" in after and "translate(" not in after and 0 < plan.count("translate(") <= 6
+
+
+def test_texts_of_one_small_file_are_searched_by_many_tasks(spark, monkeypatch):
+    plans, save = {}, Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name: plans.update({name: _plan(df)}) or save(self, df, name))
+    docs = spark.range(20).coalesce(1).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, F.format_string("Mail u%d@corp.ex<b>am</b>ple", "id")).otherwise("none").alias("text"))
+    out = pseudonymise.pseudonymise(docs, "seed").collect()
+    assert len(out) == 20 and all(("corp" in r.output, r.n_spans) == (False, r.doc_id % 2 == 0) for r in out)
+    search, _, dealing = plans["spans"].partition("Exchange hashpartitioning(key")
+    assert "ArrowEvalPython" in search and dealing and "ArrowEvalPython" not in dealing
+
+
+def test_values_of_several_kinds_are_found_in_one_search_each(spark):
+    rows = spark.createDataFrame([("a@b.co, +1 (458) 555-2333 and c@d.example a@b.co",), ("+1 (458) 555-2333",), ("none@here",), ("+1 (1)",), ("",), (None,)], "text string")
+    found = portable.values(rows, ("EMAIL_ADDRESS", "PHONE_NUMBER"))
+    assert _plan(found).count("regexp_extract_all(") == 2
+    assert found.count() == 3 and {tuple(r) for r in found.collect()} == {("EMAIL_ADDRESS", "a@b.co"), ("EMAIL_ADDRESS", "c@d.example"), ("PHONE_NUMBER", "+1 (458) 555-2333")}
+
+
+def test_texts_without_a_named_number_are_not_searched_for_record_ids():
+    import regex
+
+    pattern, need, _ = records.IDS[0]
+    for text in ("customer id: AB-1234", 'userNo"="x9yz"', "patient ref # 77777", "Guest_ID  7abcd", "account number: \"ab_12345\""):
+        assert regex.search(pattern, text) and regex.search(need, text)
+    assert not regex.search(need, "Nobody did refer to the idea of a number, and the customer id is unknown.")

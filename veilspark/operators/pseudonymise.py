@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import draw, maps
 from ..functions import spans as S
-from ..sources.scratch import Scratch
+from ..sources.scratch import Scratch, dealt
 from . import detect, distinct
 
 
@@ -43,9 +43,12 @@ def pseudonymise(docs: DataFrame, seed: str, text: str = "text", key: str = "doc
     where = F.lit("dataset") if scope is None else F.col(scope).cast("string")
     rows = docs.select(F.col(key).alias("key"), where.alias("scope"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     scratch = Scratch(docs.sparkSession)  # what is found and drawn is small beside the texts
-    seen = rows.withColumn("seen", maps.read(F.col("text"), through)).withColumn("read", F.coalesce("seen.text", "text"))
-    found = detect.detect(seen, bank, text="read").where(F.size("spans") > 0)
-    spans = scratch.save(found.select("key", "scope", "spans", "seen", F.when(F.col("seen").isNotNull(), F.col("text")).alias("text")), "spans")
+    # searching costs more than the bytes of a file's row groups tell
+    seen = dealt(rows, "key").withColumn("seen", maps.read(F.col("text"), through)).withColumn("read", F.coalesce("seen.text", "text"))
+    found, some = detect.detect(seen, bank, text="read"), F.size("spans") > 0
+    # texts without spans are left out as the table is read: the planner would move the filter, with the search, before the rows are dealt
+    found = found.select("key", "scope", "spans", F.when(some, F.col("seen")).alias("seen"), F.when(some & F.col("seen").isNotNull(), F.col("text")).alias("text"))
+    spans = scratch.save(found, "spans").where(some)
     values = found_values(spans, F.col("scope"))
     drawn = scratch.save(distinct.stand_ins(values, seed), "drawn")
     drawn = distinct.settled(distinct.met(drawn), values, seed, scratch) if apart else drawn

@@ -14,7 +14,7 @@ HOLDERS = ["customer", "client", "user", "member", "patient", "employee", "accou
 PREFIXES = ["cus", "acct", "usr", "user", "mem", "pat", "emp", "sub", "per", "contact"]
 #: (pattern, what each text with a match has, whether words before matter)
 IDS = [
-    (rf"(?i)(?<=\b(?:{'|'.join(HOLDERS)})[ _-]?(?:id|no|number|ref)\"?\s{{0,2}}[:=#]?\s{{0,2}}\"?)(?=[\w-]*[0-9])[A-Za-z0-9][\w-]{{3,63}}", r"(?i)id|no|num|ref", False),
+    (rf"(?i)(?<=\b(?:{'|'.join(HOLDERS)})[ _-]?(?:id|no|number|ref)\"?\s{{0,2}}[:=#]?\s{{0,2}}\"?)(?=[\w-]*[0-9])[A-Za-z0-9][\w-]{{3,63}}", r"(?i)(?:id|no|number|ref)\"?\s{0,2}[:=#]?\s{0,2}\"?[\w-]*[0-9]", False),
     (rf"(?<![\w-])(?:{'|'.join(PREFIXES)})_(?=\w*[0-9])[A-Za-z0-9]{{4,64}}(?![\w-])", "_", False),
 ]
 _TOKEN = [(r"(?<![\w@.])[A-Za-z0-9]+(?:[._-][A-Za-z0-9]+)+(?![\w@])", r"[._-]", False)]

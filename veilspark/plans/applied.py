@@ -141,10 +141,8 @@ def engine_no_leak(spark, sf):
     """Documents through the whole operator: how many emails and phones there were, and how many of them any output still shows."""
     docs = P.table(spark, sf, "documents")
     out = pseudonymise.pseudonymise(docs, P.SEED).select("doc_id", F.col("output").alias("text"))
-    kinds = ("EMAIL_ADDRESS", "PHONE_NUMBER")
-    values = lambda df: P.matched(df, kinds[0], "doc_id").unionByName(P.matched(df, kinds[1], "doc_id")).select("entity", "value").distinct()
-    left = values(out).withColumn("left_over", F.lit(1))
-    return values(docs).join(left, ["entity", "value"], "left").groupBy("entity").agg(F.count("*").alias("originals"), F.coalesce(F.sum("left_over"), F.lit(0)).cast("long").alias("left_over"))
+    left = P.values(out, ("EMAIL_ADDRESS", "PHONE_NUMBER")).withColumn("left_over", F.lit(1))
+    return P.values(docs, ("EMAIL_ADDRESS", "PHONE_NUMBER")).join(left, ["entity", "value"], "left").groupBy("entity").agg(F.count("*").alias("originals"), F.coalesce(F.sum("left_over"), F.lit(0)).cast("long").alias("left_over"))
 
 
 # ---- values written so that a reader sees them and a search does not, behind each page's own markup
